@@ -176,17 +176,21 @@ def _encode_distinct(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndar
     start, piece = order[ragged(lo, hi - lo)], np.repeat(v["match"], hi - lo)
     begins = np.flatnonzero((data & 0xC0) != 0x80)  # characters; those that are no piece become edges of their own
     char_len = np.diff(np.append(begins, len(data)))
+    char_at, segment_at = np.zeros(len(data), dtype=np.int64), np.zeros(len(data), dtype=np.int64)
+    char_at[begins] = char_len
+    segment_at[at[1:-1]] = 1
+    segment_at = np.cumsum(segment_at)
     one = np.zeros(len(data), dtype=bool)
-    one[start[lengths[piece] == char_len[np.searchsorted(begins, start)]]] = True
+    one[start[lengths[piece] == char_at[start]]] = True
     lone = ~one[begins]
     start = np.concatenate([start, begins[lone]])
     length = np.concatenate([lengths[piece], char_len[lone]])
     piece = np.concatenate([piece, np.full(int(lone.sum()), -1)])
-    segment = np.searchsorted(at, start, side="right") - 1
+    segment = segment_at[start]
     inside = start + length <= at[segment + 1]
     start, length, piece, segment = start[inside], length[inside], piece[inside], segment[inside]
     level = start + length - at[segment]
-    by = np.lexsort((-length, segment, level))  # edges in order of where they end, the longest first
+    by = np.argsort((level << 40) | (segment << 10) | (1023 - np.minimum(length, 1023)))  # edges in order of where they end, the longest first
     start, length, piece, segment, level = start[by], length[by], piece[by], segment[by], level[by]
     kept, back = np.full(len(data) + 1, -2, dtype=np.int64), np.zeros(len(data) + 1, dtype=np.int64)
     stops = np.flatnonzero(np.append(level[1:] != level[:-1], True)) + 1
