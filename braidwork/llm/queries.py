@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, simhash, spm, toxicity, warc
+from . import decontaminate, flac, linededup, simhash, spm, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, sf_dir, "pages")))
 
 
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.stored_features(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_pivots, op3_warc_index, op5_line_dedup, op6_toxicity_fm, op9_sentencepiece, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash_pivots, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op9_sentencepiece, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
