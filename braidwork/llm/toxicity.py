@@ -39,25 +39,35 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, term) pairs of the texts data[at[i]:at[i+1]]; a term is an index into the hashed table."""
+def hashed_terms(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, term) of all words, then of all word beginnings of each length; a term is an index into the hashed table."""
     start, end, word_at = word_spans(data, at, _APART)
     hashes, row = Rolling(folded(data)), np.repeat(np.arange(len(at) - 1), np.diff(word_at))
     shift = np.uint64(64 - TABLE_BITS)
-    found = [(row.astype(np.uint64) << np.uint64(TABLE_BITS)) | (mixed(hashes(start, end)) >> shift)]
+    yield row, (mixed(hashes(start, end)) >> shift).astype(np.int64)
     for n in STEMS:
         long = end - start >= n
-        s = start[long]
-        found.append((row[long].astype(np.uint64) << np.uint64(TABLE_BITS)) | (mixed(hashes(s, s + n), seed=n) >> shift))
+        start, end, row = start[long], end[long], row[long]
+        yield row, (mixed(hashes(start, start + n), seed=n) >> shift).astype(np.int64)
+
+
+def terms(data: np.ndarray, at: np.ndarray, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, term) pairs of the texts data[at[i]:at[i+1]]; with an index only terms that it has features for."""
+    found = []
+    for row, term in hashed_terms(data, at):
+        if index is not None:
+            known = index[term] >= 0
+            row, term = row[known], term[known]
+        found.append((row << TABLE_BITS) | term)
     pairs = np.unique(np.concatenate(found))
-    return (pairs >> np.uint64(TABLE_BITS)).astype(np.int64), (pairs & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+    return pairs >> TABLE_BITS, pairs & ((1 << TABLE_BITS) - 1)
 
 
 def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "t"):
         row, term = terms(*utf8(part.column("t")))
         at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(term.astype(np.int32)))], names=["y", "terms"])
+        yield pa.RecordBatch.from_arrays([part.column("o"), part.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(term.astype(np.int32)))], names=["o", "y", "terms"])
 
 
 class Machine(NamedTuple):
@@ -102,20 +112,20 @@ def fit(labels: np.ndarray, row: np.ndarray, term: np.ndarray, steps: int = 150,
     chosen = np.sort(chosen[np.abs(z[chosen]) >= 4])
     index = np.full(size, -1)
     index[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), dtype=np.float32)
     f = index[term]
-    x[row[f >= 0], f[f >= 0]] = 1
+    row, f, m = row[f >= 0], f[f >= 0], len(chosen)
     r = np.random.default_rng(seed)
-    bias = float(np.log(pos / neg))
-    params = [np.array([bias]), np.zeros(len(chosen)), r.normal(0, 0.05, (len(chosen), FACTORS))]
+    params = [np.array([np.log(pos / neg)]), np.zeros(m), r.normal(0, 0.05, (m, FACTORS))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
         b, w, v = params
-        s = x @ v.astype(np.float32)
-        p = 1 / (1 + np.exp(-np.clip(b[0] + x @ w + 0.5 * ((s**2).sum(1) - x @ (v**2).sum(1)), -30, 30)))
-        g = (p - labels) / n
-        grads = [np.array([g.sum()]), x.T @ g + decay * w, x.T @ (g[:, None] * s) - v * (x.T @ g)[:, None] + decay * v]
-        for i, d in enumerate(grads):
+        s = np.stack([np.bincount(row, v[f, k], n) for k in range(FACTORS)], axis=1)
+        z = b[0] + np.bincount(row, w[f] - 0.5 * (v**2).sum(1)[f], n) + 0.5 * (s**2).sum(1)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
+        gr = g[row]
+        gw = np.bincount(f, gr, m)
+        gv = np.stack([np.bincount(f, gr * s[row, k], m) for k in range(FACTORS)], axis=1)
+        for i, d in enumerate([np.array([g.sum()]), gw + decay * w, gv - v * gw[:, None] + decay * v]):
             first[i] = 0.9 * first[i] + 0.1 * d
             second[i] = 0.999 * second[i] + 0.001 * d * d
             params[i] = params[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
@@ -125,13 +135,13 @@ def fit(labels: np.ndarray, row: np.ndarray, term: np.ndarray, steps: int = 150,
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Machine:
     """Fit on at most `rows` labelled documents of the training folds, those whose ids hash lowest.
 
-    Rows without id or label are left out; an id with both labels counts as toxic.
+    Rows without id or label are left out; an id with both labels counts as toxic, one with several texts has the least.
     """
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, FOLDS) != HELD_OUT))
     y = y.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     y = y.orderBy(F.xxhash64("__id"), "__id").limit(rows)  # at most `rows` pairs: the broadcast is bounded
-    sample = docs.join(F.broadcast(y), F.col(id_col) == F.col("__id")).select("y", F.col(text_col).alias("t"), F.xxhash64("__id", text_col).alias("o"))
-    got = sample.orderBy("o", "y").limit(rows).select("y", "t").mapInArrow(_term_lists, "y int, terms array<int>").toArrow()
+    sample = docs.join(F.broadcast(y), F.col(id_col) == F.col("__id")).groupBy(F.xxhash64("__id").alias("o"), "y").agg(F.min(text_col).alias("t"))
+    got = sample.mapInArrow(_term_lists, "o bigint, y int, terms array<int>").toArrow().sort_by([("o", "ascending"), ("y", "ascending")])
     lists = got.column("terms").combine_chunks()
     y = got.column("y").to_numpy().astype(np.int64)
     count = np.diff(lists.offsets.to_numpy()) if len(y) else np.empty(0, np.int64)
@@ -147,7 +157,7 @@ def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            s = score(sent.value, *terms(*utf8(part.column("t"))), part.num_rows)
+            s = score(sent.value, *terms(*utf8(part.column("t")), sent.value[0]), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["i", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -161,7 +171,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            s = score(sent.value, *terms(*utf8(part.column(text_col))), part.num_rows)
+            s = score(sent.value, *terms(*utf8(part.column(text_col)), sent.value[0]), part.num_rows)
             yield part.filter(pa.array(s < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
