@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, linededup, simhash, spm, toxicity, warc
+from . import decontaminate, flac, linededup, simhash, spm, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("__h")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, sf_dir, "pages")))
 
@@ -43,7 +47,7 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_pivots, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op9_sentencepiece, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash_pivots, op2_substring_dedup, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op9_sentencepiece, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
