@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, linededup, pii, simhash, spm, substring, toxicity, warc
+from . import decontaminate, flac, linededup, lm, pii, simhash, spm, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_pivots, op2_substring_dedup, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op8_pii_weak, op9_sentencepiece, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash_pivots, op2_substring_dedup, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op7_attention_lm, op8_pii_weak, op9_sentencepiece, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
