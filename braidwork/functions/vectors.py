@@ -43,6 +43,10 @@ def average(df: DataFrame, vector: str, by: list[str] | None = None, weight: str
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__m"))), lambda s: s["__m"]).alias("average"))
 
 
+def _plus(weight: float):
+    return lambda x, y: x + y.cast("double") * weight
+
+
 def combine(vectors: list[Column], weights: list[float]) -> Column:
     """Weighted sum of equally long vectors; the weights must sum to one."""
     if len(vectors) != len(weights) or not vectors:
@@ -51,7 +55,7 @@ def combine(vectors: list[Column], weights: list[float]) -> Column:
         raise ValueError("weights must sum to 1")
     out = F.transform(vectors[0], lambda x: x.cast("double") * weights[0])
     for v, w in zip(vectors[1:], weights[1:]):
-        out = F.zip_with(out, v, lambda x, y, w=w: x + y.cast("double") * w)
+        out = F.zip_with(out, v, _plus(w))
     return out
 
 
