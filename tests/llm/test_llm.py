@@ -305,29 +305,31 @@ def numeric_gradient(p, name, place, tok, target, live):
 
 def test_attention_gradient_and_scores():
     r = np.random.default_rng(1)
-    p = attention.fresh(np.ones(7))
-    ids = r.integers(0, 7, 100)
+    p = attention.fresh(np.ones(40))
+    ids = r.integers(0, 40, 100)
     at = np.array([0, 1, 1, 40, 100])
     tok, target, scored = attention.windows(ids, at, 0)
     assert int(scored.sum()) == 100 and (target[scored] == ids).all()
     _, d = attention.gradient({n: v.astype(np.float64) for n, v in p.items()}, tok, target, scored)
-    for name, place in (("q", (2, 3)), ("k", (1, 1)), ("v", (0, 5)), ("o", (3, 3)), ("tok", (2, 4)), ("pos", (5, 1)), ("up", (2, 2)), ("down", (4, 1)), ("out", (3, 2)), ("bias", (1,))):
+    for name, place in (("q", (2, 3)), ("k", (1, 1)), ("v", (0, 5)), ("o", (3, 3)), ("tok", (2, 4)), ("pos", (5, 1)), ("up", (2, 2)), ("down", (4, 1)), ("out", (3, 4, 0)), ("bias", (1, 0)), ("group", (2, 3)), ("gbias", (4,))):
         assert math.isclose(d[name][place], numeric_gradient(p, name, place, tok, target, scored), rel_tol=1e-3, abs_tol=1e-7), name
     # causal: the future does not change a score; and probabilities add up to one
     again = tok.copy()
-    again[:, 20:] = 3
+    again[:, 9:] = 3
     early = scored.copy()
-    early[:, 20:] = False
-    assert np.allclose(attention.log_likelihood(p, tok, target, early), attention.log_likelihood(p, again, target, early), atol=1e-5)
-    total = sum(np.exp(attention.log_likelihood(p, tok, np.full_like(target, c), scored)) for c in range(7))
+    early[:, 9:] = False
+    assert np.allclose(attention.log_likelihood(p, tok, target, early)[0], attention.log_likelihood(p, again, target, early)[0], atol=1e-5)
+    total = sum(np.exp(attention.log_likelihood(p, tok, np.full_like(target, c), scored)[0]) for c in range(40))
     assert np.allclose(total, 1, atol=1e-4)
+    starts = sum(np.exp(attention.log_likelihood(p, tok, np.full_like(target, c), scored)[0]) for c in range(40) if c % attention.GROUPS < attention.START)
+    assert np.allclose(starts, np.exp(attention.log_likelihood(p, tok, target, scored)[1]), atol=1e-4)
 
 
 def test_attention_learns():
     ids = np.tile([1, 2, 3, 4, 5], 300)
     tok, target, scored = attention.windows(ids, np.array([0, len(ids)]), 0)
     p = attention.fit(attention.fresh(np.ones(6)), tok, target, scored, 120, 1e-2, batch=16)
-    assert np.exp(attention.log_likelihood(p, tok, target, scored)).mean() > 0.8
+    assert np.exp(attention.log_likelihood(p, tok, target, scored)[0]).mean() > 0.8
 
 
 def test_language_model(spark, monkeypatch):
