@@ -73,7 +73,8 @@ def score(p: DataFrame, c: AlignmentConfig) -> DataFrame:
         "__name": similarity(clean(F.col("a_field_name")), clean(F.col("b_field_name")), "token_set"),
         "__label": similarity(F.lower("a_semantic_label"), F.lower("b_semantic_label"), "token_set"),
     })
-    vector = F.coalesce(F.least(cosine(F.col("a_embedding"), F.col("b_embedding")), F.lit(1.0)), F.col("__label"))
+    near = cosine(F.col("a_embedding"), F.col("b_embedding"))
+    vector = F.when(near > 1, 1.0).otherwise(F.coalesce(near, F.col("__label")))  # least() would take a null for 1
     w = c.scoring_weights
     total = (
         w.name * F.col("__name") + w.embedding * vector

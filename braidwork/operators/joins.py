@@ -16,6 +16,14 @@ from ..types import FusionError
 Pair = tuple[str, str]
 
 
+def _same(left: DataFrame, right: DataFrame, a: str, b: str) -> tuple[Column, Column]:
+    """__l.a and __r.b in one type: as they are if equal or both numeric, else as text."""
+    x, y, s, t = F.col(f"__l.`{a}`"), F.col(f"__r.`{b}`"), left.schema[a].dataType, right.schema[b].dataType
+    if s == t or (isinstance(s, T.NumericType) and isinstance(t, T.NumericType)):
+        return x, y
+    return x.cast("string"), y.cast("string")
+
+
 def exact_merge(left: DataFrame, right: DataFrame, key: str, column_map: dict[str, str] | None = None) -> DataFrame:
     """Full outer join on one key, null keys matching each other; same-named values are coalesced, left first.
 
@@ -31,12 +39,19 @@ def exact_merge(left: DataFrame, right: DataFrame, key: str, column_map: dict[st
         names.append(n)
     right = right.toDF(*names)
     l_, r_ = left.select(F.struct("*").alias("__l")), right.select(F.struct("*").alias("__r"))
-    both = l_.join(r_, F.col(f"__l.`{key}`").eqNullSafe(F.col(f"__r.`{key}`")), "full")
-    out = [F.coalesce(F.col(f"__l.`{c}`"), F.col(f"__r.`{c}`")).alias(c) if c in right.columns else F.col(f"__l.`{c}`").alias(c) for c in left.columns]
+    x, y = _same(left, right, key, key)
+    both = l_.join(r_, x.eqNullSafe(y), "full")
+    out = [F.coalesce(*_same(left, right, c, c)).alias(c) if c in right.columns else F.col(f"__l.`{c}`").alias(c) for c in left.columns]
     return both.select(*out, *[F.col(f"__r.`{c}`").alias(c) for c in right.columns if c not in left.columns])
 
 
 def concat(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Union by name; a column whose types differ and are not both numeric becomes text."""
+    for f in left.schema.fields:
+        if f.name in right.columns:
+            t = right.schema[f.name].dataType
+            if f.dataType != t and not (isinstance(f.dataType, T.NumericType) and isinstance(t, T.NumericType)):
+                left, right = left.withColumn(f.name, F.col(f"`{f.name}`").cast("string")), right.withColumn(f.name, F.col(f"`{f.name}`").cast("string"))
     return left.unionByName(right, allowMissingColumns=True)
 
 
@@ -146,11 +161,12 @@ def _merged(left: DataFrame, right: DataFrame, matched: DataFrame, pairs: list[P
     r_ = r.select(F.struct("*").alias("__r"))
     m = l_.join(matched, F.col(f"__l.`{left_id}`") == F.col("left_id"), "left").join(r_, F.col(f"__r.`{rid}`") == F.col("right_id"), "left")
     hidden = {right_id} if right_id.startswith("__") else set()
-    cols = [F.coalesce(F.col(f"__l.`{c}`"), F.col(f"__r.`{c}`")).alias(c) if c in r.columns and c != left_id else F.col(f"__l.`{c}`").alias(c) for c in left.columns]
+    cols = [F.coalesce(*_same(left, r, c, c)).alias(c) if c in r.columns and c != left_id else F.col(f"__l.`{c}`").alias(c) for c in left.columns]
     extra = [c for c in r.columns if c not in left.columns and c not in hidden]
     both = m.select(*cols, *[F.col(f"__r.`{c}`").alias(c) for c in extra])
     used = matched.select(F.col("right_id").alias("__u")).distinct()
     alone = r.join(used, F.col(f"`{rid}`") == F.col("__u"), "left_anti").drop(*hidden)
+    alone = alone.select([F.col(f"`{c}`").cast(both.schema[c].dataType).alias(c) for c in alone.columns])
     return both.unionByName(alone, allowMissingColumns=True)
 
 

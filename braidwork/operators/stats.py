@@ -79,7 +79,7 @@ def _pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str
             x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
             both = x.isNotNull() & y.isNotNull()
             x, y = F.when(both, x), F.when(both, y)
-            exprs += [F.count(x).alias(f"n{k}"), F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y)).alias(f"r{k}")]
+            exprs += [F.count(x).alias(f"n{k}"), F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(f"r{k}")]
         got = df.agg(*exprs).first()
         out += [(a, b, got[f"n{k}"], got[f"r{k}"]) for k, (a, b) in enumerate(pairs[i : i + 200]) if got[f"n{k}"] >= 3 and got[f"r{k}"] is not None]
     return out

@@ -19,8 +19,9 @@ _JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-1
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, config: IngestorConfig | None = None) -> DataFrame:
     """With a header, types inferred after missing-value texts are nulled; integers become bigint. Delimiter and encoding
     are sniffed unless given."""
-    raw = sniff.head(spark, path, max((config or IngestorConfig()).encoding_sample_bytes, 32768))
-    encoding = encoding or sniff.encoding(raw)
+    size = max((config or IngestorConfig()).encoding_sample_bytes, 32768)
+    raw = sniff.head(spark, path, size)
+    encoding = encoding or sniff.encoding(raw, len(raw) < size)
     sep = sep or sniff.delimiter(raw.decode(_JAVA.get(encoding, encoding), "replace"))
     df = spark.read.option("header", True).option("sep", sep).option("encoding", _JAVA.get(encoding, encoding)).option("multiLine", True).option("escape", '"').csv(path)
     names = [n.lstrip("﻿") for n in df.columns]

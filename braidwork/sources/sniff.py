@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import SparkSession
 
 from ..types import IngestionError, SourceType
@@ -41,19 +43,17 @@ def head(spark: SparkSession, path: str, size: int) -> bytes:
         stream.close()
 
 
-def encoding(raw: bytes) -> str:
-    """By byte-order mark, then UTF-8 if it decodes (a character cut at the end aside), else Latin-1."""
+def encoding(raw: bytes, whole: bool = False) -> str:
+    """By byte-order mark, then UTF-8 if it decodes (unless raw is whole, a character may be cut at its end), else Latin-1."""
     if raw.startswith(b"\xef\xbb\xbf"):
         return "utf-8-sig"
     if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "utf-16"
-    for cut in range(4):
-        try:
-            raw[: len(raw) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(raw, final=whole)
+        return "utf-8"
+    except UnicodeDecodeError:
+        return "latin-1"
 
 
 def delimiter(text: str) -> str:
