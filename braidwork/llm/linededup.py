@@ -106,7 +106,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines = checkpoint(rows.mapInArrow(_lines, f"id {kind}, h bigint, lines array<bigint>, words array<int>").dropDuplicates(["id", "h"]))
     me = F.struct(F.col("id"), F.col("h"))  # documents are ordered by id (null first), then text hash
     holders = lines.select(me.alias("d"), F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    first = holders.groupBy("line").agg(F.min("d").alias("p"), F.count("*").alias("n")).where("n > 1").select("line", "p")
+    # written down, so that the join below has plain shuffles on both sides and a very common line can be split over tasks
+    first = checkpoint(holders.groupBy("line").agg(F.min("d").alias("p"), F.count("*").alias("n")).where("n > 1").select("line", "p"))
     pairs = holders.join(first, "line").where("d <> p").select("d", "p").distinct()
     left = lines.select(me.alias("d"), "lines", "words")
     right = lines.select(me.alias("p"), F.col("lines").alias("other"))
