@@ -58,5 +58,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash_pivots, op2_substring_dedup, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op7_attention_lm, op8_pii_weak, op9_sentencepiece, op10_decontaminate)}
 
 
+_SPLIT = r"regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
+
+_SUBSTRING = f"""
+WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+named AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS x FROM win),
+late AS (SELECT doc_id, s FROM named QUALIFY ROW_NUMBER() OVER (PARTITION BY x ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM late),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, COUNT(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - COALESCE(n, 0))::BIGINT AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+_WARC = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS t, strlen(COALESCE(html, '')) AS n FROM pages),
+k AS (SELECT *, CASE WHEN n >= 1000 THEN MAX(page_id) OVER (PARTITION BY t) ELSE page_id END AS keep FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM k"""
+
+_TOKENS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+b AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+i AS (SELECT item_id, LEAST(len(w), 10) AS l, unnest(range(1, len(w) - LEAST(len(w), 10) + 2)) AS s, w FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, l, array_to_string(w[s:s + l - 1], ' ') AS x FROM i),
+dw AS (SELECT doc_id, l, s, array_to_string(w[s:s + l - 1], ' ') AS x FROM (SELECT doc_id, l, unnest(range(1, len(w) - l + 2)) AS s, w FROM d, (SELECT DISTINCT l FROM iw) WHERE len(w) >= l)),
+h AS (SELECT doc_id, s, l, item_id FROM dw JOIN iw USING (l, x)),
+n AS (SELECT doc_id, COUNT(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM h) GROUP BY doc_id),
+c AS (SELECT doc_id, COUNT(*) AS m, string_agg(t, ',' ORDER BY t) AS t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n, 0)::BIGINT AS n_hit, COALESCE(m, 0)::BIGINT AS n_items, sha256(COALESCE(t, '')) AS items_sha256, COALESCE(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The three that SQL can express; the others are held against brute force in tests."""
+    return {"op2_substring_dedup": _SUBSTRING, "op3_warc_index": _WARC, "op10_decontaminate": _LEAKS}
