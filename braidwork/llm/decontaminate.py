@@ -83,14 +83,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item
     return ends.select(*out).unionByName(rest.select(*out))
 
 
-def contamination(
+def _judged(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
 ) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated.
-
-    A null or empty text has no words; a null item id counts as no id but its windows still hit. Rows with equal id and
-    text are judged alike, each giving a row. An empty benchmark hits nothing; an empty table gives no rows.
-    """
+    """contamination() with __h, the hash of the text."""
     found = hits(docs, benchmark, id_col, text_col, item_col, item_text_col, size, broadcast_windows)
     covered = F.array_distinct(F.flatten(F.transform("__at", lambda x: F.sequence(x.s, x.s + x.l - 1))))
     items = F.array_sort(F.array_distinct(F.flatten("__all")))
@@ -104,7 +100,18 @@ def contamination(
     return out.select(id_col, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))).alias("__copy"), "__h").drop("__copy")
 
 
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
+    """Per row of docs: id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated.
+
+    A null or empty text has no words; a null item id counts as no id but its windows still hit. Rows with equal id and
+    text are judged alike, each giving a row. An empty benchmark hits nothing; an empty table gives no rows.
+    """
+    return _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, size, broadcast_windows).drop("__h")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_hit: int = 1) -> DataFrame:
     """The rows of docs with fewer than min_hit words inside benchmark windows; all columns stay."""
-    bad = contamination(docs, benchmark, id_col, text_col).where(F.col("n_hit") >= min_hit).select(F.col(id_col).alias("__id"), "__h").distinct()
+    bad = _judged(docs, benchmark, id_col, text_col).where(F.col("n_hit") >= min_hit).select(F.col(id_col).alias("__id"), "__h").distinct()
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
