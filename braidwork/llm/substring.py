@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Rolling, mixed, partitions, ragged, slices, utf8, word_spans
+from ._text import Rolling, checkpoint, mixed, partitions, ragged, slices, utf8, word_spans
 
-WINDOW, MINI = 20, 4
+WINDOW, MINI = 20, 3
 #: Text handled at once, buckets per shuffle partition.
-CHUNK, BUCKETS = 6 << 20, 12
+CHUNK, BUCKETS = 5 << 20, 12
 #: A minimiser with over one in HEAVY super-k-mers is dealt by window; at most HEAVY such exist.
 HEAVY = 2000
 _NULL_ID = -(1 << 63)
@@ -134,7 +134,7 @@ def _deal(heavy: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for packed, doc, first, count, begin, size, key, ids, h, rank, send, rep in _chunks(batches, heavy):
             rows: list[tuple[int, int, bytes]] = []
             again = np.flatnonzero(rep != np.arange(len(rep)))
@@ -228,11 +228,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from bucket()
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, i, h, t): i and h name a document. The text's hash h is only needed where an id occurs twice; else it is 0."""
+    i = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID))
+    twice = docs.groupBy(i.alias("i")).count().where("count > 1").limit(1).count()
+    h = F.xxhash64(text_col) if twice else F.lit(0).cast("bigint")
+    return docs.select(F.col(id_col).alias("id"), i.alias("i"), h.alias("h"), F.col(text_col).alias("t"))
+
+
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, h, s, n): windows s..s+n-1 of the document with id i and text hash h start earlier too. Ids are whole numbers."""
+    """(i, h, s, n): windows s..s+n-1 of the document that _keyed() names i, h start earlier too. Ids are whole numbers."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    counts = rows.mapInArrow(_frequent, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = _keyed(docs, id_col, text_col).select("i", "h", "t")
+    counts = checkpoint(rows.mapInArrow(_frequent, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     total = counts.where("key = 0").agg(F.sum("n")).first()[0] or 0
     # each kept key has over total / HEAVY super-k-mers, so at most HEAVY keys come to the driver
     heavy = np.array(sorted(r[0] for r in counts.where(F.col("n") > max(total / HEAVY, 8)).where("key <> 0").select("key").collect()), dtype=np.int64).view(np.uint64)
@@ -261,7 +269,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     places = repeated_places(docs, id_col, text_col).groupBy("i", "h").agg(F.collect_list(F.struct("s", "n")).alias("places"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
