@@ -332,6 +332,15 @@ def test_attention_learns():
     assert np.exp(attention.log_likelihood(p, tok, target, scored)[0]).mean() > 0.8
 
 
+def test_attention_has_room_for_context():
+    # every target after a text's first window has at least eight subwords before it
+    assert (attention.LENGTH, attention.STRIDE, attention.HIDDEN) >= (32, 24, 48) and attention.LENGTH - attention.STRIDE >= 8
+    ids = np.arange(200)
+    tok, target, scored = attention.windows(ids, np.array([0, len(ids)]), 0)
+    context = np.broadcast_to(np.arange(attention.LENGTH), tok.shape)[scored]
+    assert context[attention.LENGTH :].min() >= 8 and context.max() == attention.LENGTH - 1
+
+
 def test_language_model(spark, monkeypatch):
     for name, value in (("START_STEPS", 20), ("BLOCK_STEPS", 3)):
         monkeypatch.setattr(lm, name, value)
