@@ -341,6 +341,43 @@ def test_attention_has_room_for_context():
     assert context[attention.LENGTH :].min() >= 8 and context.max() == attention.LENGTH - 1
 
 
+def test_blocks_train_on_their_whole_share(spark, monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    used, gradient = [], attention.gradient
+    ids = np.arange(128 * 5 * attention.STRIDE) % 7
+    tok, target, scored = attention.windows(ids, np.array([0, len(ids)]), 0)
+    tok[:, 0] = np.arange(len(tok))  # one pass takes every window once
+    seen = []
+    monkeypatch.setattr(attention, "gradient", lambda p, tok, target, live: (seen.extend(tok[:, 0]), gradient(p, tok % 7, target, live))[1])
+    attention.fit(attention.fresh(np.ones(7)), tok, target, scored, -(-len(tok) // attention.BATCH), 1e-3)
+    assert sorted(seen) == list(range(len(tok)))
+    # a block's windows: four times the text, four times the windows trained on
+    monkeypatch.setattr(attention, "gradient", lambda p, tok, target, live: (used.append(len(tok)), gradient(p, tok, target, live))[1])
+    monkeypatch.setattr(lm, "BLOCK_STEPS", 1)
+    ranks = {bytes([b]): b for b in range(256)}
+    classes = np.arange(257) % lm.CLASSES
+    model, total = attention.flat(attention.fresh(np.ones(lm.CLASSES))), []
+    for texts in (100, 400):
+        used.clear()
+        t = ["word other more " * 100] * texts
+        table = pa.table({"block": pa.array([0] * texts, pa.int32()), "train": [True] * texts, "t": t})
+        lm._ask(SimpleNamespace(value=ranks), classes, model, 256, 2)(table)
+        windows = len(attention.windows(np.zeros(1601 * texts, np.int64), np.arange(texts + 1) * 1601, 0)[0])
+        assert sum(used) == -(-windows // lm.BLOCK_SHARE)
+        total.append(sum(used))
+    assert total[1] >= 3.9 * total[0]
+    # and blocks are bounded in bytes
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(lm, "START_STEPS", 5)
+    asked = []
+    monkeypatch.setattr(lm, "checkpoint", lambda df: (asked.append(df.persist()), asked[-1])[1])
+    rows = corpus(9, 60)
+    lm.scores(frame(spark, rows))
+    assert asked[0].where("kind = 1").count() > 2 * lm.partitions(spark)
+
+
 def test_language_model(spark, monkeypatch):
     for name, value in (("START_STEPS", 20), ("BLOCK_STEPS", 3)):
         monkeypatch.setattr(lm, name, value)
