@@ -378,6 +378,19 @@ def test_blocks_train_on_their_whole_share(spark, monkeypatch):
     assert asked[0].where("kind = 1").count() > 2 * lm.partitions(spark)
 
 
+def test_a_long_unseen_word_costs_what_its_spelling_does(spark, monkeypatch):
+    for name, value in (("START_STEPS", 20), ("BLOCK_STEPS", 3)):
+        monkeypatch.setattr(lm, name, value)
+    r = random.Random(4)
+    unseen = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    rows = [(i, "the of onan erth lyes") for i in range(200) if i not in held] + list(zip(held, map(unseen, (500, 1000, 2000))))
+    score = {x.doc_id: x.score for x in lm.scores(frame(spark, rows)).collect()}
+    a, b, c = (score[i] for i in held)
+    assert a < -500 and np.isfinite(c)
+    assert 1.8 < b / a < 2.2 and 1.8 < c / b < 2.2
+
+
 def test_language_model(spark, monkeypatch):
     for name, value in (("START_STEPS", 20), ("BLOCK_STEPS", 3)):
         monkeypatch.setattr(lm, name, value)
