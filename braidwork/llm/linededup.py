@@ -1,10 +1,12 @@
 """Line-level deduplication by aligning pairs of documents.
 
-A document is paired with the earliest holder of each of its lines that occurs in an earlier document, so a line shared
-by any number of documents gives one pair per document, never all pairs, and no line is too frequent to count. Each
-pair is aligned with a patience diff on line hashes: lines unique to both sides and common to them anchor the
-alignment, which then grows over equal neighbours. Aligned runs of lines with at least MIN_WORDS words are deleted from
-the later document. The first holder of a line has no earlier partner for it, so every line survives somewhere.
+A document's blocks are its shortest runs of consecutive lines, from any line on and up to any line, that reach MIN_WORDS
+words. A document is paired with the earliest holder of each of its blocks that occurs in an earlier document, so a block
+shared by any number of documents gives one pair per document, never all pairs, and none is too frequent to count. Every
+line of a longer run that two documents share is in a block that both hold, so no shared run is missed. Each pair is
+aligned with a patience diff on line hashes: lines unique to both sides and common to them anchor the alignment, which
+then grows over equal neighbours. Aligned runs of lines with at least MIN_WORDS words are deleted from the later document.
+The first holder of a block has no earlier partner for it, so every block survives somewhere.
 """
 
 from __future__ import annotations
@@ -70,6 +72,40 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def blocks(words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(first, last + 1) of the shortest runs that reach min_words from each line on and up to each line, blank ends cut."""
+    min_words = max(min_words, 1)
+    out, total, i = set(), 0, 0
+    for k, n in enumerate(words):
+        total += n
+        while total >= min_words and total - words[i] >= min_words:
+            total, i = total - words[i], i + 1
+        while i < k and not words[i]:
+            i += 1
+        if n and total >= min_words:
+            out.add((i, k + 1))
+    total, k = 0, len(words)
+    for i in range(len(words) - 1, -1, -1):
+        total += words[i]
+        while total >= min_words and total - words[k - 1] >= min_words:
+            k -= 1
+            total -= words[k]
+        while k - 1 > i and not words[k - 1]:
+            k -= 1
+        if words[i] and total >= min_words:
+            out.add((i, k))
+    return sorted(out)
+
+
+def keys(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
+    """A signed 64-bit hash of each distinct block; that of its line where it is one line."""
+    out = set()
+    for i, k in blocks(words, min_words):
+        h = hashes[i] if k == i + 1 else xxhash.xxh64_intdigest(np.array(hashes[i:k], dtype="<i8").tobytes(), 2)
+        out.add(h - (1 << 64) if h >= 1 << 63 else h)
+    return list(out)
+
+
 def removable(a: list[int], words: list[int], b: list[int], min_words: int = MIN_WORDS) -> list[int]:
     """Indices of a's lines in aligned runs, consecutive on both sides, of at least min_words words."""
     out, run = [], []
@@ -82,10 +118,14 @@ def removable(a: list[int], words: list[int], b: list[int], min_words: int = MIN
     return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "t"):
-        got = [line_hashes(t) for t in part.column("t").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["id", "h", "lines", "words"])
+def _lines(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t"):
+            got = [line_hashes(t) for t in part.column("t").to_pylist()]
+            shared = pa.array([keys(*g, min_words) for g in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), shared], names=["id", "h", "lines", "words", "keys"])
+
+    return run
 
 
 def _align(min_words: int):
@@ -103,12 +143,12 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """(__id, __h, gone): the line numbers to delete from each document that loses any."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    lines = checkpoint(rows.mapInArrow(_lines, f"id {kind}, h bigint, lines array<bigint>, words array<int>").dropDuplicates(["id", "h"]))
+    lines = checkpoint(rows.mapInArrow(_lines(min_words), f"id {kind}, h bigint, lines array<bigint>, words array<int>, keys array<bigint>").dropDuplicates(["id", "h"]))
     me = F.struct(F.col("id"), F.col("h"))  # documents are ordered by id (null first), then text hash
-    holders = lines.select(me.alias("d"), F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    # written down, so that the join below has plain shuffles on both sides and a very common line can be split over tasks
-    first = checkpoint(holders.groupBy("line").agg(F.min("d").alias("p"), F.count("*").alias("n")).where("n > 1").select("line", "p"))
-    pairs = holders.join(first, "line").where("d <> p").select("d", "p").distinct()
+    holders = lines.select(me.alias("d"), F.explode("keys").alias("key"))
+    # written down, so that the join below has plain shuffles on both sides and a very common block can be split over tasks
+    first = checkpoint(holders.groupBy("key").agg(F.min("d").alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p"))
+    pairs = holders.join(first, "key").where("d <> p").select("d", "p").distinct()
     left = lines.select(me.alias("d"), "lines", "words")
     right = lines.select(me.alias("p"), F.col("lines").alias("other"))
     both = pairs.join(right, "p").join(left, "d").select("d.id", "d.h", "lines", "words", "other")
@@ -130,7 +170,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the deleted lines cut from the text; a document left without any word is dropped, unless it had none.
 
     All columns stay. A null text stays null. Rows equal in id and text are one document and stay as they are to each
-    other. A line's first holder is the document with the least id (null first), then text hash. Empty tables give none.
+    other. A block's first holder is the document with the least id (null first), then text hash. Empty tables give none.
     """
     cut = F.filter(F.split(text_col, "\n", -1), lambda line, n: ~F.array_contains("__gone", n))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(cut, "\n"))

@@ -257,6 +257,37 @@ def test_line_dedup(spark):
     assert linededup.report(frame(spark, [])).count() == linededup.deduplicate(frame(spark, [])).count() == 0
 
 
+def shared_with_earlier(docs):
+    """Per document, in order: its lines in any run of 10 words or more that stands in an earlier one, all pairs compared."""
+    out = []
+    for n, t in enumerate(docs):
+        a, gone = t.split("\n"), set()
+        for b in (d.split("\n") for d in docs[:n]):
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    size = 0
+                    while i + size < len(a) and j + size < len(b) and a[i + size] == b[j + size]:
+                        size += 1
+                    if len(" ".join(a[i : i + size]).split()) >= linededup.MIN_WORDS:
+                        gone |= set(range(i, i + size))
+        out.append(gone)
+    return out
+
+
+def test_line_blocks_scattered_over_first_holders(spark):
+    x, y, z = "x1 x2 x3 x4", "y1 y2 y3 y4", "z1 z2 z3 z4"
+    docs = [f"{line}\nown {n}" for n, line in enumerate((x, y, z))] + [f"head b\n{x}\n{y}\n{z}\nb tail", f"{x}\n{y}\n{z}\nc tail"]
+    r = random.Random(31)
+    short = [" ".join(f"s{k}_{i}" for i in range(r.randint(1, 6))) for k in range(30)]
+    for _ in range(40):  # stretches of one order of lines, so that blocks stand in the same order
+        at, n = r.randint(0, 26), len(docs)
+        docs.append(f"begin {n}\n" + "\n".join(short[at : at + r.randint(2, 8)]) + f"\nend {n}")
+    want = shared_with_earlier(docs)
+    assert want[4] == {0, 1, 2} and sum(map(bool, want)) > 20
+    got = {q["__id"]: set(q.gone) for q in linededup.deletions(frame(spark, enumerate(docs))).collect()}
+    assert [got.get(n, set()) for n in range(len(docs))] == want
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     plain = "ring of the onan erth lyes tion stone water glass green".split()
