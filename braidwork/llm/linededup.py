@@ -5,7 +5,8 @@ words. A document is paired with the earliest holder of each of its blocks that
 shared by any number of documents gives one pair per document, never all pairs, and none is too frequent to count. Every
 line of a longer run that two documents share is in a block that both hold, so no shared run is missed. Each pair is
 aligned with a patience diff on line hashes: lines unique to both sides and common to them anchor the alignment, which
-then grows over equal neighbours. Aligned runs of lines with at least MIN_WORDS words are deleted from the later document.
+then grows over equal neighbours. Aligned runs of lines with at least MIN_WORDS words are deleted from the later document,
+and so are its blocks that the partner holds elsewhere: repeated on either side, or in another order.
 The first holder of a block has no earlier partner for it, so every block survives somewhere.
 """
 
@@ -107,7 +108,8 @@ def keys(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> lis
 
 
 def removable(a: list[int], words: list[int], b: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Indices of a's lines in aligned runs, consecutive on both sides, of at least min_words words."""
+    """Indices of a's lines in runs, consecutive on both sides, of at least min_words words: the aligned ones, and the
+    blocks of a that b holds anywhere, since alignment passes over lines that repeat and blocks in another order."""
     out, run = [], []
     for i, j in [*aligned(a, b), (-2, -2)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
@@ -115,7 +117,19 @@ def removable(a: list[int], words: list[int], b: list[int], min_words: int = MIN
                 out += [p for p, _ in run]
             run = []
         run.append((i, j))
-    return out
+    gone, there = set(out), set(b)
+    if all(n in gone or not w or h not in there for n, (h, w) in enumerate(zip(a, words))):
+        return out
+    size = {h: w for h, w in zip(a, words) if w}
+    held, start = set(), 0
+    for stop in [*(j for j, h in enumerate(b) if h and h not in size), len(b)]:  # b's stretches of lines that a has
+        part = b[start:stop]
+        held.update(tuple(part[i:k]) for i, k in blocks([size.get(h, 0) for h in part], min_words))
+        start = stop + 1
+    for i, k in blocks(words, min_words):
+        if tuple(a[i:k]) in held:
+            gone.update(range(i, k))
+    return sorted(gone)
 
 
 def _lines(min_words: int):

@@ -288,6 +288,20 @@ def test_line_blocks_scattered_over_first_holders(spark):
     assert [got.get(n, set()) for n in range(len(docs))] == want
 
 
+def test_repeated_and_moved_blocks(spark):
+    p, q, x, y = "p" + " p" * 11, "q" + " q" * 10, "x1 x2 x3 x4 x5 x6", "y1 y2 y3 y4 y5 y6"
+    docs = ["\n".join(d) for d in (
+        ("u", p, "v", p, "w", q, x, y), ("a", p, "b"), ("c", p, "d", p, p, "e"), (x, y, "f", q, "g", p), (x, "h", y, x, y, q), ("k", p, "l"),
+    )]
+    r = random.Random(17)
+    few = [" ".join(f"r{k}_{i}" for i in range(r.choice((3, 4, 6, 11)))) for k in range(5)]
+    docs += ["\n".join(r.choice(few) for _ in range(r.randint(2, 9))) + f"\nend {n}" for n in range(30)]
+    want = shared_with_earlier(docs)
+    assert want[1] == {1} and want[2] == {1, 3, 4} and want[3] == {0, 1, 3, 5} and want[4] == {3, 4, 5} and want[5] == {1}
+    got = {g["__id"]: set(g.gone) for g in linededup.deletions(frame(spark, enumerate(docs))).collect()}
+    assert [got.get(n, set()) for n in range(len(docs))] == want
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     plain = "ring of the onan erth lyes tion stone water glass green".split()
