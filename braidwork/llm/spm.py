@@ -11,6 +11,7 @@ boundary comes before the merges that made the two pieces, which makes the kept
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Rolling, ragged, slices, utf8
+from ._text import _BASE, _powers, ragged, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 6 << 20
+#: Text bytes whose distinct segments are found together, and bytes matched at once.
+CHUNK, PART = 4 << 20, 1 << 19
+#: Bytes of a long segment's lanes.
+LANE = 256
 _NONE = np.int64(1 << 40)
 
 
@@ -99,20 +103,19 @@ def _words(data: np.ndarray, extra: int = 64) -> np.ndarray:
 
 def suffix_array(words: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Positions 0..n-1 in the order of the suffixes there, to at least depth bytes, by prefix doubling."""
-    order = np.argsort(words[:n], kind="stable")
-    rank = np.empty(n, dtype=np.int64)
+    order = np.argsort(words[:n]).astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
     reach, key = 8, words[:n][order]
     while True:
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1], dtype=np.int32)])
         rank[order] = new
         if reach >= depth or (n and new[-1] == n - 1):
             return order
-        after = np.zeros(n, dtype=np.int64)
+        key = rank * np.int64(n + 1)
         if reach < n:
-            after[: n - reach] = rank[reach:] + 1
-        both = rank * np.int64(n + 1) + after
-        order = np.argsort(both, kind="stable")
-        key = both[order]
+            key[: n - reach] += rank[reach:] + 1
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
         reach *= 2
 
 
@@ -166,85 +169,212 @@ def may_follow(a: np.ndarray, b: np.ndarray, v: dict) -> np.ndarray:
     return ok
 
 
-def _encode_distinct(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct segments data[at[i]:at[i+1]] and offsets of each segment's ids."""
+def _relax(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For every end position in the stretches data[at[i]:at[i+1]], the piece kept there (-1 a character outside the
+    vocabulary, -2 none) and its length in bytes. Every stretch is taken as if nothing stood before it."""
     n = len(at) - 1
     words = _words(data)
-    lengths = np.diff(v["raw_at"])
+    lengths = np.diff(v["raw_at"]).astype(np.int32)
     order = suffix_array(words, len(data), int(lengths[v["match"]].max()))
     lo, hi = _ranges(words, order, v["raw"], v["raw_at"], v["match"])
-    start, piece = order[ragged(lo, hi - lo)], np.repeat(v["match"], hi - lo)
-    begins = np.flatnonzero((data & 0xC0) != 0x80)  # characters; those that are no piece become edges of their own
-    char_len = np.diff(np.append(begins, len(data)))
-    char_at, segment_at = np.zeros(len(data), dtype=np.int64), np.zeros(len(data), dtype=np.int64)
+    del words
+    start, piece = order[ragged(lo, hi - lo)], np.repeat(v["match"].astype(np.int32), hi - lo)
+    del order
+    begins = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)  # characters; those that are no piece become edges of their own
+    char_len = np.diff(np.append(begins, len(data))).astype(np.int32)
+    char_at, stretch_at = np.zeros(len(data), dtype=np.int32), np.zeros(len(data), dtype=np.int32)
     char_at[begins] = char_len
-    segment_at[at[1:-1]] = 1
-    segment_at = np.cumsum(segment_at)
+    stretch_at[at[1:-1]] = 1
+    stretch_at = np.cumsum(stretch_at, dtype=np.int32)
     one = np.zeros(len(data), dtype=bool)
     one[start[lengths[piece] == char_at[start]]] = True
     lone = ~one[begins]
     start = np.concatenate([start, begins[lone]])
     length = np.concatenate([lengths[piece], char_len[lone]])
-    piece = np.concatenate([piece, np.full(int(lone.sum()), -1)])
-    segment = segment_at[start]
-    inside = start + length <= at[segment + 1]
-    start, length, piece, segment = start[inside], length[inside], piece[inside], segment[inside]
-    level = start + length - at[segment]
-    by = np.argsort((level << 40) | (segment << 10) | (1023 - np.minimum(length, 1023)))  # edges in order of where they end, the longest first
-    start, length, piece, segment, level = start[by], length[by], piece[by], segment[by], level[by]
-    kept, back = np.full(len(data) + 1, -2, dtype=np.int64), np.zeros(len(data) + 1, dtype=np.int64)
-    stops = np.flatnonzero(np.append(level[1:] != level[:-1], True)) + 1
+    piece = np.concatenate([piece, np.full(int(lone.sum()), -1, np.int32)])
+    stretch, begin = stretch_at[start], at[:-1].astype(np.int32)
+    inside = start + length <= at[stretch + 1]
+    start, length, piece, stretch = start[inside], length[inside], piece[inside], stretch[inside]
+    level = start + length - begin[stretch]
+    # edges in order of where they end, the longest first; stretches are short, so that the three numbers fit
+    by = np.argsort((level.astype(np.int64) << 40) | (stretch.astype(np.int64) << 12) | (4095 - np.minimum(length, 4095)))
+    start, length, piece, stretch, level = start[by], length[by], piece[by], stretch[by], level[by]
+    kept, span = np.full(len(data) + 1, -2, dtype=np.int32), np.zeros(len(data) + 1, dtype=np.int32)
+    stops = np.flatnonzero(np.append(level[1:] != level[:-1], True)) + 1 if len(level) else []
     i = 0
     for j in stops:
-        s, p, g = start[i:j], piece[i:j], segment[i:j]
-        first = s == at[g]
-        before = np.where(first, -1, kept[s])  # kept holds the piece that ends at s within the same segment
+        s, p, g = start[i:j], piece[i:j], stretch[i:j]
+        first = s == begin[g]
+        before = np.where(first, -1, kept[s])  # kept holds the piece that ends at s within the same stretch
         ok = first | (before == -1) | (p == -1)
         check = np.flatnonzero(~ok & (before >= 0))
         if len(check):
-            key, flat = np.unique((before[check] << 32) | p[check], return_inverse=True)
+            key, flat = np.unique((before[check].astype(np.int64) << 32) | p[check], return_inverse=True)
             ok[check] = may_follow(key >> 32, key & 0xFFFFFFFF, v)[flat]
         ok &= first | (before != -2)
         k = np.flatnonzero(ok)
         if len(k):
             k = k[np.append(True, g[k][1:] != g[k][:-1])]
             end = s[k] + length[i:j][k]
-            kept[end], back[end] = p[k], s[k]  # an end may be the next segment's start, whose edges don't look back
+            kept[end], span[end] = p[k], length[i:j][k]  # an end may be the next stretch's start, whose edges don't look back
+        i = j
+    return kept, span
+
+
+def _mend(text: bytes, begin: int, pos: int, kept: np.ndarray, span: np.ndarray, lanes: np.ndarray, reach: int, v: dict) -> int:
+    """Relax text position by position after pos until reach ends in a row within one lane are as they were; where it stops.
+
+    kept and span, of a segment from begin on, are right up to pos and what lanes found after it."""
+    named: dict[bytes, int] = v.setdefault("named", {})
+    if not named:
+        raw = v["raw"].tobytes()
+        named.update((raw[v["raw_at"][i] : v["raw_at"][i + 1]], int(i)) for i in v["match"])
+    may: dict[tuple[int, int], bool] = v.setdefault("may", {})
+    same, cuts = 0, set(lanes.tolist())
+    while pos < len(text) and same < reach:
+        if pos in cuts:
+            same = 0
+        pos += 1
+        found = (-2, 0)
+        if pos == len(text) or text[pos] & 0xC0 != 0x80:
+            head = pos - 1
+            while text[head] & 0xC0 == 0x80:
+                head -= 1
+            lone = text[head:pos] not in named
+            for size in range(min(reach, pos - begin), 0, -1):
+                s = pos - size
+                p = -1 if lone and s == head else named.get(text[s:pos])
+                if p is None:
+                    continue
+                before = -1 if s == begin else int(kept[s])
+                if before == -2:
+                    continue
+                if before >= 0 and p >= 0:
+                    if (before, p) not in may:
+                        may[before, p] = bool(may_follow(np.array([before]), np.array([p]), v)[0])
+                    if not may[before, p]:
+                        continue
+                found = (p, size)
+                break
+        same = same + 1 if found == (kept[pos], span[pos]) else 0
+        kept[pos], span[pos] = found
+    return pos
+
+
+def _kept(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
+    """_relax for segments of any length, a bounded number of bytes at a time.
+
+    A long segment goes in lanes side by side, each with a lead-in before it. What is kept depends on the pieces kept
+    at the last few ends only, so a lane is right where its lead-in ends like the lane before; else it is mended.
+    """
+    reach = int(np.diff(v["raw_at"])[v["match"]].max())
+    lead = -(-2 * reach // 64) * 64
+    size = np.diff(at)
+    count = np.maximum(-(-size // LANE), 1)
+    segment = np.repeat(np.arange(len(size)), count)
+    number = ragged(np.zeros(len(size), np.int64), count)
+    own = at[segment] + LANE * number
+    begin = np.where(number > 0, own - lead, own)
+    for x in (own, begin):
+        for _ in range(3):  # to the beginning of a character
+            x -= (number > 0) & ((data[x] & 0xC0) == 0x80)
+    end = np.where(np.append(segment[1:] == segment[:-1], False), np.append(own[1:], 0), at[segment + 1])
+    kept, span = np.full(len(data) + 1, -2, dtype=np.int32), np.zeros(len(data) + 1, dtype=np.int32)
+    taken = np.cumsum(end - begin)
+    wrong, i = [], 0
+    while i < len(own):
+        j = max(i + 1, int(np.searchsorted(taken, (taken[i - 1] if i else 0) + PART, side="right")))
+        lo, mid, hi = begin[i:j], own[i:j], end[i:j]
+        to = np.concatenate([[0], np.cumsum(hi - lo)])
+        k, s = _relax(data[ragged(lo, hi - lo)], to, v)
+        here, there = ragged(to[:-1] + (mid - lo) + 1, hi - mid), ragged(mid + 1, hi - mid)
+        kept[there], span[there] = k[here], s[here]
+        later = np.flatnonzero(number[i:j] > 0)
+        tail = np.arange(1 - reach, 1)
+        here, there = (to[:-1] + (mid - lo))[later, None] + tail, mid[later, None] + tail
+        wrong += (later[((k[here] != kept[there]) | (s[here] != span[there])).any(axis=1)] + i).tolist()
         i = j
-    open_, pos = np.arange(n), at[1:]
-    chain_seg, chain_pos, chain_id, chain_from = [], [], [], []
+    done = 0
+    for lane in wrong:
+        if own[lane] < done:
+            continue
+        a, b = int(at[segment[lane]]), int(at[segment[lane] + 1])
+        mine = own[(segment == segment[lane]) & (own > own[lane])] - a
+        done = a + _mend(data[a:b].tobytes(), 0, int(own[lane]) - a, kept[a : b + 1], span[a : b + 1], mine, reach, v)
+    return kept, span
+
+
+def _encode_distinct(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of segments data[at[i]:at[i+1]] and offsets of each segment's ids."""
+    n = len(at) - 1
+    kept, span = _kept(data, at, v)
+    long = np.diff(at) > 16 * LANE
+    open_ = np.flatnonzero(~long)
+    pos = at[1:][open_]
+    ends = []
     while len(open_):  # walk back from every segment's end at once
-        chain_seg.append(open_)
-        chain_pos.append(pos)
-        chain_id.append(kept[pos])
-        chain_from.append(back[pos])
-        pos = back[pos]
+        ends.append(pos)
+        pos = pos - span[pos]
         go = pos > at[open_]
         open_, pos = open_[go], pos[go]
-    seg, pos, ids, frm = (np.concatenate(x) for x in (chain_seg, chain_pos, chain_id, chain_from))
-    by = np.argsort(pos, kind="stable")  # positions rise with the segments
-    seg, ids, frm, pos = seg[by], ids[by], frm[by], pos[by]
-    count = np.where(ids >= 0, 1, pos - frm if v["fallback"] else 1)
+    for i in np.flatnonzero(long).tolist():
+        step, p, own = span[at[i] : at[i + 1] + 1].astype(np.uint8).tobytes(), int(at[i + 1] - at[i]), array("q")
+        while p:
+            own.append(p)
+            p -= step[p]
+        ends.append(np.frombuffer(own, dtype=np.int64) + at[i])
+    pos = np.sort(np.concatenate(ends))  # positions rise with the segments
+    seg, ids, size = np.searchsorted(at, pos, side="left") - 1, kept[pos], span[pos]
+    count = np.where(ids >= 0, 1, size if v["fallback"] else 1)
     out = np.repeat(ids, count)
     lost = np.flatnonzero(out < 0)
     if len(lost):
         if v["fallback"]:
-            out[lost] = v["byte"][data[ragged(frm[ids < 0], (pos - frm)[ids < 0])]]
+            out[lost] = v["byte"][data[ragged((pos - size)[ids < 0], size[ids < 0])]]
         else:
             out[lost] = v["unk"]
     per = np.bincount(seg, count, n).astype(np.int64)
     return out, np.concatenate([[0], np.cumsum(per)])
 
 
+def _distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the distinct ranges data[start:start+size], and for every range the number of its equal among them.
+
+    Ranges are sorted by a hash and compared as bytes; those longer than a lane and those whose hash another text has
+    stand for themselves."""
+    key = np.empty(len(start), dtype=np.uint64)
+    power = _powers(_BASE, LANE)
+    ends = np.cumsum(np.minimum(size, LANE))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), PART)), len(start)))
+    for a, b in zip(cuts, cuts[1:]):
+        n = np.minimum(size[a:b], LANE)
+        place = np.concatenate([[0], np.cumsum(n)])[:-1]
+        values = (data[ragged(start[a:b], n)].astype(np.uint64) + np.uint64(1)) * power[ragged(np.zeros(b - a, np.int64), n)]
+        key[a:b] = np.add.reduceat(values, place) + size[a:b].astype(np.uint64)
+    _, pick, flat = np.unique(key, return_index=True, return_inverse=True)
+    alone = size > LANE
+    for a, b in zip(cuts, cuts[1:]):
+        lead, n = pick[flat[a:b]], size[a:b]
+        alone[a:b] |= size[lead] != n
+        same = np.flatnonzero(~alone[a:b])
+        if len(same):
+            place = np.cumsum(n[same]) - n[same]
+            differ = data[ragged(start[a:b][same], n[same])] != data[ragged(start[lead[same]], n[same])]
+            alone[a:b][same] = np.logical_or.reduceat(differ, place)
+    own = np.flatnonzero(alone & (pick[flat] != np.arange(len(start))))
+    flat[own] = len(pick) + np.arange(len(own))
+    return np.concatenate([pick, own]), flat
+
+
 def encode(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts data[at[i]:at[i+1]] (UTF-8) and offsets of each text's ids. An empty text has none."""
     full = np.diff(at) > 0
     rows = np.flatnonzero(full)
     if not len(rows):
-        return np.empty(0, np.int64), np.zeros(len(at), np.int64)
+        return np.empty(0, np.int32), np.zeros(len(at), np.int64)
     mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.empty(0, np.int64)
-    drop = np.zeros(len(data), dtype=bool)
     if len(mark):  # a literal U+2581 is a space to the model
+        drop = np.zeros(len(data), dtype=bool)
         data = data.copy()
         data[mark] = 0x20
         drop[mark + 1] = drop[mark + 2] = True
@@ -255,14 +385,19 @@ def encode(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.nd
     tat = np.concatenate([head + np.arange(len(rows)), [len(data)]])
     cut = segments(data, tat, v)
     bounds = np.append(cut, len(data))
-    _, pick, flat = np.unique(Rolling(data)(bounds[:-1], bounds[1:]), return_index=True, return_inverse=True)
-    size = (bounds[1:] - bounds[:-1])[pick]
-    ids, id_at = _encode_distinct(data[ragged(bounds[:-1][pick], size)], np.concatenate([[0], np.cumsum(size)]), v)
-    count = np.diff(id_at)[flat]
-    out = ids[ragged(id_at[:-1][flat], count)]
+    ids, counts, i = [], [], 0
+    while i < len(cut):  # segments are independent, so a long text goes in parts
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, side="right")) - 1)
+        start, size = bounds[i:j], np.diff(bounds[i : j + 1])
+        pick, flat = _distinct(data, start, size)
+        some, some_at = _encode_distinct(data[ragged(start[pick], size[pick])], np.concatenate([[0], np.cumsum(size[pick])]), v)
+        count = np.diff(some_at)[flat]
+        ids.append(some[ragged(some_at[:-1][flat], count)].astype(np.int32))
+        counts.append(count)
+        i = j
     per = np.zeros(len(full), dtype=np.int64)
-    per[rows] = np.add.reduceat(count, np.searchsorted(cut, tat[:-1]))
-    return out, np.concatenate([[0], np.cumsum(per)])
+    per[rows] = np.add.reduceat(np.concatenate(counts), np.searchsorted(cut, tat[:-1]))
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(per)])
 
 
 def decode(ids: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +434,16 @@ def with_text(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, out_col
     """rows with the text that their ids stand for; null ids count as none. Bytes that are no UTF-8 become U+FFFD."""
     sent = rows.sparkSession.sparkContext.broadcast(load(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            taken = np.cumsum(batch.column(ids_col).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = np.unique(np.searchsorted(taken, np.arange(CHUNK, taken[-1] + CHUNK if len(taken) else 0, CHUNK)) + 1)
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a < b:
+                    yield batch.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
             lists = batch.column(ids_col)
             size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             data, at = decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), sent.value)

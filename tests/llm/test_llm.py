@@ -533,6 +533,22 @@ def test_sentencepiece_is_the_librarys(vocabulary):
     assert all(b == t for b, t in zip(back, texts) if "▁" not in t)
 
 
+def test_sentencepiece_of_long_segments(vocabulary):
+    """Words far longer than a lane, also such as collide under a polynomial hash or never fall into step."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    r = random.Random(7)
+    mirrored = ["".join(ab[bin(i).count("1") % 2] for i in range(2048)) for ab in ("ab", "ba")]
+    texts = [*mirrored, "a" * 5000, "ab" * 3000, "=-" * 900, "x" * 777, *mirrored]
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "日本語中文のは☃é\U0001f600ü", "ththeinganderion"):
+        texts += ["".join(r.choice(letters) for _ in range(r.randint(200, 3000))) for _ in range(20)]
+        texts += [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 400))) for _ in range(30)) for _ in range(10)]
+    texts.append("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1 << 20)))
+    ids, back = _encoded(texts, vocabulary)
+    assert ids == sp.encode(texts) and back == texts
+
+
 def test_suffix_array():
     data = np.frombuffer(b"banana band bandana banana", np.uint8)
     order = spm.suffix_array(spm._words(data), len(data), 26)
