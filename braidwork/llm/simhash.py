@@ -6,6 +6,8 @@ are built so that pairs of coordinates give the number of set bits in each of 32
 within three bits agree on the segments of at least three of six groups, which makes the coordinates of each choice of
 three groups an equi-join key. Pairs that share a key and whose largest coordinate difference, over random references
 too, is within the radius are verified bit by bit. Nothing is missed, at any input size.
+
+keep_one is the operator for similarities instead of bits (see nearcopies), where fingerprints alone don't decide.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 
 from ._graph import components, spanning
 from ._text import _powers, checkpoint, mixed, partitions, slices
+from .nearcopies import buckets, keep_one
+
+__all__ = ["close", "distances", "fingerprint", "fingerprints", "keep_one", "links", "near_duplicates", "pivot_keys"]
 
 RADIUS = 3
 SEGMENTS, GROUPS = 32, 6
@@ -108,39 +113,25 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucket_stage(last: bool):
     """Rows (key, fp) sorted by key, to rows (kind, a, b): 0 a link, 1 a row of a large bucket under a finer key."""
 
-    def emit(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.searchsorted(key, key, side="left")
-        count = np.searchsorted(key, key, side="right") - first
-        big = (count > BUCKET_ROWS) & (not last)
-        small = (count > 1) & ~big
-        u, v = _links(key[small], fp[small])
-        yield _rows(0, u, v)
-        for block in range(4 if big.any() else 0):
-            bits = (fp[big] >> np.uint64(16 * block)) & np.uint64(0xFFFF)
-            finer = mixed(mixed(key[big]) ^ (bits << np.uint64(2)) ^ np.uint64(block))
-            yield _rows(1, finer, fp[big])
+    def finer(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for block in range(4 if len(key) else 0):
+            bits = (fp >> np.uint64(16 * block)) & np.uint64(0xFFFF)
+            yield _rows(1, mixed(mixed(key) ^ (bits << np.uint64(2)) ^ np.uint64(block)), fp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for batch in batches:
-            k, f = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
-            key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
-            order = np.flatnonzero(key != key[-1])
-            cut = int(order[-1]) + 1 if len(order) else 0  # the last key may go on in the next batch
-            if cut:
-                yield from _sorted(key[:cut], fp[:cut], emit)
-                key, fp = key[cut:], fp[cut:]
-        if len(key):
-            yield from _sorted(key, fp, emit)
+        for hot, rows in buckets(batches, None if last else BUCKET_ROWS):
+            key = rows.column(0).to_numpy(zero_copy_only=False)
+            fp = rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            big = np.full(len(key), hot)
+            if not hot and not last:
+                big = np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left") > BUCKET_ROWS
+            u, v = _links(key[~big], fp[~big])
+            yield _rows(0, u, v)
+            yield from finer(key[big].view(np.uint64), fp[big])
 
     return run
 
 
-def _sorted(key: np.ndarray, fp: np.ndarray, emit) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(key, kind="stable")  # Spark sorts by the signed value; equal keys are together either way
-    yield from emit(key[order], fp[order])
-
-
 def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
 
@@ -175,12 +166,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
     named = rooted.select("__fp", "__root").join(least, "__root").select("__fp", "component_id")
     return fps.join(named, "__fp").select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their component: those with its least id. All columns stay.
-
-    Rows with a null id stay (they can't be told apart from their group's other rows).
-    """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

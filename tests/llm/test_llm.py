@@ -79,9 +79,91 @@ def test_simhash(spark):
     want = ordered((d, f"{fp[i]:016x}", least.get(find(i))) for i, (d, _) in enumerate(rows))
     assert collected(simhash.near_duplicates(frame(spark, rows)), "doc_id", "fingerprint", "component_id") == want
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
-    kept = simhash.keep_one(frame(spark, rows))
-    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
-    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want if c is not None} | {None}
+
+
+def plain_fingerprint(text):
+    """The contract's wording, a bit at a time."""
+    import xxhash
+
+    words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_bits_are_majorities():
+    r = random.Random(8)
+    few = "Aa b Éé Ca d".split()
+    texts = [(" ", "\n", "\u00a0", "\x0b ")[r.randint(0, 3)].join(r.choice(few) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    texts += [t for _, t in corpus(9)]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+    assert any(simhash.fingerprint(t) & ~plain_fingerprint(t[:-1]) for t in texts if t)
+
+
+def grouped(texts, similarity=0.8):
+    """Least index of every text's group, by the Jaccard similarity of all pairs' sets of five-word shingles."""
+    words = [tuple(re.sub("[A-Z]", lambda m: m.group().lower(), t or "").split()) for t in texts]
+    sets = [{w[i : i + 5] for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if words[a] == words[b] or len(sets[a] & sets[b]) >= similarity * max(len(sets[a] | sets[b]), 1):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    return group
+
+
+def edited(r, text, share):
+    return " ".join(f"edit{r.randint(0, 999)}" if r.random() < share else w for w in text.split())
+
+
+def near_copies(seed=3):
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(900)]
+    base = [" ".join(r.choice(words) for _ in range(r.randint(60, 300))) for _ in range(40)]
+    texts = base + [edited(r, t, s) for t in base for s in (0.004, 0.012, 0.03)] + [edited(r, base[0], 0.01) for _ in range(120)]
+    return texts + [None, "", " \n", "One two", "one  TWO", "one two three", *(base[1].upper() for _ in range(3)), " ".join(r.choice(words) for _ in range(200_000))]
+
+
+@pytest.mark.parametrize("limit", [16, 2048])
+def test_near_copies(spark, monkeypatch, limit):
+    from braidwork.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "BUCKET_ROWS", limit)
+    texts = near_copies()
+    want = grouped(texts)
+    df = frame(spark, enumerate(texts))
+    got = {r.doc_id: r.component_id for r in nearcopies.groups(df).collect()}
+    wrong = [i for i in range(len(texts)) if got[i] != want[i]]
+    assert len(wrong) <= 2 and all(want[got[i]] == want[i] for i in wrong)  # a link can be missed, none is made up
+    assert len(set(want)) < 150
+    kept = simhash.keep_one(frame(spark, [*enumerate(texts), (None, texts[0]), (3, texts[3])]))
+    assert kept.columns == df.columns
+    assert collected(kept, "doc_id") == ordered([(i,) for i in range(len(texts)) if got[i] == i] + [(None,), (3,)])
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_near_copies_of_text_ids(spark):
+    rows = [("b", "x y z u v w"), ("a", "x y z u v w"), ("c", "other"), ("c", "x y z u v w"), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert ordered(set(collected(kept, "doc_id"))) == ordered({("a",), ("c",), (None,)})
+
+
+def test_forest_has_the_components_at_every_weight():
+    from braidwork.llm import nearcopies
+
+    r = np.random.default_rng(4)
+    u, v, w = r.integers(0, 60, 400), r.integers(0, 60, 400), r.integers(0, 9, 400)
+    k = nearcopies.forest(60, u, v, w)
+    assert len(k) == 59
+    for most in range(9):
+        parts = []
+        for at in (np.flatnonzero(w <= most), k[w[k] <= most]):
+            node, least = _graph.spanning(u[at], v[at])
+            to = np.arange(60)
+            to[node] = least
+            parts.append(to.tolist())
+        assert parts[0] == parts[1]
 
 
 def test_simhash_reference_value():
