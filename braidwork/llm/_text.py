@@ -112,6 +112,55 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64)
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """64-bit polynomial hashes of the ranges data[start:start+size], none of them empty, a bounded number of bytes at once.
+
+    Some long texts share a hash by their form alone; who needs equality compares bytes (see distinct)."""
+    power = _powers(_BASE, 4095)
+    out, ends = size.astype(np.uint64), np.cumsum(size)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(part, int(ends[-1]) if len(ends) else 0, part)) + 1, [len(start)]]))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        if b == a + 1:  # perhaps a very long one
+            for i in range(0, int(size[a]), part):
+                own = data[start[a] + i : start[a] + min(i + part, size[a])].astype(np.uint64) + np.uint64(1)
+                out[a : a + 1] += (own * power[np.arange(i, i + len(own)) & 4095]).sum(dtype=np.uint64)
+            continue
+        values = data[ragged(start[a:b], size[a:b])].astype(np.uint64) + np.uint64(1)
+        values *= power[ragged(np.zeros(b - a, np.int64), size[a:b]) & 4095]
+        out[a:b] += np.add.reduceat(values, np.cumsum(size[a:b]) - size[a:b])
+    return out
+
+
+def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the distinct ranges data[start:start+size] and, for every range, the number of its equal among them.
+
+    In order of their hash; ranges that share one without being equal stand last, in order of their bytes. So the order
+    depends on the ranges alone, not on where they stand."""
+    key = range_hashes(data, start, size, part)
+    _, pick, flat = np.unique(key, return_index=True, return_inverse=True)
+    lead = pick[flat]
+    wrong = size[lead] != size
+    ends = np.cumsum(size)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(part, int(ends[-1]) if len(ends) else 0, part)) + 1, [len(start)]]))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        same = a + np.flatnonzero(~wrong[a:b] & (lead[a:b] != np.arange(a, b)))
+        if len(same):
+            differ = data[ragged(start[same], size[same])] != data[ragged(start[lead[same]], size[same])]
+            wrong[same] = np.logical_or.reduceat(differ, np.cumsum(size[same]) - size[same])
+    if not wrong.any():
+        return pick, flat
+    mixed_up = np.zeros(len(pick), dtype=bool)
+    mixed_up[flat[wrong]] = True
+    rows = np.flatnonzero(mixed_up[flat])
+    texts = [data[start[i] : start[i] + size[i]].tobytes() for i in rows.tolist()]
+    order = {t: n for n, t in enumerate(sorted(set(texts)))}
+    first = dict(zip(reversed(texts), reversed(rows.tolist())))
+    number = np.cumsum(~mixed_up) - 1
+    flat = number[flat]
+    flat[rows] = int((~mixed_up).sum()) + np.array([order[t] for t in texts])
+    return np.concatenate([pick[~mixed_up], np.array([first[t] for t in order])]), flat
+
+
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... (count[0] values), start[1], ..."""
     total = int(count.sum())

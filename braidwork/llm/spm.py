@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import _BASE, _powers, ragged, slices, utf8
+from ._text import distinct, ragged, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes whose distinct segments are found together, and bytes matched at once.
@@ -337,35 +337,6 @@ def _encode_distinct(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndar
     return out, np.concatenate([[0], np.cumsum(per)])
 
 
-def _distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the distinct ranges data[start:start+size], and for every range the number of its equal among them.
-
-    Ranges are sorted by a hash and compared as bytes; those longer than a lane and those whose hash another text has
-    stand for themselves."""
-    key = np.empty(len(start), dtype=np.uint64)
-    power = _powers(_BASE, LANE)
-    ends = np.cumsum(np.minimum(size, LANE))
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), PART)), len(start)))
-    for a, b in zip(cuts, cuts[1:]):
-        n = np.minimum(size[a:b], LANE)
-        place = np.concatenate([[0], np.cumsum(n)])[:-1]
-        values = (data[ragged(start[a:b], n)].astype(np.uint64) + np.uint64(1)) * power[ragged(np.zeros(b - a, np.int64), n)]
-        key[a:b] = np.add.reduceat(values, place) + size[a:b].astype(np.uint64)
-    _, pick, flat = np.unique(key, return_index=True, return_inverse=True)
-    alone = size > LANE
-    for a, b in zip(cuts, cuts[1:]):
-        lead, n = pick[flat[a:b]], size[a:b]
-        alone[a:b] |= size[lead] != n
-        same = np.flatnonzero(~alone[a:b])
-        if len(same):
-            place = np.cumsum(n[same]) - n[same]
-            differ = data[ragged(start[a:b][same], n[same])] != data[ragged(start[lead[same]], n[same])]
-            alone[a:b][same] = np.logical_or.reduceat(differ, place)
-    own = np.flatnonzero(alone & (pick[flat] != np.arange(len(start))))
-    flat[own] = len(pick) + np.arange(len(own))
-    return np.concatenate([pick, own]), flat
-
-
 def encode(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts data[at[i]:at[i+1]] (UTF-8) and offsets of each text's ids. An empty text has none."""
     full = np.diff(at) > 0
@@ -389,7 +360,7 @@ def encode(data: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.nd
     while i < len(cut):  # segments are independent, so a long text goes in parts
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, side="right")) - 1)
         start, size = bounds[i:j], np.diff(bounds[i : j + 1])
-        pick, flat = _distinct(data, start, size)
+        pick, flat = distinct(data, start, size)
         some, some_at = _encode_distinct(data[ragged(start[pick], size[pick])], np.concatenate([[0], np.cumsum(size[pick])]), v)
         count = np.diff(some_at)[flat]
         ids.append(some[ragged(some_at[:-1][flat], count)].astype(np.int32))

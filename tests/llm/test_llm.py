@@ -489,10 +489,10 @@ def test_blocks_train_on_their_whole_share(spark, monkeypatch):
     for texts in (100, 400):
         used.clear()
         t = ["word other more " * 100] * texts
-        table = pa.table({"block": pa.array([0] * texts, pa.int32()), "train": [True] * texts, "t": t})
+        table = pa.table({"block": pa.array([0] * texts, pa.int32()), "train": [True] * texts, "t": t, "o": list(range(texts))})
         lm._ask(SimpleNamespace(value=ranks), classes, model, 256, 2)(table)
         windows = len(attention.windows(np.zeros(1601 * texts, np.int64), np.arange(texts + 1) * 1601, 0)[0])
-        assert sum(used) == -(-windows // lm.BLOCK_SHARE)
+        assert windows / lm.TURNS <= sum(used) < windows / lm.TURNS + texts  # of every text
         total.append(sum(used))
     assert total[1] >= 3.9 * total[0]
     # and blocks are bounded in bytes
@@ -505,6 +505,49 @@ def test_blocks_train_on_their_whole_share(spark, monkeypatch):
     assert asked[0].where("kind = 1").count() > 2 * lm.partitions(spark)
 
 
+def test_windows_by_turns():
+    sizes = [0, 1, 31, 32, 33, 60, 500, 5000]
+    ids, at = np.arange(sum(sizes)), np.cumsum([0, *sizes])
+    every = {tuple(x) for x in attention.windows(ids, at, 0)[1].tolist()}
+    tok, target, scored = attention.windows(ids, at, 0, 8)
+    assert {tuple(x) for x in target.tolist()} < every and len(target) == len({tuple(x) for x in target.tolist()})
+    assert all(((target >= a) & (target < b) & scored).any() for a, b in zip(at, at[1:]) if a < b)  # every text has its turn
+
+
+def test_distinct_ranges_are_told_apart_by_bytes():
+    from braidwork.llm._text import distinct, range_hashes
+
+    mirrored = ["".join(ab[bin(i).count("1") % 2] for i in range(2048)).encode() for ab in ("ab", "ba")]
+    texts = [b"one", mirrored[0], b"two", mirrored[1], b"one", mirrored[1], b"x" * 9000, mirrored[0], b"two"] + [b"w%d" % (i % 50) for i in range(200)]
+    size = np.array([len(t) for t in texts])
+    data, start = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+    h = range_hashes(data, start, size, part=1000)
+    assert h[1] == h[3] and (h == range_hashes(data, start, size)).all()  # what a hash alone would confuse
+    for part in (100, 1 << 20):
+        pick, flat = distinct(data, start, size, part)
+        assert [texts[pick[i]] for i in flat] == texts and len(pick) == len(set(texts))
+        by = np.random.default_rng(2).permutation(len(texts))  # the order is that of the texts' own values
+        other, _ = distinct(data, start[by], size[by], part)
+        assert [texts[by[i]] for i in other] == [texts[i] for i in pick]
+
+
+def test_held_out_texts_score_above_the_base(spark, monkeypatch):
+    """Texts in two languages: what stands before a word tells which."""
+    monkeypatch.setattr(lm, "START_STEPS", 150)
+    r = random.Random(12)
+    tongues = [[a + b for a in x.split() for b in y.split()] for x, y in (("the of on er th ly es ti", "ab cd ef gh ij kl mn op"), ("zu wy qo xi vo ju ky ga", "ra se ti po lu wa ne mi"))]
+    rows = [(i, " ".join(r.choice(tongues[i % 2]) + ("x" if r.random() < 0.02 else "") for _ in range(r.randint(20, 200)))) for i in range(600)]
+    rows[6] = (6, " ".join(w for pair in zip(*(r.choices(t, k=60) for t in tongues)) for w in pair))  # of both, by turns
+    rows.append((601, " ".join(r.choice(tongues[0]) for _ in range(100_000))))
+    got = lm.scores(frame(spark, rows)).collect()
+    for held in (True, False):
+        own = [x for x in got if x.held_out == held]
+        n = sum(x.n_tokens for x in own)
+        assert sum(x.score for x in own) / n > sum(x.base_score for x in own) / n + 0.1
+    each = {x.doc_id: x.score / x.n_tokens for x in got}
+    assert each[6] < min(each[8], each[10], each[7])
+
+
 def test_a_long_unseen_word_costs_what_its_spelling_does(spark, monkeypatch):
     for name, value in (("START_STEPS", 20), ("BLOCK_STEPS", 3)):
         monkeypatch.setattr(lm, name, value)
@@ -536,7 +579,7 @@ def test_language_model(spark, monkeypatch):
     assert ordered((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == ordered(want)
     assert all(r.score < 0 for r in got)
     empty = {r.score for r in got if r.n_tokens == 1}
-    assert len(empty) == 1
+    assert max(empty) - min(empty) < 1e-5  # the order of additions differs between blocks
     assert lm.scores(frame(spark, [])).count() == 0
 
 
