@@ -276,7 +276,7 @@ def decode_frames(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.n
         r = np.zeros((most, len(coded)), dtype=np.int64)
         k, escape = np.zeros(len(coded), np.int64), np.zeros(len(coded), bool)
         simple = bool((parts == 0).all() and (size == size[0]).all() and (o == o[0]).all())
-        for i in range(most):
+        for i in range(int(size.max())):  # constant frames beside them may be longer
             on = (i >= o) & (i < size)
             fresh = on & ((i == o) | (i % span == 0))
             if fresh.any():
@@ -288,7 +288,7 @@ def decode_frames(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.n
                 if esc.any():
                     k = np.where(esc, peek(b, 5), k)
                     b = np.where(esc, b + 5, b)
-            w = word[b >> 3] << (b & 7).astype(np.uint64)
+            w = word[np.minimum(b >> 3, len(word) - 1)] << (b & 7).astype(np.uint64)
             q = _LEAD[(w >> np.uint64(48)).astype(np.int64)]
             long = np.flatnonzero((q == 16) & on & ~escape)
             while len(long):  # codes of sixteen zeros or more
@@ -414,35 +414,113 @@ def with_media(docs: DataFrame, text_col: str = "text", out_col: str = "media")
     return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{out_col}` binary"]))
 
 
-def _features(samples: np.ndarray, at: np.ndarray) -> list[str]:
-    """mean, mean square and zero crossings of signed samples and the number of blocks, as whole numbers."""
-    x = samples.astype(np.int64) - 128
-    n = np.diff(at)
-    total, square = np.add.reduceat(x, at[:-1]), np.add.reduceat(x * x, at[:-1])
-    sign = x < 0
-    cross = np.concatenate([[0], np.cumsum(sign[1:] != sign[:-1]), [0]])
-    crossings = cross[at[1:] - 1] - cross[at[:-1]]
-    return [f"mean={s // m} power={q // m} crossings={c} blocks={-(-m // BLOCK)}" for s, q, c, m in zip(total.tolist(), square.tolist(), crossings.tolist(), n.tolist())]
+#: Samples of a PCM block, a whole number of frames.
+PCM_SAMPLES = 16 * BLOCK
+_PCM = "block int, first_sample bigint, samples bigint, pcm binary"
 
 
-def features(media: DataFrame, id_col: str, media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
-    """Per row: what its stored stream decodes to. Streams must be FLAC; a broken one raises."""
-    kind = media.schema[id_col].dataType.simpleString()
+def _decoded(media: DataFrame) -> DataFrame:
+    """Columns i, n and m (streams) to rows (i, n, media_bytes, media_sha256, block, first_sample, samples, pcm): a row per
+    PCM block; a stream's blocks stand one after another in its partition. `samples` is the whole stream's number."""
+    kind = media.schema["i"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "m", _CHUNK):
             streams = part.column("m").to_pylist()
             data, at = decode(streams)
-            raw, ends = data.tobytes(), at.tolist()
-            own = [raw[a:b] for a, b in zip(ends, ends[1:])]
-            sha = lambda x: pa.array([hashlib.sha256(b).hexdigest() for b in x])
+            count = -(-np.diff(at) // PCM_SAMPLES)
+            row, block = np.repeat(np.arange(len(streams)), count), ragged(np.zeros(len(count), np.int64), count)
+            first = PCM_SAMPLES * block
+            raw, begin = data.tobytes(), at[:-1][row] + first
+            end = np.minimum(begin + PCM_SAMPLES, at[1:][row])
+            sha = pa.array([hashlib.sha256(s).hexdigest() for s in streams])
             yield pa.RecordBatch.from_arrays(
-                [part.column("i"), part.column("n"), pa.array(np.diff(at)), sha(own), pa.array([zlib.crc32(b[-UNIT:]) for b in own], pa.int64()), pa.array([len(s) for s in streams], pa.int64()), sha(streams), pa.array(_features(data, at))],
-                names=["i", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+                [part.column("i").take(pa.array(row)), part.column("n").take(pa.array(row)), pa.array([len(s) for s in streams], pa.int64()).take(pa.array(row)), sha.take(pa.array(row)),
+                 pa.array(block.astype(np.int32)), pa.array(first), pa.array(np.diff(at)[row]), pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())],
+                names=["i", "n", "media_bytes", "media_sha256", "block", "first_sample", "samples", "pcm"],
+            )
+
+    return media.mapInArrow(run, f"i {kind}, n bigint, media_bytes bigint, media_sha256 string, {_PCM}")
+
+
+def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id_col, block, first_sample, samples, pcm): the decoded streams as blocks of PCM_SAMPLES samples, 8-bit unsigned.
+
+    first_sample is a block's offset in its stream, samples the stream's whole number. All frames' checksums, the sample
+    counts and the MD5s are verified; a broken stream raises. Streams must not be null."""
+    rows = media.select(F.col(id_col).alias("i"), F.lit(None).cast("bigint").alias("n"), F.col(media_col).alias("m"))
+    return _decoded(rows).select(F.col("i").alias(id_col), "block", "first_sample", "samples", "pcm")
+
+
+def write_pcm(media: DataFrame, folder: str, id_col: str = "doc_id", media_col: str = "media") -> None:
+    """Write the blocks as a Parquet table that samples_at() seeks in, in this session or another."""
+    pcm_blocks(media, id_col, media_col).sortWithinPartitions(id_col, "first_sample").write.parquet(folder)
+
+
+def samples_at(blocks: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The samples [first, first + count) of each row (id_col, first, count) of wanted, as (id_col, first, count, pcm).
+
+    Only blocks that hold some of them are taken, by their offsets. What lies beyond a stream's end is left out."""
+    w = wanted.select(F.col(id_col).alias("__i"), "first", "count")
+    end = F.col("first_sample") + F.octet_length("pcm")
+    met = blocks.select(id_col, "first_sample", "pcm").join(w, (F.col(id_col) == F.col("__i")) & (F.col("first_sample") < F.col("first") + F.col("count")) & (end > F.col("first")))
+    skip = F.greatest(F.col("first") - F.col("first_sample"), F.lit(0))
+    piece = F.substring("pcm", (skip + 1).cast("int"), (F.least(F.col("first") + F.col("count"), end) - F.col("first_sample") - skip).cast("int"))
+    in_order = F.array_sort(F.collect_list(F.struct("first_sample", piece.alias("piece"))))
+    # an array of one asked range's blocks only; hex text is what can be joined
+    joined = F.unhex(F.array_join(F.transform(in_order, lambda x: F.hex(x["piece"])), ""))
+    return met.groupBy(id_col, "first", "count").agg(joined.alias("pcm"))
 
-    rows = media.select(F.col(id_col).alias("i"), F.col(bytes_col).alias("n"), F.col(media_col).alias("m"))
-    return rows.mapInArrow(run, f"i {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string").withColumnRenamed("i", id_col)
+
+class _Running:
+    """What is known of a stream after some of its blocks."""
+
+    def __init__(self):
+        self.n = self.total = self.square = self.crossings = 0
+        self.below, self.tail, self.sha = None, b"", hashlib.sha256()
+
+    def add(self, pcm: bytes, total: int, square: int, crossings: int, first_below: bool, last_below: bool) -> None:
+        self.n, self.total, self.square = self.n + len(pcm), self.total + total, self.square + square
+        self.crossings += crossings + (self.below is not None and self.below != first_below)
+        self.below, self.tail = last_below, (self.tail + pcm[-UNIT:])[-UNIT:]
+        self.sha.update(pcm)
+
+    def feature(self) -> str:
+        return f"mean={self.total // self.n} power={self.square // self.n} crossings={self.crossings} blocks={-(-self.n // BLOCK)}"
+
+
+def features(media: DataFrame, id_col: str, media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
+    """Per row: what its stored stream decodes to, from its PCM blocks in turn: mean, mean square and zero crossings of the
+    signed samples and the number of FLAC blocks. Streams must be FLAC with a sample at least; a broken one raises."""
+    kind = media.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Running()
+        for part in slices(batches, "pcm"):
+            data, at = utf8(part.column("pcm"))
+            x = data.astype(np.int64) - 128
+            total, square, below = np.add.reduceat(x, at[:-1]), np.add.reduceat(x * x, at[:-1]), x < 0
+            cross = np.concatenate([[0], np.cumsum(below[1:] != below[:-1]), [0]])
+            crossings = cross[at[1:] - 1] - cross[at[:-1]]
+            done, out = [], []
+            for i, (first, samples) in enumerate(zip(part.column("first_sample").to_pylist(), part.column("samples").to_pylist())):
+                if first == 0:
+                    own = _Running()
+                a, b = int(at[i]), int(at[i + 1])
+                own.add(data[a:b].tobytes(), int(total[i]), int(square[i]), int(crossings[i]), bool(below[a]), bool(below[b - 1]))
+                if own.n == samples:
+                    done.append(i)
+                    out.append((samples, own.sha.hexdigest(), zlib.crc32(own.tail), own.feature()))
+            if done:
+                kept = part.take(pa.array(done))
+                n, sha, tail, feature = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column("i"), kept.column("n"), pa.array(n, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), kept.column("media_bytes"), kept.column("media_sha256"), pa.array(feature)],
+                    names=["i", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                )
+
+    rows = media.select(F.col(id_col).alias("i"), F.col(bytes_col).cast("bigint").alias("n"), F.col(media_col).alias("m"))
+    return _decoded(rows).mapInArrow(run, f"i {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string").withColumnRenamed("i", id_col)
 
 
 def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

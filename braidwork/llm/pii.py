@@ -31,21 +31,26 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOOSE = (
     ("phone", re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\)[\x20-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")),
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}")),
-    ("secret", re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_=-]{8,256})", re.IGNORECASE)),
+    # a run of local characters is entered at its first one only, and not gone back into, so that long runs stay linear
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]+)+")),
+    ("secret", re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20*+[=:]\x20*+[\"']?([A-Za-z0-9+/_=-]{8,})", re.IGNORECASE)),
 )
 #: Texts without any of these bytes hold no candidate.
 _HINT = np.zeros(256, dtype=bool)
 _HINT[[*b"0123456789@[(=:"]] = True
 
-#: Gazetteers: fixed values.
-_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
+#: Gazetteers: fixed values. Top-level domains in wide use, and words that stand before personal data in English, German,
+#: French and Spanish.
+_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro io co me app dev ai xyz online site shop "
+    "at au be br ca ch cn cz de dk es eu fi fr gr hk hu ie il in it jp kr mx nl no nz pl pt ro ru se sg sk tr tw ua uk us za".split()
+)
 _CUES = {
-    "email": ("mail", "contact", "write to", "@"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "fax", "mobile", "contact"),
-    "secret": ("password", "passwd", "pwd", "token", "secret", "key"),
+    "email": ("mail", "contact", "write to", "reach", "kontakt", "schreib", "courriel", "correo", "contacto", "@"),
+    "ip": ("ip", "host", "server", "address", "adresse", "serveur", "servidor", "gateway", "dns"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "payment", "karte", "kredit", "carte", "tarjeta", "zahlung"),
+    "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "contact", "anruf", "handy", "portable", "llamar", "movil"),
+    "secret": ("password", "passwd", "pwd", "token", "secret", "key", "passwort", "mot de passe", "clave", "contrase"),
 }
 
 
@@ -189,12 +194,12 @@ def train(keys: list[str], counts: np.ndarray, steps: int = 300, decay: float =
     return w
 
 
-def _hinted(part: pa.RecordBatch) -> list[str | None]:
+def _hinted(part: pa.RecordBatch, column: str = "t") -> list[str | None]:
     """The texts that can hold a span; None for the others."""
-    data, at = utf8(part.column("t"))
+    data, at = utf8(part.column(column))
     seen = np.concatenate([[0], np.cumsum(_HINT[data])])
     some = seen[at[1:]] > seen[at[:-1]]
-    return [t.as_py() if s else None for t, s in zip(part.column("t"), some.tolist())]
+    return [t.as_py() if s else None for t, s in zip(part.column(column), some.tolist())]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +218,29 @@ def _said(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+def learned(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Weights of the span classifier, from the vote patterns of all candidates in docs."""
+    counted = docs.select(F.col(text_col).alias("t")).mapInArrow(_keys, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+    return train([r.k for r in counted], np.array([r.n for r in counted]))
+
+
+class _Spans:
+    """The exact spans of a text, and all of them; what the classifier says of a key is kept."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.sure = weights, {}
+
+    def real(self, key: str) -> bool:
+        if key not in self.sure:
+            self.sure[key] = bool((_design([key]) @ self.weights)[0] > 0)
+        return self.sure[key]
+
+    def __call__(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+        base = base_spans(text)
+        more = [s for s in candidates(text, base) if self.real(features(text, *s))]
+        return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, counts and digest of the exact spans, and all spans as text.
 
@@ -220,24 +248,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows, null ids stay, an empty table gives none.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    counted = rows.select("t").mapInArrow(_keys, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
-    weights = train([r.k for r in counted], np.array([r.n for r in counted]))
-    kind = docs.schema[id_col].dataType.simpleString()
+    weights, kind = learned(docs, text_col), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sure: dict[str, bool] = {}
-
-        def real(key: str) -> bool:
-            if key not in sure:
-                sure[key] = bool((_design([key]) @ weights)[0] > 0)
-            return sure[key]
-
+        spans = _Spans(weights)
         for part in slices(batches, "t"):
             out: list[tuple] = []
             for t in _hinted(part):
-                base = base_spans(t) if t is not None else []
-                more = [s for s in candidates(t, base) if real(features(t, *s))] if t is not None else []
-                every = sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+                base, every = spans(t) if t is not None else ([], [])
                 n = [sum(s[2] == k for s in base) for k in BASE]
                 out.append((*n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(every)))
             names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
@@ -247,22 +265,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(run, f"i {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string").withColumnRenamed("i", id_col)
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every found span replaced by <KIND>; ids must be unique."""
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with spans replaced by <KIND>; spans that overlap are one, under the kinds of all of them."""
+    joined: list[list] = []
+    for a, b, k in sorted(spans):
+        if joined and a < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+            joined[-1][2] += [k] * (k not in joined[-1][2])
+        else:
+            joined.append([a, b, [k]])
+    out, at = [], 0
+    for a, b, k in joined:
+        out += [text[at:a], f"<{'/'.join(sorted(k, key=KINDS.index)).upper()}>"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, text_col: str = "text", weights: np.ndarray | None = None) -> DataFrame:
+    """docs with every span of the text masked; weights are those learned from docs, unless given.
+
+    All rows and columns stay as they are otherwise, also repeated ones; a null text stays null."""
+    weights = learned(docs, text_col) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for t, said in zip(batch.column("__t").to_pylist(), batch.column("__s").to_pylist()):
-                end = len(t or "")
-                for s in reversed(said.split(",") if said else []):
-                    k, a, b = s.split(":")
-                    if int(b) <= end:  # of overlapping spans the last to start is replaced
-                        t, end = f"{t[: int(a)]}<{k.upper()}>{t[int(b) :]}", int(a)
-                texts.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column("__i"), pa.array(texts, pa.string())], names=["__i", "__r"])
-
-    spans = found.select(F.col(id_col).alias("__i"), F.col("spans").alias("__s"))
-    rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).join(spans, "__i")
-    out = rows.mapInArrow(run, f"__i {docs.schema[id_col].dataType.simpleString()}, __r string")
-    return docs.join(out, F.col(id_col) == F.col("__i"), "left").withColumn(text_col, F.coalesce("__r", text_col)).drop("__i", "__r")
+        spans = _Spans(weights)
+        for part in slices(batches, text_col):
+            texts = [masked(h, spans(h)[1]) if h else t for h, t in zip(_hinted(part, text_col), part.column(text_col).to_pylist())]
+            place = part.schema.get_field_index(text_col)
+            yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import checkpoint, partitions, shared_dir
+from ._text import partitions, shared_dir
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -28,6 +28,8 @@ REVISIT_BYTES = 1000
 GAP, READ = 64 << 10, 4 << 20
 #: Bytes of an archive dealt to one task's reads at a time.
 _REGION = 16 << 20
+#: The index, a Parquet table in the archives' folder.
+INDEX = "index.parquet"
 _INDEX = "file string, offset bigint, length bigint, url string, digest string, record_type string, page_id bigint"
 
 
@@ -74,7 +76,7 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None, bytes]:
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Write a record per row of pages; return the index, itself written to the shared folder.
+    """Write a record per row of pages and the index beside the archives; return the index.
 
     A null html is an empty payload, a null url leaves its header out. Among equal payloads of REVISIT_BYTES or more the
     row with the largest id is the response (rows that repeat that id too); with no id but null ones all are responses.
@@ -109,7 +111,13 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         if out is not None:
             out.close()
 
-    return checkpoint(rows.mapInArrow(run, _INDEX))
+    rows.mapInArrow(run, _INDEX).write.parquet(f"{folder}/{INDEX}")
+    return index(pages.sparkSession, folder)
+
+
+def index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of the archives in a folder that write() filled, in this session or another."""
+    return spark.read.parquet(f"{folder}/{INDEX}")
 
 
 def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -146,12 +154,16 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 by_file.setdefault(file, []).append((offset, length))
             for file, ranges in by_file.items():
                 if file != opened:
+                    if source is not None:
+                        source.close()
                     store, path = fs.FileSystem.from_uri(file)
                     opened, source = file, store.open_input_file(path)
                 for begin, end, held in coalesced(sorted(ranges)):
                     data = source.read_at(end - begin, begin)
                     got = [parse(zlib.decompress(data[o - begin : o - begin + n], wbits=31)) for o, n in held]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*got))[: len(names)], kinds)], names=names)
+        if source is not None:
+            source.close()
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if with_payload else "")
     places = index.select("file", "offset", "length")

@@ -244,6 +244,10 @@ def test_warc(spark, tmp_path):
         revisit = len(b) >= 1000 and h == big and i != 9
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
     assert got == ordered(want)
+    folder = index.first().file.rsplit("/", 1)[0]
+    other = warc.index(spark.newSession(), folder)  # the index lies beside the archives
+    assert collected(warc.read(other), "page_id", "payload_digest") == [x[:1] + x[2:3] for x in got] or len(got) == other.count()
+    assert {r.file.rsplit("/", 1)[0] for r in other.collect()} == {folder}
     only = warc.read(index.where("page_id = 3"), with_payload=True).collect()
     assert [(r.page_id, bytes(r.payload)) for r in only] == [(3, b"small")]
     assert warc.read(warc.write(spark.createDataFrame([], PAGE_SCHEMA))).count() == 0
@@ -305,6 +309,38 @@ def test_flac_query(spark):
     assert flac.stored_features(frame(spark, [])).count() == 0
 
 
+def test_flac_features_of_long_and_repeated_texts(spark):
+    """Streams of many PCM blocks, against the plain formulas; equal texts have equal values wherever they stand."""
+    texts = ["", None, "a", "many words " * 40_000, "é" * flac.PCM_SAMPLES, "x" * (flac.PCM_SAMPLES - 1), "many words " * 40_000]
+    rows = [*enumerate(texts), (None, "a"), (2, "a")]
+    got = flac.stored_features(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = []
+    for d, t in rows:
+        b = (t or "").encode()
+        b += b"\0" * (max(-(-len(b) // 64), 1) * 64 - len(b))
+        x = [v - 128 for v in b]
+        want.append((d, f"mean={sum(x) // len(x)} power={sum(v * v for v in x) // len(x)} crossings={sum((p < 0) != (q < 0) for p, q in zip(x, x[1:]))} blocks={-(-len(x) // flac.BLOCK)}"))
+    assert ordered((r.doc_id, r.feature) for r in got) == ordered(want)
+
+
+def test_pcm_blocks_are_sought_in_another_session(spark, tmp_path):
+    texts = ["some words and more " * 3000, "short", None, "y" * 30_000]
+    folder = f"file://{tmp_path}/pcm"
+    flac.write_pcm(flac.with_media(frame(spark, enumerate(texts))), folder)
+    other = spark.newSession()
+    blocks = other.read.parquet(folder)
+    assert blocks.columns == ["doc_id", "block", "first_sample", "samples", "pcm"]
+    assert {r.doc_id: r.n for r in blocks.groupBy("doc_id").agg({"block": "count"}).withColumnRenamed("count(block)", "n").collect()}[0] == -(-60_032 // flac.PCM_SAMPLES)
+    wanted = [(0, 0, 5), (0, 8190, 4), (0, 8000, 40_000), (1, 3, 100), (3, 29_999, 1), (2, 0, 64), (3, 90_000, 5)]
+    got = {(r.doc_id, r.first): bytes(r.pcm) for r in flac.samples_at(blocks, other.createDataFrame(wanted, "doc_id bigint, first bigint, count bigint")).collect()}
+    for d, first, count in wanted[:-1]:
+        b = (texts[d] or "").encode()
+        b += b"\0" * (max(-(-len(b) // 64), 1) * 64 - len(b))
+        assert got[d, first] == b[first : first + count]
+    assert (3, 90_000) not in got
+
+
 def test_patience_diff():
     a, b = [1, 2, 3, 4, 5, 9, 9], [8, 1, 2, 7, 4, 5, 9, 9]
     assert linededup.aligned(a, b) == [(0, 1), (1, 2), (3, 4), (4, 5), (5, 6), (6, 7)]
@@ -618,10 +654,32 @@ def test_pii_query(spark):
         assert set(filter(None, said.split(","))) <= set(by[i].spans.split(","))
     assert by[50].spans.startswith("secret:9:") and by[90].spans.startswith("phone:5:")
     assert pii.find(frame(spark, [])).count() == 0
-    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, rows[:-1]), pii.find(frame(spark, rows[:-1]))).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, rows[:-1])).collect()}
     assert "<EMAIL>" in clean[0] and "@" not in clean[0] and clean[121] is None and clean[123] == "no data"
 
 
+def test_masked_spans_may_overlap():
+    text = "see a@10.1.2.3 or 10.1.2.3@host.com now"
+    assert pii.masked(text, pii.base_spans(text)) == "see <EMAIL/IP> or <EMAIL/IP> now"
+    assert pii.masked(text, []) == text and pii.masked("", []) == ""
+
+
+def test_long_secrets_are_found_whole(spark):
+    r = random.Random(3)
+    token = lambda n: "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    rows = [(i, f"Set password = {token(n)} and go") for i, n in enumerate((12, 40, 360, 2000) * 4)]
+    rows += [(90, "x" * 200 + " [at] " + "y" * 100 + " [dot] com"), (91, "a." * 200_000 + " password" + " " * 50_000), (92, None), (92, "mail me@host.org"), (92, "mail me@host.org")]
+    df = frame(spark, rows)
+    found = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert all(found[i] == f"secret:15:{15 + n}" for i, n in enumerate((12, 40, 360, 2000) * 4))
+    assert found[90] == f"email:0:{200 + 6 + 100 + 6 + 3}" and found[91] == ""
+    clean = pii.redact(df)
+    assert clean.columns == df.columns
+    texts = collected(clean, "doc_id", "text")
+    assert [t for d, t in texts if d == 92] == [None, "mail <EMAIL>", "mail <EMAIL>"]
+    assert all(t == "Set password = <SECRET> and go" for d, t in texts if d < 16)
+
+
 def test_weak_supervision_finds_the_bad_labeler():
     r, keys = random.Random(2), Counter()
     for _ in range(3000):
