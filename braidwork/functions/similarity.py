@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 
 METHODS = ("levenshtein", "token_sort", "token_set", "partial")
 
+#: Code points that token methods leave out.
+_DROPPED = dict.fromkeys(range(128, 256))
+
 
 def lcs_length(a: str, b: str) -> int:
     if len(a) > len(b):
@@ -37,7 +41,8 @@ def ratio(a: str, b: str) -> float:
 
 
 def _clean(s: str) -> list[str]:
-    return re.sub(r"[\W_]", " ", s.lower()).split()
+    """Words of letters, digits and underscores, in lower case; code points 128 to 255 are dropped first."""
+    return re.sub(r"\W", " ", s.translate(_DROPPED)).lower().split()
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -54,10 +59,13 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    short, long = sorted((a, b), key=len)
+    """The best ratio of the shorter string to windows as long of the longer one, where common blocks put it; a window
+    that reaches over the end is cut off there."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 0.0
-    return max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    starts = {max(j - i, 0) for i, j, _ in SequenceMatcher(None, short, long).get_matching_blocks()}
+    return max(ratio(short, long[i : i + len(short)]) for i in starts)
 
 
 _BY_NAME = {"levenshtein": ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial": partial_ratio}

@@ -43,7 +43,7 @@ def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def samples(df: DataFrame, n: int = 20, order: str = "__row_id") -> DataFrame:
     """(field_name, samples): the first n non-null values of every column, as text, in row order.
 
-    min_by-style: each partition keeps n values per column, so nothing unbounded meets.
+    A scan per column, each of which keeps n values per partition.
     """
     columns = [c for c in df.columns if c != order]
     out = None
@@ -67,13 +67,13 @@ def infer_types(df: DataFrame, order: str = "__row_id") -> dict[str, DataType]:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """One row, `digest`: SHA-256 of the sorted SHA-256s of the rows, each over its values in order of column names.
+    """One row, `digest`: SHA-256 over the rows' distinct SHA-256s in order, each with the number of its rows.
 
-    Column order and row order don't matter; repeated rows do. The row digests are summed up by range: digests of every
-    leading byte are sorted and hashed first, then those 256 in turn, so no task holds all of them.
-    """
-    digest = row_hash(df).select("row_sha256", F.substring("row_sha256", 1, 4).alias("a"))
-    fine = digest.groupBy("a").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row_sha256")), ""), 256).alias("h"))
+    Column order and row order don't matter; repeated rows do, and are counted before anything is gathered. Digests are
+    put together in groups by their first four hex digits (65,536 at most) and the groups' digests then once more."""
+    counted = row_hash(df).groupBy("row_sha256").count()
+    line = F.concat("row_sha256", F.lit(":"), F.col("count").cast("string"))
+    fine = counted.groupBy(F.substring("row_sha256", 1, 4).alias("a")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("h"))
     return fine.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "h"))), lambda s: F.concat(s["a"], s["h"])), ""), 256).alias("digest"))
 
 

@@ -40,7 +40,12 @@ def _holds(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def humanize(name: Column) -> Column:
-    return F.initcap(F.translate(name, "_-", "  "))
+    return titled(F.translate(name, "_-", "  "))
+
+
+def titled(text: Column) -> Column:
+    """Every letter after none in upper case, the others in lower case."""
+    return F.array_join(F.transform(F.split(text, r"(?<=[^\p{L}])(?=\p{L})"), F.initcap), "")
 
 
 def _label(kind: Column, confidence: Column, label: Column, description: Column) -> Column:
@@ -52,7 +57,7 @@ def fallback(name: Column, data_type: Column, unique_ratio: Column) -> Column:
     n = F.lower(name)
     numeric = data_type.isin("integer", "float")
     say = lambda kind, conf, label, text: _label(F.lit(kind), F.lit(conf), F.lit(label), F.concat(F.lit(text + ": "), name))
-    rest = _label(F.when(data_type == "string", "text").otherwise("unknown"), F.lit(0.3), humanize(F.translate(name, "-", "-")), F.concat(F.lit("Field: "), name))
+    rest = _label(F.when(data_type == "string", "text").otherwise("unknown"), F.lit(0.3), titled(F.translate(name, "_", " ")), F.concat(F.lit("Field: "), name))
     return (
         F.when(_holds(n, FALLBACK_ID), say("identifier", 0.7, "Identifier", "Unique identifier field"))
         .when(_holds(n, FALLBACK_TIME), say("timestamp", 0.7, "Timestamp", "Date/time field"))

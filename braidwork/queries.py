@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .functions import similarity as sim
 from .functions import transforms, validate, vectors
 from .operators import align, cluster, impute, joins, profile, semantics, stats
+from .session import shared_folder
+from .sources import readers
 from .types import AlignmentConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,11 +88,36 @@ def content_hash(spark, sf_dir):
     return profile.row_hash(_t(spark, sf_dir, "nation")).unionByName(profile.row_hash(_t(spark, sf_dir, "region")))
 
 
-@query()
+@query("""WITH r AS (SELECT sha256(concat_ws(chr(31), COALESCE(o_custkey::VARCHAR, chr(0)), COALESCE(o_orderdate::VARCHAR, chr(0)), COALESCE(o_orderkey::VARCHAR, chr(0)),
+  COALESCE(o_orderpriority::VARCHAR, chr(0)), COALESCE(o_orderstatus::VARCHAR, chr(0)), COALESCE(o_totalprice::VARCHAR, chr(0)))) AS s, COUNT(*) AS n FROM orders GROUP BY 1),
+g AS (SELECT substr(s, 1, 4) AS a, sha256(string_agg(s || ':' || n, '' ORDER BY s)) AS h FROM r GROUP BY 1)
+SELECT sha256(string_agg(a || h, '' ORDER BY a)) AS digest FROM g""")
 def content_digest(spark, sf_dir):
     return profile.content_hash(_t(spark, sf_dir, "orders"))
 
 
+def _through_a_file(spark, df, suffix):
+    """df written as a text source, then read like any other one."""
+    path = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}.{suffix}"
+    (df.write.option("header", True).csv(path) if suffix == "csv" else df.write.json(path))
+    return readers.read(spark, path)
+
+
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier")
+def ingest_csv(spark, sf_dir):
+    return _through_a_file(spark, _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "csv")
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal FROM customer")
+def ingest_jsonl(spark, sf_dir):
+    return _through_a_file(spark, _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), "jsonl")
+
+
+@query("SELECT * FROM part")
+def ingest_parquet(spark, sf_dir):
+    return readers.read(spark, f"{sf_dir}/part.parquet")
+
+
 @query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
 def sample_head(spark, sf_dir):
     return _t(spark, sf_dir, "orders").orderBy("o_orderkey").limit(10)

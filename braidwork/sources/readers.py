@@ -13,17 +13,24 @@ from . import sniff
 
 #: Texts that stand for a missing value in CSV.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-_JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
+_JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16", "shift_jis": "Shift_JIS"}
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, config: IngestorConfig | None = None) -> DataFrame:
     """With a header, types inferred after missing-value texts are nulled; integers become bigint. Delimiter and encoding
-    are sniffed unless given."""
+    are sniffed unless given; what the beginning says of UTF-8 is held against all lines, which also show whether values
+    span lines. A file where none does is read in splits."""
     size = max((config or IngestorConfig()).encoding_sample_bytes, 32768)
     raw = sniff.head(spark, path, size)
-    encoding = encoding or sniff.encoding(raw, len(raw) < size)
+    given, encoding = encoding, encoding or sniff.encoding(raw, len(raw) < size)
+    multiline = True
+    if encoding in ("utf-8", "utf-8-sig", "latin-1"):
+        found, multiline = sniff.lines(spark, path)
+        encoding = encoding if given or encoding == "latin-1" or found == "utf-8" else found
     sep = sep or sniff.delimiter(raw.decode(_JAVA.get(encoding, encoding), "replace"))
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", _JAVA.get(encoding, encoding)).option("multiLine", True).option("escape", '"').csv(path)
+    if encoding == "shift_jis":
+        spark.conf.set("spark.sql.legacy.javaCharsets", True)  # else only Unicode's and Latin-1 are let through
+    df = spark.read.option("header", True).option("sep", sep).option("encoding", _JAVA.get(encoding, encoding)).option("multiLine", multiline).option("escape", '"').csv(path)
     names = [n.lstrip("﻿") for n in df.columns]
     df = df.toDF(*names).select([F.when(~F.col(f"`{n}`").isin(*NULL_TOKENS), F.col(f"`{n}`")).alias(n) for n in names])
     return typed(df)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..types import IngestionError, SourceType
 
@@ -44,16 +45,30 @@ def head(spark: SparkSession, path: str, size: int) -> bytes:
 
 
 def encoding(raw: bytes, whole: bool = False) -> str:
-    """By byte-order mark, then UTF-8 if it decodes (unless raw is whole, a character may be cut at its end), else Latin-1."""
+    """By byte-order mark, then the first that decodes of UTF-8, Shift-JIS (where it gives kana) and Latin-1. Unless raw is
+    whole, a character may be cut at its end."""
     if raw.startswith(b"\xef\xbb\xbf"):
         return "utf-8-sig"
     if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "utf-16"
-    try:
-        codecs.getincrementaldecoder("utf-8")().decode(raw, final=whole)
-        return "utf-8"
-    except UnicodeDecodeError:
-        return "latin-1"
+    for name in ("utf-8", "shift_jis"):
+        try:
+            text = codecs.getincrementaldecoder(name)().decode(raw, final=whole)
+        except UnicodeDecodeError:
+            continue
+        if name == "utf-8" or any("\u3041" <= c <= "\u30ff" for c in text):
+            return name
+    return "latin-1"
+
+
+def lines(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether a quoted value holds a line end), from all lines of a text whose bytes may be UTF-8. One scan."""
+    value = F.col("value")  # the text source hands bytes through as they are
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    broken = ~F.is_valid_utf8(value)
+    some = F.min(F.when(broken, F.struct(value.cast("binary").alias("raw"))))
+    odd, bad = spark.read.text(path).agg(F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)), some).first()
+    return ("utf-8" if bad is None else encoding(bytes(bad.raw), True)), bool(odd)
 
 
 def delimiter(text: str) -> str:

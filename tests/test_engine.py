@@ -19,6 +19,9 @@ def files(tmp_path_factory):
     (d / "dep.csv").write_text("emp_id;location;budget\n1;Rome;10.5\n3;Oslo;20\n9;Bern;7\n")
     (d / "latin.csv").write_bytes("id,name\n1,Müller\n".encode("latin-1"))
     (d / "bom.csv").write_bytes(b"\xef\xbb\xbfid\tname\n1\tx\n")
+    (d / "late.csv").write_bytes(b"id,name\n" + b"1,plain\n" * 9000 + "2,Müller\n".encode("latin-1"))
+    (d / "kana.csv").write_bytes("id,name\n1,カタカナとひらがな\n".encode("shift_jis"))
+    (d / "lines.csv").write_text('id,name\n1,"a\nb ""c"""\n2,d\n')
     (d / "empty.csv").write_text("id,name,value\n")
     (d / "rec.json").write_text(json.dumps([{"zeta": 1, "alpha": {"x": [1]}, "m": None}, {"zeta": 2, "alpha": {"x": []}, "m": "q"}]))
     (d / "rec.jsonl").write_text('{"id": 1, "b": "x"}\n{"id": 2, "b": "y"}\n')
@@ -40,6 +43,9 @@ def test_readers(spark, files):
     assert dict(readers.read(spark, f"{files}/dep.csv").dtypes)["budget"] == "double"
     assert readers.read(spark, f"{files}/dep.csv", delimiter=",").columns == ["emp_id;location;budget"]
     assert readers.read(spark, f"{files}/latin.csv").first().name == "Müller"
+    assert readers.read(spark, f"{files}/late.csv").where("id = 2").first().name == "Müller"  # past what is sniffed
+    assert readers.read(spark, f"{files}/kana.csv").first().name == "カタカナとひらがな"
+    assert [tuple(r) for r in readers.read(spark, f"{files}/lines.csv").collect()] == [(1, 'a\nb "c"'), (2, "d")]
     assert readers.read(spark, f"{files}/bom.csv").columns == ["id", "name"]
     assert readers.read(spark, f"{files}/empty.csv").count() == 0
     assert readers.read(spark, f"{files}/rec.json").columns == ["zeta", "alpha", "m"]

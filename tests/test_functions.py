@@ -35,6 +35,10 @@ def test_string_similarity():
     assert sim.string_similarity("annual salary", "salary annual", "token_sort") == 1.0
     assert sim.string_similarity("employee name", "name", "token_set") == 1.0
     assert sim.string_similarity("abc", "xxabcxx", "partial") == 1.0
+    assert sim.partial_ratio("abcd", "xxab") == 0.67  # the window is cut off at the end: "ab"
+    assert sim.partial_ratio("", "abc") == 0.0
+    assert sim.token_sort_ratio("net_pay", "pay net") < 1.0  # an underscore is a letter
+    assert sim.token_sort_ratio("Größe 1", "grsse 1 ".replace("ss", "")) > 0.8  # ö and ß are dropped
     assert sim.string_similarity(" A ", "a") == 1.0
     assert sim.string_similarity("", "a") == sim.string_similarity(None, "a") == 0.0
     with pytest.raises(ValueError):
