@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..types import ImputationMethod, numeric_columns
+from .rows import quantiles, value_counts
 
 
 @dataclass
@@ -28,14 +29,17 @@ def eligible(df: DataFrame, max_null_ratio: float = 0.5) -> dict[str, int]:
 
 
 def fill_values(df: DataFrame, columns: list[str], method: ImputationMethod) -> dict[str, float]:
-    """Mean, interpolated median or smallest mode of each column, in one aggregate."""
-    one = {
-        ImputationMethod.MEAN: lambda c: F.avg(c.cast("double")),
-        ImputationMethod.MEDIAN: lambda c: F.median(c.cast("double")),
-        ImputationMethod.MODE: lambda c: F.mode(c.cast("double"), deterministic=True),
-    }[method]
-    got = df.agg(*[one(F.col(f"`{c}`")).alias(c) for c in columns]).first()
-    return {c: got[c] for c in columns if got[c] is not None}
+    """Mean, interpolated median or smallest mode of each column; the latter two from counts of distinct values."""
+    if method == ImputationMethod.MEAN:
+        got = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).first()
+        return {c: got[c] for c in columns if got[c] is not None}
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("c")).select("c.*")
+    if method == ImputationMethod.MEDIAN:
+        return {r.field_name: r.q[0] for r in quantiles(cells, [0.5]).collect()}
+    if method != ImputationMethod.MODE:
+        raise KeyError(method)
+    most = value_counts(cells).groupBy("field_name").agg(F.max(F.struct("n", (-F.col("v")).alias("less"))).alias("m"))
+    return {r.field_name: 0.0 - r.m.less for r in most.collect()}
 
 
 def knn(df: DataFrame, columns: list[str], k: int = 5, order: str = "__row_id") -> DataFrame:

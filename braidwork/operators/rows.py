@@ -36,6 +36,37 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return numbered.withColumn(ROW_ID, F.col("__o") + F.col("__mono").bitwiseAND((1 << 33) - 1)).drop("__mono", "__p", "__o")
 
 
+def value_counts(cells: DataFrame) -> DataFrame:
+    """(field_name, v, n): the distinct non-null values of each field and how often they occur, from a row per cell."""
+    return cells.where("v IS NOT NULL").groupBy("field_name", "v").agg(F.count("*").alias("n"))
+
+
+def quantiles(cells: DataFrame, shares: list[float]) -> DataFrame:
+    """(field_name, q): exact interpolated quantiles of each field's values v; fields without any are left out.
+
+    Distinct values are range-partitioned and counted within partitions, so that no task holds a field's values; a small
+    table of totals by partition and field says in which partition a rank lies."""
+    from pyspark.sql import Window as W
+
+    dealt = checkpoint(value_counts(cells).repartitionByRange("field_name", "v").withColumn("p", F.spark_partition_id()))
+    before, offsets = {}, []
+    for r in sorted(dealt.groupBy("p", "field_name").agg(F.sum("n").alias("n")).collect()):
+        offsets.append((r.p, r.field_name, before.get(r.field_name, 0)))
+        before[r.field_name] = before.get(r.field_name, 0) + r.n
+    wanted = [(f, k, share * (n - 1)) for f, n in before.items() for k, share in enumerate(shares)]
+    spark = cells.sparkSession
+    offset = spark.createDataFrame(offsets, "p int, field_name string, o bigint")
+    place = spark.createDataFrame(wanted, "field_name string, k int, at double")
+    upto = F.col("o") + F.sum("n").over(W.partitionBy("p", "field_name").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = dealt.join(F.broadcast(offset), ["p", "field_name"]).select("field_name", "v", upto.alias("upto"), "n")
+    covers = lambda x: (x < F.col("upto")) & (x >= F.col("upto") - F.col("n"))
+    low, high = F.floor("at"), F.ceil("at")
+    met = ranked.join(F.broadcast(place), "field_name").where(covers(low) | covers(high))
+    ends = met.groupBy("field_name", "k", "at").agg(F.max(F.when(covers(low), F.col("v"))).alias("a"), F.max(F.when(covers(high), F.col("v"))).alias("b"))
+    value = F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+    return ends.groupBy("field_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
 def ranks(df: DataFrame, value: str, row: str) -> DataFrame:
     """(row, rank): average ranks of the non-null values, without a global window over the rows.
 
