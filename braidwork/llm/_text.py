@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+from ..session import shared_folder as shared_dir
+
+__all__ = ["SPACE", "Rolling", "checkpoint", "crc_mod", "distinct", "mixed", "partitions", "ragged", "range_hashes", "shared_dir", "slices", "utf8", "word_spans"]
+
 #: Bytes that end a word: space and \t \n \v \f \r, as in ``[^\x20\x09-\x0D]+``. bytes.split() uses the same six.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -18,23 +22,6 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 CHUNK_BYTES = 4 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage; the folder is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="braidwork-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
