@@ -35,7 +35,7 @@ def fill_values(df: DataFrame, columns: list[str], method: ImputationMethod) ->
         return {c: got[c] for c in columns if got[c] is not None}
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("c")).select("c.*")
     if method == ImputationMethod.MEDIAN:
-        return {r.field_name: r.q[0] for r in quantiles(cells, [0.5]).collect()}
+        return {r.field_name: r.q[0] for r in quantiles(value_counts(cells), [0.5]).collect()}
     if method != ImputationMethod.MODE:
         raise KeyError(method)
     most = value_counts(cells).groupBy("field_name").agg(F.max(F.struct("n", (-F.col("v")).alias("less"))).alias("m"))

@@ -37,24 +37,25 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def value_counts(cells: DataFrame) -> DataFrame:
-    """(field_name, v, n): the distinct non-null values of each field and how often they occur, from a row per cell."""
-    return cells.where("v IS NOT NULL").groupBy("field_name", "v").agg(F.count("*").alias("n"))
+    """(field_name, v, n): the distinct non-null values of each field and how often they occur, from a row per cell.
+    Written down, since it is read for range bounds, for quantiles and for numbers of distinct values."""
+    return checkpoint(cells.where("v IS NOT NULL").groupBy("field_name", "v").agg(F.count("*").alias("n")))
 
 
-def quantiles(cells: DataFrame, shares: list[float]) -> DataFrame:
-    """(field_name, q): exact interpolated quantiles of each field's values v; fields without any are left out.
+def quantiles(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """(field_name, q): exact interpolated quantiles of each field's values, from value_counts; fields without any are left out.
 
     Distinct values are range-partitioned and counted within partitions, so that no task holds a field's values; a small
     table of totals by partition and field says in which partition a rank lies."""
     from pyspark.sql import Window as W
 
-    dealt = checkpoint(value_counts(cells).repartitionByRange("field_name", "v").withColumn("p", F.spark_partition_id()))
+    dealt = checkpoint(counts.repartitionByRange("field_name", "v").withColumn("p", F.spark_partition_id()))
     before, offsets = {}, []
     for r in sorted(dealt.groupBy("p", "field_name").agg(F.sum("n").alias("n")).collect()):
         offsets.append((r.p, r.field_name, before.get(r.field_name, 0)))
         before[r.field_name] = before.get(r.field_name, 0) + r.n
     wanted = [(f, k, share * (n - 1)) for f, n in before.items() for k, share in enumerate(shares)]
-    spark = cells.sparkSession
+    spark = counts.sparkSession
     offset = spark.createDataFrame(offsets, "p int, field_name string, o bigint")
     place = spark.createDataFrame(wanted, "field_name string, k int, at double")
     upto = F.col("o") + F.sum("n").over(W.partitionBy("p", "field_name").orderBy("v").rowsBetween(W.unboundedPreceding, 0))

@@ -24,8 +24,9 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), F.min("v").alias("min"),
         F.max("v").alias("max"), (F.count("*") - F.count("v")).alias("null_count"),
     )
-    unique = value_counts(cells).groupBy("field_name").agg(F.count("*").alias("unique_count"))
-    q = quantiles(cells, [0.25, 0.5, 0.75])  # these two have a row per column
+    counts = value_counts(cells)
+    unique = counts.groupBy("field_name").agg(F.count("*").alias("unique_count"))
+    q = quantiles(counts, [0.25, 0.5, 0.75])  # these two have a row per column
     return main.where(F.col("count") > 0).join(F.broadcast(unique), "field_name").join(F.broadcast(q), "field_name").select(
         "field_name", "count", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "null_count", "unique_count"
     )
@@ -110,7 +111,7 @@ def outlier_bounds(df: DataFrame, k: float = 1.5, columns: list[str] | None = No
     columns = columns or numeric_columns(df.schema)
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("c")).select("c.*")
     enough = cells.groupBy("field_name").agg(F.count("v").alias("n")).where("n >= 4")
-    q = quantiles(cells, [0.25, 0.75]).join(F.broadcast(enough), "field_name")  # a row per column
+    q = quantiles(value_counts(cells), [0.25, 0.75]).join(F.broadcast(enough), "field_name")  # a row per column
     spread = (F.col("q")[1] - F.col("q")[0]) * k
     return q.select("field_name", (F.col("q")[0] - spread).alias("lower_bound"), (F.col("q")[1] + spread).alias("upper_bound"))
 
