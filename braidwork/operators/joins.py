@@ -133,13 +133,27 @@ def _score(left: DataFrame, right: DataFrame, pairs: list[Pair], weights: dict[s
     return rows.withColumn("score", total).where(F.col("score") > threshold).select("__l", "__r", "score")
 
 
+def _classes(df: DataFrame, columns: list[str], row: str) -> DataFrame:
+    """The distinct values of columns, each with the least row id that has them."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)]).agg(F.min(f"`{row}`").alias("__first"))
+
+
 def best_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.85, weights: dict[str, float] | None = None, method: str = "levenshtein") -> DataFrame:
-    """(left_id, right_id, score): per left row the best right row strictly above threshold, the lower right id on ties."""
+    """(left_id, right_id, score): per left row the best right row strictly above threshold, the lower right id on ties.
+
+    Rows with equal values have equal scores, so distinct values are compared, not rows: on the right the lowest id stands
+    for its equals, and what a value of the left finds goes to all rows that have it.
+    """
     w = weights_of([a for a, _ in pairs], weights)
-    scored = _score(left, right, pairs, w, threshold, True, method, False)
-    ids = scored.select(F.col(f"__l.`{left_id}`").alias("__lid"), F.col(f"__r.`{right_id}`").alias("__rid"), "score")
-    top = ids.groupBy("__lid").agg(F.max(F.struct("score", (-F.col("__rid")).alias("n"))).alias("t"))
-    return top.select(F.col("__lid").alias("left_id"), (-F.col("t.n")).alias("right_id"), F.col("t.score").alias("score"))
+    own = list(dict.fromkeys(a for a, _ in pairs))
+    found = _classes(left, own, left_id)
+    scored = _score(found, _classes(right, [b for _, b in pairs], right_id), pairs, w, threshold, True, method, False)
+    ids = scored.select("__l", F.col("__r.__first").alias("__rid"), "score")
+    top = ids.groupBy("__l").agg(F.max(F.struct("score", (-F.col("__rid")).alias("n"))).alias("t"))
+    top = top.select(*[F.col(f"__l.`{a}`").alias(f"__v{i}") for i, a in enumerate(own)], (-F.col("t.n")).alias("right_id"), F.col("t.score").alias("score"))
+    rows = left.select(F.col(f"`{left_id}`").alias("left_id"), *[F.col(f"`{a}`").alias(f"__w{i}") for i, a in enumerate(own)])
+    same = [F.col(f"__w{i}").eqNullSafe(F.col(f"__v{i}")) for i in range(len(own))]
+    return rows.join(top, same).select("left_id", "right_id", "score")
 
 
 def all_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.7, max_matches: int = 5, weights: dict[str, float] | None = None, method: str = "levenshtein") -> DataFrame:
@@ -183,10 +197,18 @@ def probabilistic_matches(left: DataFrame, right: DataFrame, pairs: list[Pair],
 
     Found by deferred acceptance with rights preferring the lowest left id, which gives the same matching in any order:
     free lefts propose, a right keeps its lowest proposer, and edges that lose are dropped, until none does.
+    Lefts with equal values have the same list of rights, and each takes one further down than the one before it did. So the
+    k-th of them can't get any of the first k - 1: those edges go before the first round, which else would take k rounds.
     """
+    from pyspark.sql import Window as W
+
     w = {a: 1 / len(pairs) for a, _ in pairs}
     scored = _score(left, right, pairs, w, threshold, False, "levenshtein", True)
-    edges = checkpoint(scored.select(F.col(f"__l.`{left_id}`").alias("l"), F.col(f"__r.`{right_id}`").alias("r"), "score"))
+    values = F.struct(*[F.col(f"__l.`{a}`").alias(f"v{i}") for i, (a, _) in enumerate(pairs)])
+    edges = checkpoint(scored.select(values.alias("v"), F.col(f"__l.`{left_id}`").alias("l"), F.col(f"__r.`{right_id}`").alias("r"), "score"))
+    turn = _turns(edges.select("v", "l").distinct())
+    listed = edges.drop("v").withColumn("at", F.row_number().over(W.partitionBy("l").orderBy(F.desc("score"), "r")))
+    edges = checkpoint(listed.join(turn, "l").where("at >= turn").drop("at", "turn"))
     while True:
         proposal = edges.groupBy("l").agg(F.max(F.struct("score", (-F.col("r")).alias("n"))).alias("t")).select("l", (-F.col("t.n")).alias("r"), F.col("t.score").alias("score"))
         proposal = checkpoint(proposal)
@@ -202,22 +224,70 @@ def probabilistic_join(left: DataFrame, right: DataFrame, pairs: list[Pair], lef
     return _merged(left, right, probabilistic_matches(left, right, pairs, left_id, right_id, threshold), pairs, left_id, right_id)
 
 
+def _turns(rows: DataFrame) -> DataFrame:
+    """(l, turn): the place, from 1, of each l among those of equal v. Rows are dealt by (v, l) in ranges, so that a value
+    many rows share spans tasks; what earlier tasks hold of the value a task begins with comes from a row per task."""
+    from pyspark.sql import Window as W
+
+    dealt = checkpoint(rows.repartitionByRange("v", "l").withColumn("p", F.spark_partition_id()))
+    ends = dealt.groupBy("p").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    heads = dealt.join(F.broadcast(ends), "p").groupBy("p").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.count_if(F.col("v").eqNullSafe(F.col("b"))).alias("last"))
+    carried, before, rows_ = 0, None, []
+    for r in sorted(heads.collect(), key=lambda r: r.p):  # a row per task
+        carried = carried if before is not None and r.a == before else 0
+        rows_.append((r.p, carried))
+        carried, before = r["last"] + (carried if r.a == r.b else 0), r.b
+    o = dealt.sparkSession.createDataFrame(rows_, "p int, o bigint")
+    here = F.row_number().over(W.partitionBy("p", "v").orderBy("l"))
+    first = F.min("v").over(W.partitionBy("p").orderBy("v", "l").rowsBetween(W.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(o), "p").withColumn("first", first).select("l", (here + F.when(F.col("v").eqNullSafe(F.col("first")), F.col("o")).otherwise(0)).alias("turn"))
+
+
+def _nearest(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, t, before, after): of each left (id, t) the last right (id, t) at or before it and the first after, as structs (t, id).
+
+    Both are dealt by time in ranges and swept once each way within a task; what lies beyond a task's ends comes from a row
+    per task. Rights of equal times stand for the lowest of their ids. No time, however busy, falls to one task.
+    """
+    from pyspark.sql import Window as W
+
+    both = left.select("t", F.lit(1).alias("kind"), "id", F.lit(None).cast(right.schema["id"].dataType).alias("rid"))
+    once = right.groupBy("t").agg(F.min("id").alias("rid"))
+    own = left.schema["id"].dataType
+    both = both.unionByName(once.select("t", F.lit(0).alias("kind"), F.lit(None).cast(own).alias("id"), "rid"))
+    dealt = checkpoint(both.repartitionByRange("t", "kind", "id").withColumn("p", F.spark_partition_id()))
+    mark = F.when(F.col("kind") == 0, F.struct("t", F.col("rid").alias("id")))
+    ends = {r.p: (r.a, r.b) for r in dealt.groupBy("p").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).collect()}  # a row per task
+    carry: dict[int, list] = {p: [None, None] for p in ends}
+    for side, order in ((0, sorted(ends)), (1, sorted(ends, reverse=True))):
+        seen = None
+        for p in order:
+            carry[p][side] = seen
+            seen = ends[p][1 - side] or seen
+    mark_type = T.StructType([T.StructField("t", T.LongType()), T.StructField("id", right.schema["id"].dataType)])
+    edge = left.sparkSession.createDataFrame([(p, *c) for p, c in carry.items()], T.StructType([T.StructField("p", T.IntegerType()), T.StructField("e0", mark_type), T.StructField("e1", mark_type)]))
+    up = W.partitionBy("p").orderBy("t", "kind", "id").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("p").orderBy(F.desc("t"), F.desc("kind"), F.desc("id")).rowsBetween(W.unboundedPreceding, 0)
+    swept = dealt.withColumn("before", F.last(mark, ignorenulls=True).over(up)).withColumn("after", F.last(mark, ignorenulls=True).over(down)).where("kind = 1")
+    return swept.join(F.broadcast(edge), "p").select("id", "t", F.coalesce("before", "e0").alias("before"), F.coalesce("after", "e1").alias("after"))
+
+
 def temporal_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, left_id: str, right_id: str, tolerance: int = 3600) -> DataFrame:
     """Left join to the nearest right row within tolerance seconds (inclusive); on ties the earlier, then the lower id.
 
-    Right rows are bucketed by tolerance and left rows look into three buckets: an equi-join. Same-named other columns
-    get _x and _y. A null timestamp raises when the plan runs.
+    Same-named other columns get _x and _y. A null timestamp raises at once, for the times are dealt and
+    written down here; so too in the command line, whose fuse then fails. Ids are unique.
     """
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    micros = lambda c: F.unix_micros(F.col(f"`{c}`").cast("timestamp"))
     checked = lambda c: F.coalesce(micros(c), F.raise_error(F.lit(f"Merge keys contain null values: {c}")).cast("bigint"))
-    span = max(tolerance, 1) * 1_000_000
-    l_ = left.select(F.struct("*").alias("__l"), checked(left_ts).alias("__lt"))
-    r_ = right.select(F.struct("*").alias("__r"), checked(right_ts).alias("__rt"))
-    probe = l_.select(F.col(f"__l.`{left_id}`").alias("__lid"), "__lt", F.explode(F.array(*[F.floor(F.col("__lt") / span) + d for d in (-1, 0, 1)])).alias("__b"))
-    found = probe.join(r_.withColumn("__b", F.floor(F.col("__rt") / span)), "__b").where(F.abs(F.col("__lt") - F.col("__rt")) <= tolerance * 1_000_000)
-    key = F.struct(F.abs(F.col("__lt") - F.col("__rt")), (F.col("__rt") > F.col("__lt")).cast("int"), F.col(f"__r.`{right_id}`"))
-    best = found.groupBy("__lid").agg(F.min_by("__r", key).alias("__r"))
-    out = l_.join(best, F.col(f"__l.`{left_id}`") == F.col("__lid"), "left")
+    l_, r_ = left.select(F.struct("*").alias("__l")), right.select(F.struct("*").alias("__r"))
+    times = lambda df, c, i: df.select(checked(c).alias("t"), F.col(f"`{i}`").alias("id"))
+    near = _nearest(times(left, left_ts, left_id), times(right, right_ts, right_id))
+    gap = lambda side: F.abs(F.col("t") - F.col(f"{side}.t"))
+    earlier = F.col("after.t").isNull() | (gap("before") <= gap("after"))
+    choice = F.when(F.col("before.t").isNotNull() & earlier, F.col("before")).otherwise(F.col("after"))
+    best = near.select(F.col("id").alias("__lid"), "t", choice.alias("c")).where(F.abs(F.col("t") - F.col("c.t")) <= tolerance * 1_000_000).select("__lid", F.col("c.id").alias("__rid"))
+    out = l_.join(best, F.col(f"__l.`{left_id}`") == F.col("__lid"), "left").join(r_, F.col(f"__r.`{right_id}`") == F.col("__rid"), "left")
     common = (set(left.columns) & set(right.columns)) - ({left_ts} if left_ts == right_ts else set())
     cols = [F.col(f"__l.`{c}`").alias(f"{c}_x" if c in common else c) for c in left.columns]
     return out.select(*cols, *[F.col(f"__r.`{c}`").alias(f"{c}_y" if c in common else c) for c in right.columns if not (c == right_ts and left_ts == right_ts)])

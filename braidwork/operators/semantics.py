@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,19 +69,33 @@ def fallback(name: Column, data_type: Column, unique_ratio: Column) -> Column:
     )
 
 
+class Rule(NamedTuple):
+    kind: str
+    words: tuple[str, ...]
+    confidence: float
+    text: str
+    whole: bool = False  # the words are whole parts between underscores, else substrings
+    more: str = ""  # added to the label
+
+
+# Kinds in the order they are tried, their confidences and texts.
+RULES = (
+    Rule("identifier", ID, 0.85, "Unique identifier", True, " Identifier"),
+    Rule("timestamp", TIME, 0.80, "Date/time field"),
+    Rule("metric", METRIC, 0.75, "Numeric measurement"),
+    Rule("category", CATEGORY, 0.70, "Categorical field"),
+    Rule("text", TEXT, 0.70, "Text field"),
+    Rule("unknown", ("",), 0.40, "Field"),
+)
+
+
 def provider_rules(name: Column) -> Column:
-    """The deterministic provider's rules: identifier words are whole parts between underscores, all others substrings."""
-    n = F.lower(name)
-    whole = F.arrays_overlap(F.split(n, "_"), F.array(*[F.lit(w) for w in ID]))
-    say = lambda kind, conf, text, more="": _label(F.lit(kind), F.lit(conf), F.concat(humanize(name), F.lit(more)), F.concat(F.lit(text + ": "), name))
-    return (
-        F.when(whole, say("identifier", 0.85, "Unique identifier", " Identifier"))
-        .when(_holds(n, TIME), say("timestamp", 0.80, "Date/time field"))
-        .when(_holds(n, METRIC), say("metric", 0.75, "Numeric measurement"))
-        .when(_holds(n, CATEGORY), say("category", 0.70, "Categorical field"))
-        .when(_holds(n, TEXT), say("text", 0.70, "Text field"))
-        .otherwise(say("unknown", 0.40, "Field"))
-    )
+    """What RULES say of a name: the first one that it meets; the last one takes any."""
+    parts, chain = F.split(F.lower(name), "_"), []
+    for r in RULES:
+        met = F.arrays_overlap(parts, F.array(*map(F.lit, r.words))) if r.whole else _holds(F.lower(name), r.words)
+        chain.append(F.when(met, _label(F.lit(r.kind), F.lit(r.confidence), F.concat(humanize(name), F.lit(r.more)), F.concat(F.lit(r.text + ": "), name))))
+    return F.coalesce(*chain)
 
 
 def domain_tags(text: Column) -> Column:

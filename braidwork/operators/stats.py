@@ -91,12 +91,22 @@ def correlations(df: DataFrame, method: str = "pearson", threshold: float = 0.5,
     columns = columns or numeric_columns(df.schema)
     pairs = list(combinations(columns, 2))
     if method == "spearman":
-        found = []
-        for a, b in pairs:  # ranks depend on which rows have both
+        known = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns]).first()
+        whole = [c for c in columns if not known[c]]
+        found = {}
+        if len(whole) > 1:  # columns without nulls are ranked once, whatever they are paired with
+            wide = None
+            for i, c in enumerate(whole):
+                one = ranks(df.select(order, F.col(f"`{c}`").alias(f"c{i}")), f"c{i}", order).withColumnRenamed("rank", f"x{i}")
+                wide = one if wide is None else wide.join(one, order)
+            at = {f"x{i}": c for i, c in enumerate(whole)}
+            found = {(at[a], at[b]): (n, r) for a, b, n, r in _pearson(checkpoint(wide), list(combinations(at, 2)))}
+        for a, b in (p for p in pairs if not {*p} <= {*whole}):  # these ranks depend on which rows have both
             both = checkpoint(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(order, a, b))
             x, y = ranks(both, a, order), ranks(both, b, order)
             joined = x.withColumnRenamed("rank", "x").join(y.withColumnRenamed("rank", "y"), order)
-            found += [(a, b, n, r) for _, _, n, r in _pearson(joined, [("x", "y")])]
+            found |= {(a, b): (n, r) for _, _, n, r in _pearson(joined, [("x", "y")])}
+        found = [(a, b, *found[a, b]) for a, b in pairs if (a, b) in found]
     elif method == "pearson":
         found = _pearson(df, pairs)
     else:

@@ -161,10 +161,11 @@ class Engine:
         heads = {r.field_name: r.samples for r in profile.samples(d.frame, self.config.interpreter.sample_values, ROW_ID).collect()}
         types = profile.infer_types(d.frame, ROW_ID)
         vectors = self._embed([f"{n}: {', '.join(heads[n][:5])}" for n in names])
+        labels = {n: self._semantics(n, types[n], heads[n], counted[n].null_ratio, counted[n].unique_ratio) for n in names}
+        labels |= self._by_rules([(n, types[n].value, float(counted[n].unique_ratio)) for n, said in labels.items() if said is None])
         fields = []
         for n, v in zip(names, vectors):
-            c = counted[n]
-            said = self._semantics(n, types[n], heads[n], c.null_ratio, c.unique_ratio)
+            c, said = counted[n], labels[n]
             fields.append({"field_name": n, "data_type": types[n].value, "null_ratio": c.null_ratio, "unique_ratio": c.unique_ratio, "samples": heads[n], "embedding": v} | said)
         rows = next(iter(counted.values())).row_count if counted else d.frame.count()
         text = self._description(dataset_id, rows, fields)
@@ -180,7 +181,8 @@ class Engine:
             _log.warning("embedding failed: %s", e)
             return [[0.0] * self.config.interpreter.dimensions for _ in texts]
 
-    def _semantics(self, name: str, kind: DataType, samples: list[str], null_ratio: float, unique_ratio: float) -> dict:
+    def _semantics(self, name: str, kind: DataType, samples: list[str], null_ratio: float, unique_ratio: float) -> dict | None:
+        """What the provider says of a column; None if it fails."""
         prompt = f"Field Name: {name}\nData Type: {kind.value}\nSample Values: {samples[:10]}\nNull Ratio: {null_ratio:.4f}\nUnique Ratio: {unique_ratio:.4f}\nAnswer with JSON: semantic_label, description, semantic_type, confidence."
         try:
             got = json.loads(self.provider.complete([{"role": "user", "content": prompt}]))
@@ -188,8 +190,15 @@ class Engine:
             return {"semantic_label": str(got["semantic_label"]), "description": str(got.get("description", "")), "semantic_type": got.get("semantic_type") if got.get("semantic_type") in kinds else "unknown", "confidence": float(got.get("confidence", 0.5))}
         except Exception as e:
             _log.warning("labelling %s by rules: %s", name, e)
-            rule = semantics.fallback(F.lit(name), F.lit(kind.value), F.lit(float(unique_ratio)))
-            return self.spark.range(1).select(rule.alias("r")).first().r.asDict()
+            return None
+
+    def _by_rules(self, columns: list[tuple[str, str, float]]) -> dict[str, dict]:
+        """The fallback's labels of (name, type, distinct ratio), in one job."""
+        if not columns:
+            return {}
+        table = self.spark.createDataFrame(columns, "name string, type string, ratio double")
+        rule = semantics.fallback(F.col("name"), F.col("type"), F.col("ratio"))
+        return {r.name: r.r.asDict() for r in table.select("name", rule.alias("r")).collect()}
 
     def _description(self, dataset_id: str, rows: int, fields: list[dict]) -> str:
         labels = ", ".join(f["semantic_label"] for f in fields[:10])

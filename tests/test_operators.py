@@ -1,5 +1,6 @@
 """Profile, statistics, imputation, joins and alignment on small cases with known answers."""
 
+import itertools
 import math
 
 import numpy as np
@@ -175,6 +176,61 @@ def test_temporal(spark):
         joins.temporal_join(left.withColumn("t", F.lit(None).cast("timestamp")), right, "t", "u", "l", "r").collect()
 
 
+def test_repeated_values_find_the_lowest_id(spark):
+    left = [(i, [None, 1.0, 100.0, 55.5][i % 4], "x" if i % 3 else None) for i in range(40)]
+    right = [(100 - j, [None, 1.0, 100.0][j % 3], "x" if j % 2 else "y") for j in range(30)]
+    got = joins.best_matches(table(spark, left, "l int, a double, s string"), table(spark, right, "r int, b double, t string"), [("a", "b"), ("s", "t")], "l", "r", 0.6)
+    near = lambda a, b: 1.0 if a is None and b is None else 0.0 if a is None or b is None else 1 - min(abs(a - b) / max(abs(a), abs(b)), 1)
+    alike = lambda s, t: 1.0 if s == t else 0.0
+    want = {}
+    for i, a, s in left:
+        v, j = max((0.5 * near(a, b) + 0.5 * alike(s, t), -j) for j, b, t in right)
+        if v > 0.6:
+            want[i] = -j
+    assert want and {x.left_id: x.right_id for x in got.collect()} == want
+
+
+def test_probabilistic_deals_equal_values_in_turn(spark, monkeypatch):
+    left = [(i, 100.0 if i % 3 else 101.0) for i in range(60)]
+    right = [(j, [100.0, 101.0, 99.5][j % 3]) for j in range(45)]
+    used, want = set(), {}
+    for i, a in left:
+        best = max(((1 - abs(a - b) / max(a, b), -j) for j, b in right if j not in used), default=None)
+        if best and best[0] > 0.97:
+            want[i] = -best[1]
+            used.add(-best[1])
+    rounds, once = [], joins.checkpoint
+    monkeypatch.setattr(joins, "checkpoint", lambda df: rounds.append(1) or once(df))
+    got = joins.probabilistic_matches(table(spark, left, "l int, a double"), table(spark, right, "r int, b double"), [("a", "b")], "l", "r", 0.97)
+    assert {x.left_id: x.right_id for x in got.collect()} == want
+    assert len(rounds) < 45  # fewer than a round, of two, for every second right
+
+
+def test_temporal_against_all_pairs(spark):
+    r = np.random.default_rng(3)
+    left = [(i, int(t) if i % 3 else 5000) for i, t in enumerate(r.integers(0, 20000, 90))]  # a third at one time
+    right = [(1000 - j, int(t) if j % 3 else 5100) for j, t in enumerate(r.integers(3000, 16000, 30))]
+    frame = lambda rows, a, b: table(spark, rows, f"{a} int, {b} bigint").withColumn(b, F.timestamp_seconds(b))
+    got = joins.temporal_join(frame(left, "l", "t"), frame(right, "r", "u"), "t", "u", "l", "r", 150)
+    want = {}
+    for i, t in left:
+        gap, _, j = min((abs(t - u), u > t, j) for j, u in right)
+        want[i] = j if gap <= 150 else None
+    assert {x.l: x.r for x in got.collect()} == want and None in want.values()
+    none = joins.temporal_join(frame(left, "l", "t"), frame([], "r", "u"), "t", "u", "l", "r", 150)
+    assert none.where("r IS NULL").count() == 90
+    assert joins.temporal_join(frame([], "l", "t"), frame(right, "r", "u"), "t", "u", "l", "r", 150).count() == 0
+
+
+def test_spearman_ranks_whole_columns_once(spark):
+    rows = [(i, float(i % 7), float((i * i) % 11), float(-i), None if i % 5 == 0 else float(i % 3)) for i in range(40)]
+    df = table(spark, rows, "__row_id int, a double, b double, c double, d double")
+    pdf = df.drop("__row_id").toPandas()
+    want = {(x, y): round(pdf[[x, y]].dropna().rank().corr().iloc[0, 1], 6) for x, y in itertools.combinations("abcd", 2)}
+    got = {(x.field_a, x.field_b): x.coefficient for x in stats.correlations(df, "spearman", 0.0).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 GOLDEN = [("customer_id", "integer", "identifier"), ("uuid", "string", "identifier"), ("created_at", "datetime", "timestamp"), ("dob", "string", "timestamp"), ("total_amount", "float", "metric"), ("salary", "integer", "metric"), ("status", "string", "category"), ("department", "string", "category"), ("full_name", "string", "text"), ("email", "string", "text"), ("zzz", "object", "unknown")]
 
 
