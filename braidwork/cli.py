@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from .plans.config import EngineConfig, load
 from .plans.engine import Engine
+from .plans.providers import DeterministicProvider, HttpProvider, Provider
 from .session import session
-from .types import EngineError
+from .types import ConfigurationError, EngineError
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,7 +24,10 @@ def parser() -> argparse.ArgumentParser:
         for f in files:
             s.add_argument(f)
         s.add_argument("--format", choices=("table", "json"), default="table")
-        s.add_argument("--provider", choices=("deterministic",), default="deterministic")
+        s.add_argument("--provider", choices=("deterministic", "http"), default="deterministic")
+        s.add_argument("--provider-url", help="base URL of a chat-completions and embeddings service; its key is read from BRAIDWORK_API_KEY")
+        s.add_argument("--chat-model", default="")
+        s.add_argument("--embedding-model", default="")
         return s
 
     add("ingest", "file").add_argument("--dataset-id")
@@ -42,6 +47,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def provider(args: argparse.Namespace, config: EngineConfig) -> Provider:
+    dimensions = config.interpreter.dimensions
+    if args.provider == "deterministic":
+        return DeterministicProvider(dimensions)
+    if not args.provider_url:
+        raise ConfigurationError("--provider http needs --provider-url")
+    return HttpProvider(args.provider_url, os.environ.get("BRAIDWORK_API_KEY", ""), args.chat_model, args.embedding_model, dimensions)
+
+
 def run(args: argparse.Namespace, engine: Engine) -> dict:
     if args.command == "ingest":
         d = engine.ingest(args.file, args.dataset_id)
@@ -90,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         config = load(args.config) if args.config else EngineConfig()
         config.fusion.experimental_strategies |= getattr(args, "strategy", "") in ("probabilistic", "temporal")
-        result = run(args, Engine(session(), config))
+        result = run(args, Engine(session(), config, provider(args, config)))
     except EngineError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

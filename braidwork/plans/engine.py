@@ -35,6 +35,7 @@ class Dataset:
     created: str
     storage_path: str | None = None
     metadata: Metadata | None = None
+    rows: int | None = None  # where it has been counted
 
 
 @dataclass
@@ -64,6 +65,7 @@ class AlignmentResult:
     job_id: str
     alignments: list[Alignment]
     unmatched_fields: list[str]
+    datasets: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -225,7 +227,7 @@ class Engine:
         edges = checkpoint(align.align(fields, self.config.alignment, confidence_threshold, include_partial))
         found = [Alignment(uuid.uuid4().hex, *r) for r in edges.orderBy(F.desc("similarity")).collect()]  # of fields, not rows
         left = [f"{r.dataset_id}.{r.field_name}" for r in align.unmatched(fields, edges).collect()]
-        out = AlignmentResult(uuid.uuid4().hex, found, sorted(left))
+        out = AlignmentResult(uuid.uuid4().hex, found, sorted(left), list(dataset_ids))
         self.alignments[out.job_id] = out
         self._publish("ontology.aligned", {"job_id": out.job_id})
         return out

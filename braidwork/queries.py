@@ -311,9 +311,18 @@ def fuse_semantic_string(spark, sf_dir):
     return joins.best_matches(left, _t(spark, sf_dir, "nation"), [("p_name", "n_name")], "id", "n_nationkey", 0.3)
 
 
-@query()
+_IN_TURN = (
+    "WITH RECURSIVE e AS (SELECT * FROM (SELECT lid, rid, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE 1 - ABS(a - b) / GREATEST(ABS(a), ABS(b), 1e-9) END AS score FROM (SELECT c_custkey AS lid, s_suppkey AS rid, c_acctbal AS a, s_acctbal AS b FROM customer, supplier)) WHERE score > 0.99), "
+    "o AS (SELECT ROW_NUMBER() OVER (ORDER BY lid) AS n, lid, LIST({'r': rid, 's': score} ORDER BY score DESC, rid) AS wish FROM e GROUP BY lid), "
+    "g AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS lid, NULL::STRUCT(r BIGINT, s DOUBLE) AS got, []::BIGINT[] AS used UNION ALL "
+    "SELECT n, lid, got, CASE WHEN got IS NULL THEN used ELSE LIST_APPEND(used, got.r) END FROM (SELECT o.n, o.lid, g.used, LIST_FILTER(o.wish, lambda x: NOT LIST_CONTAINS(g.used, x.r))[1] AS got FROM g JOIN o ON o.n = g.n + 1)) "
+    "SELECT lid AS left_id, got.r AS right_id, ROUND(got.s, 6) AS score FROM g WHERE got IS NOT NULL"
+)
+
+
+@query(_IN_TURN)
 def fuse_probabilistic(spark, sf_dir):
-    return joins.probabilistic_matches(*_sides(spark, sf_dir), 0.99)
+    return joins.probabilistic_matches(*_sides(spark, sf_dir), 0.99).withColumn("score", _r("score"))
 
 
 _EVENTS = "WITH l AS (SELECT * FROM events WHERE event_type = 'purchase'), r AS (SELECT * FROM events WHERE event_type = 'error') "
