@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, flac, linededup, lm, pii, simhash, spm, substring, toxicity, warc
+from . import chat, decontaminate, flac, linededup, lm, pii, runs, search, simhash, spm, substring, toxicity, warc
+from ._text import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +57,26 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations and one that says control strings, formatted into the shared folder and read back from there."""
+    said = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))]))
+    extra = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), said.alias("x")).select("conv_id", "x.turn", "x.role", F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    chat.conversations(chat.chains(rows), best=1).write.parquet(path)
+    return chat.digests(spark.read.parquet(path))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), tails=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_pivots, op2_substring_dedup, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op7_attention_lm, op8_pii_weak, op9_sentencepiece, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash_pivots, op2_substring_dedup, op3_warc_index, op4_flac_media, op5_line_dedup, op6_toxicity_fm, op7_attention_lm, op8_pii_weak, op9_sentencepiece, op10_decontaminate, op11_chat_trees, op12_ranked_search, op13_periodic_runs)}
 
 
 _SPLIT = r"regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
@@ -90,6 +111,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n, 0)::BIGINT AS n_hit, COALE
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+_CONTROL = r"<\\*(?:/?s>|</?SYS>>)|\[\\*/?(?:INST|ROLE)\]"
+
+_CHAT = f"""
+WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_extract_all(text, '{_CONTROL}')) AS more, len(regexp_extract_all(role, '{_CONTROL}')) AS named FROM c)
+SELECT conv_id, COUNT(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  COALESCE(SUM(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  (3 + SUM(length(text) + more + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 20 + length(role) + named END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_SEARCH = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT COUNT(*)::BIGINT AS docs, SUM(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, n, term, COUNT(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * COUNT(*) + 1)))::BIGINT AS wt FROM t, s GROUP BY term, docs),
+r AS (SELECT item_id, doc_id, SUM(wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score FROM b JOIN f USING (term) JOIN t USING (term), s GROUP BY item_id, doc_id),
+k AS (SELECT item_id, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The three that SQL can express; the others are held against brute force in tests."""
-    return {"op2_substring_dedup": _SUBSTRING, "op3_warc_index": _WARC, "op10_decontaminate": _LEAKS}
+    """Those that SQL can express; the others are held against brute force in tests."""
+    return {"op2_substring_dedup": _SUBSTRING, "op3_warc_index": _WARC, "op10_decontaminate": _LEAKS, "op11_chat_trees": _CHAT, "op12_ranked_search": _SEARCH}
