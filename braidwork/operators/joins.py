@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from ..functions.similarity import null_rule, numeric_similarity, ratio_bound, similarity, stripped, weights_of
 from ..session import checkpoint
 from ..types import FusionError
+from .grams import Index, normal
+from .sweep import nearest
 
 #: (left field, right field)
 Pair = tuple[str, str]
@@ -102,35 +104,36 @@ def candidates(left: DataFrame, right: DataFrame, pairs: list[Pair], weights: di
     return l_.join(r_, "__k").drop("__k")
 
 
-def _score(left: DataFrame, right: DataFrame, pairs: list[Pair], weights: dict[str, float], threshold: float, null_matches: bool, method: str, numbers: bool) -> DataFrame:
-    """(__l, __r, score) above threshold: numeric terms and string bounds first, the string kernel on what is left."""
-    rows = candidates(left, right, pairs, weights, threshold, null_matches)
+def _record(x: Column, y: Column, terms: list[tuple[str, str, bool]], weights: dict[str, float], threshold: float, null_matches: bool, method: str, numbers: bool) -> tuple[Column, Column]:
+    """Of two records: a bound on their score from numbers and lengths alone, and the score, null where the bound is not above
+    the threshold. The string kernel gets nulls there."""
     sure, most, strings = F.lit(0.0), F.lit(0.0), []
-    for a, b, numeric in _terms(left, right, pairs):
+    for a, b, numeric in terms:
         if a not in weights:
             continue
-        x, y, w = F.col(f"__l.`{a}`"), F.col(f"__r.`{b}`"), weights[a]
-        rule = (lambda v, x=x, y=y: null_rule(x, y, v)) if null_matches else (lambda v, x=x, y=y: F.when(x.isNull() | y.isNull(), 0.0).otherwise(v))
-        near = numeric_similarity(x, y)
+        p, q, w = x[a], y[b], weights[a]
+        rule = (lambda v, p=p, q=q: null_rule(p, q, v)) if null_matches else (lambda v, p=p, q=q: F.when(p.isNull() | q.isNull(), 0.0).otherwise(v))
+        near, numbers_both = numeric_similarity(p, q), None
         if numbers:  # may be negative; text counts as a number where it is one
-            p, q = _number(x), _number(y)
-            near = 1 - F.abs(p - q) / F.greatest(F.abs(p), F.abs(q), F.lit(1e-9))
+            m, n = _number(p), _number(q)
+            near, numbers_both = 1 - F.abs(m - n) / F.greatest(F.abs(m), F.abs(n), F.lit(1e-9)), m.isNotNull() & n.isNotNull()
         if numeric:
             sure, most = sure + w * rule(near), most + w * rule(near)
         else:
-            bound = F.least(ratio_bound(x.cast("string"), y.cast("string")), F.lit(1.0))
-            if numbers:
-                bound = F.when(_number(x).isNotNull() & _number(y).isNotNull(), 1.0).otherwise(bound)
-            most = most + w * rule(bound)
-            strings.append((x, y, w, rule, near if numbers else None))
-    rows = rows.where(most > threshold)
+            bound = F.least(ratio_bound(p.cast("string"), q.cast("string")), F.lit(1.0)) if method in ("levenshtein", "token_sort") else F.lit(1.0)
+            most = most + w * rule(F.when(numbers_both, 1.0).otherwise(bound) if numbers else bound)
+            strings.append((p, q, w, rule, near, numbers_both))
     total = sure
-    for i, (x, y, w, rule, near) in enumerate(strings):
-        rows = rows.withColumn(f"__s{i}", similarity(x, y, method))
-        text = F.col(f"__s{i}")
-        value = F.when(_number(x).isNotNull() & _number(y).isNotNull(), near).otherwise(text) if near is not None else text
-        total = total + w * rule(value)
-    return rows.withColumn("score", total).where(F.col("score") > threshold).select("__l", "__r", "score")
+    for p, q, w, rule, near, numbers_both in strings:
+        text = similarity(F.when(most > threshold, p.cast("string")), F.when(most > threshold, q.cast("string")), method)
+        total = total + w * rule(F.when(numbers_both, near).otherwise(text) if numbers else text)
+    return most, F.when(most > threshold, total)
+
+
+def _score(rows: DataFrame, terms: list[tuple[str, str, bool]], weights: dict[str, float], threshold: float, null_matches: bool, method: str, numbers: bool) -> DataFrame:
+    """The rows (with structs __l and __r) scoring above threshold, with their score."""
+    most, score = _record(F.col("__l"), F.col("__r"), terms, weights, threshold, null_matches, method, numbers)
+    return rows.where(most > threshold).withColumn("score", score).where(F.col("score") > threshold)
 
 
 def _classes(df: DataFrame, columns: list[str], row: str) -> DataFrame:
@@ -138,32 +141,118 @@ def _classes(df: DataFrame, columns: list[str], row: str) -> DataFrame:
     return df.groupBy(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)]).agg(F.min(f"`{row}`").alias("__first"))
 
 
-def best_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.85, weights: dict[str, float] | None = None, method: str = "levenshtein") -> DataFrame:
+#: Ratios down to which pairs of strings are listed in turn, while rows look for a best match.
+LEVELS = (0.97, 0.94, 0.91, 0.88, 0.86, 0.84, 0.82, 0.8, 0.75, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
+
+
+def _by_numbers(left: DataFrame, right: DataFrame, field: Pair, terms, weights: dict[str, float], threshold: float, k: int, method: str, seen) -> DataFrame:
+    """What _top returns, for a numeric field without nulls: what lies further off in its order is less similar."""
+    a, b = field
+    w = weights[a]
+    point = lambda df, c, name, i: df.select(F.lit(0).alias("key"), F.col(f"`{c}`").cast("double").alias("v"), F.col("__first").alias(i), F.struct("*").alias(name))
+    cost = lambda x, y: -_record(x, y, terms, weights, threshold, True, method, False)[1]
+    found = nearest(point(left, a, "x", "lid"), point(right, b, "y", "rid"), cost, lambda _, v, edge: -(w * numeric_similarity(v, edge) + (1 - w)), k, -threshold, seen)
+    return found.select("lid", F.explode("best").alias("b")).select("lid", "b.rid", (-F.col("b.cost")).alias("score"))
+
+
+def _by_grams(left: DataFrame, right: DataFrame, field: Pair, bound: float, terms, weights: dict[str, float], threshold: float, k: int, seen) -> DataFrame:
+    """What _top returns, for a string field without nulls: pairs above one ratio after the other are listed, and a row is done
+    when its k-th best is above all that pairs of a lower ratio can reach."""
+    from pyspark.sql import Window as W
+
+    a, b = field
+    w = weights[a]
+    l_, r_ = left.select(F.col("__first").alias("lid"), F.struct("*").alias("__l")), right.select(F.col("__first").alias("rid"), F.struct("*").alias("__r"))
+    text = lambda df, c: df.select(F.col("__first").alias("id"), normal(F.col(f"`{c}`").cast("string")).alias("s"))
+    index = Index(checkpoint(text(left, a)), checkpoint(text(right, b)))
+    active, out = None, []
+    for level in (*[x for x in LEVELS if x > bound], bound):
+        pairs = index.candidates(level, active)
+        if seen is not None:
+            seen(pairs.count())
+        rows = _score(pairs.join(l_, "lid").join(r_, "rid"), terms, weights, threshold, True, "levenshtein", False).select("lid", "rid", "score")
+        place = F.row_number().over(W.partitionBy("lid").orderBy(F.desc("score"), "rid"))
+        best = checkpoint(rows.withColumn("place", place).where(F.col("place") <= k))
+        if level == bound:
+            out.append(best)
+            break
+        sure = best.where(F.col("place") == k).where(F.col("score") > w * level + (1 - w) + 1e-9).select("lid")
+        out.append(best.join(sure, "lid", "left_semi"))
+        rest = index.sides[0].select("id") if active is None else active
+        active = checkpoint(rest.join(sure.select(F.col("lid").alias("id")), "id", "left_anti"))
+        if not active.limit(1).count():
+            break
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found.select("lid", "rid", "score")
+
+
+def _top(left: DataFrame, right: DataFrame, pairs: list[Pair], weights: dict[str, float], threshold: float, k: int, method: str, free: list[Pair] | None = None, seen=None) -> DataFrame:
+    """(lid, rid, score): of each class of the left the k best classes of the right that score above threshold, named by their
+    __first, ties by rid.
+
+    If all other fields matched fully, a field of weight w would still have to be similar above 1 - (1 - threshold) / w. The field
+    with the highest such bound leads: rows that have it meet by its order or its grams, rows without it meet by the next
+    field. Where none has a bound, all pairs are compared, as the definition has it.
+    """
+    from pyspark.sql import Window as W
+
+    terms = _terms(left, right, pairs)
+    free = pairs if free is None else free
+    leads = [(1 - (1 - threshold) / weights[a], numeric, a, b) for a, b, numeric in terms if (a, b) in free and a in weights and (numeric or method == "levenshtein")]
+    bound, numeric, a, b = max(leads, default=(0, False, "", ""), key=lambda x: x[:2])
+    if bound <= 0.01 or bound >= 1:
+        rows = _score(left.select(F.struct("*").alias("__l")).crossJoin(right.select(F.struct("*").alias("__r"))), terms, weights, threshold, True, method, False)
+        rows = rows.select(F.col("__l.__first").alias("lid"), F.col("__r.__first").alias("rid"), "score")
+        return rows.withColumn("place", F.row_number().over(W.partitionBy("lid").orderBy(F.desc("score"), "rid"))).where(F.col("place") <= k).drop("place")
+    left, right = checkpoint(left), checkpoint(right)
+    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+    sides = left.where(x.isNotNull()), right.where(y.isNotNull())
+    out = _by_numbers(*sides, (a, b), terms, weights, threshold, k, method, seen) if numeric else _by_grams(*sides, (a, b), bound, terms, weights, threshold, k, seen)
+    gaps = left.where(x.isNull()), right.where(y.isNull())
+    if all(g.limit(1).count() for g in gaps):
+        out = out.unionByName(_top(*gaps, pairs, weights, threshold, k, method, [p for p in free if p != (a, b)], seen))
+    return out
+
+
+def _to_rows(rows: DataFrame, columns: list[str], row: str, top: DataFrame, classes: DataFrame, class_id: str, as_: str) -> DataFrame:
+    """top with the rows of each class in as_, instead of the class's id."""
+    named = classes.select(F.col("__first").alias(class_id), *[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(columns)]).join(top, class_id)
+    own = rows.select(F.col(f"`{row}`").alias(as_), *[F.col(f"`{c}`").alias(f"__w{i}") for i, c in enumerate(columns)])
+    same = [F.col(f"__w{i}").eqNullSafe(F.col(f"__v{i}")) for i in range(len(columns))]
+    return own.join(named, same).drop(class_id, *[f"__{x}{i}" for i in range(len(columns)) for x in "vw"])
+
+
+def best_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.85, weights: dict[str, float] | None = None, method: str = "levenshtein", seen=None) -> DataFrame:
     """(left_id, right_id, score): per left row the best right row strictly above threshold, the lower right id on ties.
 
     Rows with equal values have equal scores, so distinct values are compared, not rows: on the right the lowest id stands
-    for its equals, and what a value of the left finds goes to all rows that have it.
+    for its equals, and what a value of the left finds goes to all rows that have it. seen is told of pairs looked at.
     """
     w = weights_of([a for a, _ in pairs], weights)
     own = list(dict.fromkeys(a for a, _ in pairs))
-    found = _classes(left, own, left_id)
-    scored = _score(found, _classes(right, [b for _, b in pairs], right_id), pairs, w, threshold, True, method, False)
-    ids = scored.select("__l", F.col("__r.__first").alias("__rid"), "score")
-    top = ids.groupBy("__l").agg(F.max(F.struct("score", (-F.col("__rid")).alias("n"))).alias("t"))
-    top = top.select(*[F.col(f"__l.`{a}`").alias(f"__v{i}") for i, a in enumerate(own)], (-F.col("t.n")).alias("right_id"), F.col("t.score").alias("score"))
-    rows = left.select(F.col(f"`{left_id}`").alias("left_id"), *[F.col(f"`{a}`").alias(f"__w{i}") for i, a in enumerate(own)])
-    same = [F.col(f"__w{i}").eqNullSafe(F.col(f"__v{i}")) for i in range(len(own))]
-    return rows.join(top, same).select("left_id", "right_id", "score")
-
-
-def all_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.7, max_matches: int = 5, weights: dict[str, float] | None = None, method: str = "levenshtein") -> DataFrame:
-    """(left_id, right_id, score, rank): per left row up to max_matches right rows at or above threshold, best first."""
+    classes = checkpoint(_classes(left, own, left_id))
+    top = _top(classes, _classes(right, [b for _, b in pairs], right_id), pairs, w, threshold, 1, method, seen=seen)
+    return _to_rows(left, own, left_id, top, classes, "lid", "left_id").select("left_id", F.col("rid").alias("right_id"), "score")
+
+
+def all_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.7, max_matches: int = 5, weights: dict[str, float] | None = None, method: str = "levenshtein", seen=None) -> DataFrame:
+    """(left_id, right_id, score, rank): per left row up to max_matches right rows at or above threshold, best first.
+
+    Distinct values are compared here too. Of equal right rows the lowest max_matches ids can be among the best.
+    """
     from pyspark.sql import Window as W
 
     w = weights_of([a for a, _ in pairs], weights)
-    scored = _score(left, right, pairs, w, math.nextafter(threshold, 0), True, method, False)
-    ids = scored.select(F.col(f"__l.`{left_id}`").alias("left_id"), F.col(f"__r.`{right_id}`").alias("right_id"), "score")
-    return ids.withColumn("rank", F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))).where(F.col("rank") <= max_matches)
+    own, theirs = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
+    classes, others = checkpoint(_classes(left, own, left_id)), checkpoint(_classes(right, theirs, right_id))
+    top = _top(classes, others, pairs, w, math.nextafter(threshold, 0), max_matches, method, seen=seen)
+    place = F.row_number().over(W.partitionBy(*[F.col(f"`{b}`") for b in theirs]).orderBy(F.col(f"`{right_id}`")))
+    few = right.withColumn("__place", place).where(F.col("__place") <= max_matches)
+    each = _to_rows(few, theirs, right_id, top, others, "rid", "right_id").select("lid", "right_id", "score")
+    each = each.withColumn("rank", F.row_number().over(W.partitionBy("lid").orderBy(F.desc("score"), "right_id"))).where(F.col("rank") <= max_matches)
+    return _to_rows(left, own, left_id, each, classes, "lid", "left_id").select("left_id", "right_id", "score", "rank")
 
 
 def _merged(left: DataFrame, right: DataFrame, matched: DataFrame, pairs: list[Pair], left_id: str, right_id: str) -> DataFrame:
@@ -203,7 +292,7 @@ def probabilistic_matches(left: DataFrame, right: DataFrame, pairs: list[Pair],
     from pyspark.sql import Window as W
 
     w = {a: 1 / len(pairs) for a, _ in pairs}
-    scored = _score(left, right, pairs, w, threshold, False, "levenshtein", True)
+    scored = _score(candidates(left, right, pairs, w, threshold, False), _terms(left, right, pairs), w, threshold, False, "levenshtein", True)
     values = F.struct(*[F.col(f"__l.`{a}`").alias(f"v{i}") for i, (a, _) in enumerate(pairs)])
     edges = checkpoint(scored.select(values.alias("v"), F.col(f"__l.`{left_id}`").alias("l"), F.col(f"__r.`{right_id}`").alias("r"), "score"))
     turn = _turns(edges.select("v", "l").distinct())
