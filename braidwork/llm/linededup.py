@@ -154,7 +154,7 @@ def _align(min_words: int):
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __h, gone): the line numbers to delete from each document that loses any."""
+    """(__id, __h, __gone): the line numbers to delete from each document that loses any."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     lines = checkpoint(rows.mapInArrow(_lines(min_words), f"id {kind}, h bigint, lines array<bigint>, words array<int>, keys array<bigint>").dropDuplicates(["id", "h"]))
@@ -167,7 +167,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     right = lines.select(me.alias("p"), F.col("lines").alias("other"))
     both = pairs.join(right, "p").join(left, "d").select("d.id", "d.h", "lines", "words", "other")
     gone = both.mapInArrow(_align(min_words), f"id {kind}, h bigint, gone array<int>")
-    return gone.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return gone.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__gone"))
 
 
 def kept_lines(text: str, gone: list[int]) -> str:
@@ -177,7 +177,7 @@ def kept_lines(text: str, gone: list[int]) -> str:
 
 def _with_gone(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     gone = deletions(docs, id_col, text_col, min_words)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left").drop("__id", "__h").withColumnRenamed("gone", "__gone")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left").drop("__id", "__h")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

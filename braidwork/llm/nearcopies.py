@@ -3,13 +3,14 @@
 Texts with equal words are one class. A class has a fingerprint of BITS bits over its distinct shingles. The distances
 of a fingerprint to the reference without bits and to those of one bit tell each of its bits; tables of KEY_BITS such
 distances, at places drawn once, are equi-join keys, as many as find a pair of just the asked similarity with the asked
-probability, whatever the size of the corpus. Within a bucket, pairs whose distances to scattered references differ by
-more than the radius in some coordinate are discarded, the rest compared bit by bit. Of the close ones only a minimum
-spanning forest is kept, which has the components of all close pairs at every distance; its pairs are verified by the
-Jaccard similarity of their texts' shingles. Components of the verified pairs are the groups.
-
-A bucket of over BUCKET_ROWS fingerprints is dealt out again by SPLIT_BITS further bits; each of its rows is also held
-against its first row. Texts of so large a group have partners in plenty. A bucket that is still as large is gone
+probability; keys grow with the number of texts, and the tables with the keys, so that this holds at any size. Within a
+bucket, pairs whose distances to scattered references differ by more than the radius in some coordinate are discarded, the
+rest compared bit by bit. Of the close ones all are kept in a group of up to SMALL, in a larger one a minimum spanning
+forest, which has the components of all close pairs at every distance; the pairs are verified by the Jaccard similarity of
+their texts' shingles. Components of the verified pairs are the groups.
+
+A bucket of over BUCKET_ROWS fingerprints is dealt out again SPLITS times, by SPLIT_BITS bits each; each of its rows is also
+held against its first row. Texts of so large a group have partners in plenty. A bucket that is still as large is gone
 through in the order of the fingerprints, each row against the first and the BUCKET_ROWS before it.
 """
 
@@ -28,10 +29,12 @@ from ._graph import components, spanning
 from ._text import _powers, checkpoint, mixed, partitions, ragged, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Words of 64 bits of a fingerprint, bits of a table's key, and the chance with which a pair of SIMILARITY is to meet.
-WIDTH, KEY_BITS, CHANCE = 4, 20, 0.9
+#: Words of 64 bits of a fingerprint, bits of a table's key at least, and the chance with which a pair of SIMILARITY is to meet.
+WIDTH, KEY_BITS, CHANCE = 4, 16, 0.99
 BITS = 64 * WIDTH
-BUCKET_ROWS, SPLIT_BITS = 2048, 32
+BUCKET_ROWS, SPLITS, SPLIT_BITS = 2048, 3, 10
+#: Texts of a bucket that chance alone puts there at most; texts of a group in a bucket of which all close pairs are kept.
+CROWD, SMALL = 256, 16
 #: References whose distances are compared before all bits are, and pairs compared or held at once.
 REFERENCES = mixed(_powers(np.uint64(0x9E3779B97F4A7C15), 8 * WIDTH - 1)).reshape(8, WIDTH)
 _PAIRS = 1 << 18
@@ -49,11 +52,15 @@ def radius(similarity: float) -> int:
     return math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p)))
 
 
-def tables(similarity: float, chance: float = CHANCE) -> np.ndarray:
-    """Places of the bits of every table: KEY_BITS of its key and SPLIT_BITS further ones."""
-    n = math.ceil(math.log(1 - chance) / math.log(1 - (1 - bit_distance(similarity)) ** KEY_BITS))
+def key_bits(texts: int) -> int:
+    return max(KEY_BITS, math.ceil(math.log2(max(texts, 1) / CROWD)))
+
+
+def tables(similarity: float, bits: int = KEY_BITS, chance: float = CHANCE) -> np.ndarray:
+    """Places of the bits of every table's key."""
+    n = math.ceil(math.log(1 - chance) / math.log(1 - (1 - bit_distance(similarity)) ** bits))
     r = np.random.default_rng(11)
-    return np.stack([r.permutation(BITS)[: KEY_BITS + SPLIT_BITS] for _ in range(n)])
+    return np.stack([r.permutation(BITS)[:bits] for _ in range(n)])
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -127,14 +134,17 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=-1).view(">u8")[..., 0].astype(np.uint64)
 
 
-def keys(fp: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per fingerprint and table its key, and a finer one for large buckets.
+def keys(fp: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Per fingerprint and table its key.
 
     With w bits set, the distance to the reference without bits is w, that to a reference of one bit w - 1 or w + 1."""
     set_ = np.unpackbits(np.ascontiguousarray(fp.astype(">u8")).view(np.uint8).reshape(len(fp), -1), axis=1)[:, places]
-    table = np.arange(1, len(places) + 1, dtype=np.uint64) << np.uint64(KEY_BITS)
-    key = mixed(_packed(set_[..., :KEY_BITS]) | table)
-    return key, mixed(key ^ mixed(_packed(set_[..., KEY_BITS:])), seed=5)
+    table = np.arange(1, len(places) + 1, dtype=np.uint64) << np.uint64(places.shape[1])
+    return mixed(_packed(set_) | table)
+
+
+#: Places of the bits by which large buckets are dealt again.
+_AGAIN = np.stack([np.random.default_rng(17 + k).permutation(BITS)[:SPLIT_BITS] for k in range(SPLITS)])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,9 +174,8 @@ def forest(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(key: np.ndarray, fp: np.ndarray, most: int, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of a minimum spanning forest of the pairs with equal keys within `most` bits; rows are sorted by key.
-
-    With reach, a row is held against its key's first one and the next `reach` only."""
+    """Rows (i, j) of the pairs with equal keys within `most` bits, of groups of over SMALL of a minimum spanning forest of them;
+    rows are sorted by key. With reach, a row is held against its key's first one and the next `reach` only."""
     near = _distance(fp[:, None, :], REFERENCES[None, :, :])
     stops, starts = np.searchsorted(key, key, side="right"), np.searchsorted(key, key, side="left")
     u, v, w, held = [], [], [], 0
@@ -180,14 +189,20 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, most: int, reach: int | None =
             d = _distance(fp[x], fp[y])
             ok = d <= most
             u, v, w, held = [*u, x[ok]], [*v, y[ok]], [*w, d[ok]], held + int(ok.sum())
-            if held > 4 * _PAIRS + len(key):
+            if held > 4 * _PAIRS + SMALL * len(key):
                 shrink()
 
     def shrink() -> None:
         nonlocal u, v, w, held
         a, b, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (u, v, w))
-        k = forest(len(key), a, b, c)
-        u, v, w, held = [a[k]], [b[k]], [c[k]], len(k)
+        keep = np.zeros(len(a), dtype=bool)
+        keep[forest(len(key), a, b, c)] = True
+        root = np.arange(len(key))
+        if keep.any():
+            node, least = spanning(a[keep], b[keep])
+            root[node] = least
+        keep |= np.bincount(root, minlength=len(key))[root[a]] <= SMALL
+        u, v, w, held = [a[keep]], [b[keep]], [c[keep]], int(keep.sum())
 
     step, open_ = 1, np.flatnonzero(np.arange(len(key)) + 1 < stops)
     if reach:
@@ -248,13 +263,13 @@ def _words_of(column: pa.Array) -> np.ndarray:
 
 
 def _meet(most: int, split: bool):
-    """Rows (key, finer, node, fp) sorted by key to rows of kind 0, a close pair (a, b), or 1, a large bucket's row (a) again
-    under its finer key."""
+    """Rows (key, node, fp) sorted by key to rows of kind 0, a close pair (a, b), or 1, a large bucket's row (a) under a finer
+    key, once for each way to deal it again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None
         for hot, rows in buckets(batches, BUCKET_ROWS if split else None):
-            key, fp, node = rows.column(0).to_numpy(zero_copy_only=False), _words_of(rows.column(3)), rows.column(2)
+            key, fp, node = rows.column(0).to_numpy(zero_copy_only=False), _words_of(rows.column(2)), rows.column(1)
             if not hot:
                 first = None
                 again = np.zeros(len(key), bool)
@@ -272,7 +287,9 @@ def _meet(most: int, split: bool):
                     first = (key[0], fp[0], node.slice(0, 1))
                 hot_rows, lead = np.arange(len(key)), None
             if len(hot_rows):
-                yield _rows(1, rows.column(1).to_numpy(zero_copy_only=False)[hot_rows].view(np.uint64), (node.take(pa.array(hot_rows)), pa.nulls(len(hot_rows), node.type)), rows.column(3).take(pa.array(hot_rows)))
+                finer = mixed(keys(fp[hot_rows], _AGAIN) ^ mixed(key[hot_rows].view(np.uint64))[:, None], seed=5)
+                each = pa.array(np.repeat(hot_rows, SPLITS))
+                yield _rows(1, finer.ravel(), (node.take(each), pa.nulls(len(each), node.type)), rows.column(2).take(each))
                 head = fp[lead] if lead is not None else first[1][None, :]
                 near = np.flatnonzero(_distance(fp[hot_rows], head) <= most)
                 leads = node.take(pa.array(lead[near])) if lead is not None else first[2].take(pa.array(np.zeros(len(near), np.int64)))
@@ -282,22 +299,23 @@ def _meet(most: int, split: bool):
 
 
 def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v) distinct pairs of nodes (node, fp) that share a key and are close: forests of them, not all."""
-    kind, places, most = nodes.schema["node"].dataType.simpleString(), tables(similarity), radius(similarity)
+    """(u, v) distinct pairs of nodes (node, fp) that share a key and are close; of large groups forests of them, not all."""
+    kind, most = nodes.schema["node"].dataType.simpleString(), radius(similarity)
+    places = tables(similarity, key_bits(nodes.count()))
     n = partitions(nodes.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                key, finer = keys(_words_of(part.column(1)), places)
+                key = keys(_words_of(part.column(1)), places)
                 row = pa.array(np.repeat(np.arange(part.num_rows), len(places)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(finer.ravel().view(np.int64)), part.column(0).take(row), part.column(1).take(row)], names=["key", "finer", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), part.column(0).take(row), part.column(1).take(row)], names=["key", "node", "fp"])
 
     out = f"kind int, key bigint, a {kind}, b {kind}, fp binary"
     sort = lambda df: df.repartition(n, "key").sortWithinPartitions("key", "fp")
-    met = checkpoint(sort(nodes.select("node", "fp").mapInArrow(deal, f"key bigint, finer bigint, node {kind}, fp binary")).mapInArrow(_meet(most, True), out))
-    large = met.where("kind = 1").select("key", F.col("key").alias("finer"), F.col("a").alias("node"), "fp")
+    met = checkpoint(sort(nodes.select("node", "fp").mapInArrow(deal, f"key bigint, node {kind}, fp binary")).mapInArrow(_meet(most, True), out))
+    large = met.where("kind = 1").select("key", F.col("a").alias("node"), "fp")
     pairs = met.where("kind = 0").select("a", "b").unionByName(sort(large).mapInArrow(_meet(most, False), out).select("a", "b"))
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
@@ -321,7 +339,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
-    """(id_col, component_id): each distinct id and text of docs with the least id of its group. Null ids are left out.
+    """(id_col, component_id, __h, __least): each distinct id and text (by its hash) of docs with the least id of its group, and
+    whether it is the first of it by id, then hash. Null ids are left out.
 
     Texts without words, null ones too, are equal. An empty table gives none."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -333,21 +352,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
             fp = np.ascontiguousarray(fingerprints(texts, width).astype(">u8"))
             yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(same, pa.binary()), pa.array([r.tobytes() for r in fp], pa.binary())], names=["i", "same", "fp"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    member = checkpoint(rows.mapInArrow(run, f"i {kind}, same binary, fp binary"))
+    # a text is named by its id and its hash, as an id may repeat with other texts
+    name = f"struct<i:{kind},h:bigint>"
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("i"), F.col(text_col).alias("t"))
+    member = checkpoint(rows.mapInArrow(run, f"i {name}, same binary, fp binary"))
     nodes = checkpoint(member.groupBy("same").agg(F.min("i").alias("node"), F.first("fp").alias("fp")))
     pairs = checkpoint(candidates(nodes, similarity))
     in_pair = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    # an id that repeats with other texts stands for the one whose class it names
     texts = rows.withColumnRenamed("i", "node").join(in_pair, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
     roots = components(verified(pairs, texts, similarity, width)).withColumnRenamed("root", "least")
-    named = nodes.join(roots, "node", "left").select("same", F.coalesce("least", "node").alias("component_id"))
-    return member.select(F.col("i").alias(id_col), "same").distinct().join(named, "same").select(id_col, "component_id")
+    named = nodes.join(roots, "node", "left").select("same", F.coalesce("least", "node").alias("least"))
+    return member.join(named, "same").select(F.col("i.i").alias(id_col), F.col("least.i").alias("component_id"), F.col("i.h").alias("__h"), (F.col("i") == F.col("least")).alias("__least")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stand for their group, those with its least id. All columns stay.
+    """The rows of docs that stand for their group, those with its least id, and of several texts of that id the first by hash.
+    All columns stay.
 
     Rows with a null id stay (nothing tells them apart). Repeated rows stay or go together."""
-    kept = groups(docs, id_col, text_col, similarity, width).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    kept = groups(docs, id_col, text_col, similarity, width).where("__least").select(F.struct(F.col(id_col).alias("i"), F.col("__h").alias("h")).alias("__kept"))
+    named = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    return docs.join(kept, named == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -386,15 +386,17 @@ def decode(ids: np.ndarray, at: np.ndarray, v: dict) -> tuple[np.ndarray, np.nda
 
 
 def with_ids(docs: DataFrame, text_col: str = "text", model: str = MODEL, out_col: str = "ids") -> DataFrame:
-    """docs with the ids of the text as array<int>; a null text has none."""
+    """docs with the ids of the text as array<int>, in place of a column of that name; a null text has none."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, CHUNK):
             ids, at = encode(*utf8(part.column(text_col)), sent.value)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=[*part.schema.names, out_col])
+            own = part.select(others)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=[*own.schema.names, out_col])
 
-    return docs.mapInArrow(run, _ddl(docs, f"`{out_col}` array<int>"))
+    others = [c for c in docs.columns if c != out_col]
+    return docs.mapInArrow(run, _ddl(docs.select([F.col(f"`{c}`") for c in others]), f"`{out_col}` array<int>"))
 
 
 def _ddl(docs: DataFrame, extra: str) -> str:
@@ -402,7 +404,7 @@ def _ddl(docs: DataFrame, extra: str) -> str:
 
 
 def with_text(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, out_col: str = "decoded") -> DataFrame:
-    """rows with the text that their ids stand for; null ids count as none. Bytes that are no UTF-8 become U+FFFD."""
+    """rows with the text that their ids stand for, in place of a column of that name; null ids count as none. Bytes that are no UTF-8 become U+FFFD."""
     sent = rows.sparkSession.sparkContext.broadcast(load(model))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,9 +422,11 @@ def with_text(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, out_col
             data, at = decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), sent.value)
             raw = data.tobytes()
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            own = batch.select(others)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], names=[*own.schema.names, out_col])
 
-    return rows.mapInArrow(run, _ddl(rows, f"`{out_col}` string"))
+    others = [c for c in rows.columns if c != out_col]
+    return rows.mapInArrow(run, _ddl(rows.select([F.col(f"`{c}`") for c in others]), f"`{out_col}` string"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:

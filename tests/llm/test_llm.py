@@ -143,6 +143,53 @@ def test_near_copies(spark, monkeypatch, limit):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_near_copies_of_a_repeated_id(spark):
+    from braidwork.llm import nearcopies
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, "something else altogether, and of its own"), (7, text), (9, text + " more")]
+    got = nearcopies.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(7, 7), (7, 7), (9, 7)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(t for _, t in rows[:2])
+
+
+def test_near_copies_in_one_large_bucket(spark, monkeypatch):
+    from braidwork.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "BUCKET_ROWS", 64)
+    r = random.Random(1)
+    words = [f"w{k}" for k in range(5000)]
+    base, texts = [r.choice(words) for _ in range(200)], []
+    for _ in range(400):  # much alike, but only pairs are near copies
+        own = list(base)
+        for p in r.sample(range(200), 5):
+            own[p] = r.choice(words)
+        texts.append(" ".join(own))
+        own[r.randrange(200)] = r.choice(words)
+        texts.append(" ".join(own))
+    got = {x.doc_id: x.component_id for x in nearcopies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    want = grouped(texts)
+    assert sum(got[i] != want[i] for i in range(len(texts))) <= 8
+
+
+def test_near_copy_keys_grow_with_the_texts():
+    from braidwork.llm import nearcopies
+
+    assert nearcopies.key_bits(0) == nearcopies.key_bits(1 << 24) == 16 and nearcopies.key_bits(1 << 34) == 26
+    for bits in (16, 26):
+        places = nearcopies.tables(0.8, bits)
+        assert 1 - (1 - (1 - nearcopies.bit_distance(0.8)) ** bits) ** len(places) >= 0.99
+
+
+def test_columns_named_like_ours(spark):
+    docs = spark.createDataFrame([(1, "a line of ten words that others may hold as well\nb", 5, "x", "d"), (2, "a line of ten words that others may hold as well\nc", 6, "y", "e")], "doc_id bigint, text string, gone int, ids string, decoded string")
+    cut = linededup.deduplicate(docs)
+    assert cut.columns == docs.columns and collected(cut, "doc_id", "text", "gone") == [(1, docs.first().text, 5), (2, "c", 6)]
+    back = spm.with_text(spm.with_ids(docs))
+    assert sorted(back.columns) == sorted(docs.columns) and {r.doc_id: r.decoded for r in back.collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
 def test_near_copies_of_text_ids(spark):
     rows = [("b", "x y z u v w"), ("a", "x y z u v w"), ("c", "other"), ("c", "x y z u v w"), (None, None)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string"))
@@ -402,7 +449,7 @@ def test_line_blocks_scattered_over_first_holders(spark):
         docs.append(f"begin {n}\n" + "\n".join(short[at : at + r.randint(2, 8)]) + f"\nend {n}")
     want = shared_with_earlier(docs)
     assert want[4] == {0, 1, 2} and sum(map(bool, want)) > 20
-    got = {q["__id"]: set(q.gone) for q in linededup.deletions(frame(spark, enumerate(docs))).collect()}
+    got = {q["__id"]: set(q["__gone"]) for q in linededup.deletions(frame(spark, enumerate(docs))).collect()}
     assert [got.get(n, set()) for n in range(len(docs))] == want
 
 
@@ -416,7 +463,7 @@ def test_repeated_and_moved_blocks(spark):
     docs += ["\n".join(r.choice(few) for _ in range(r.randint(2, 9))) + f"\nend {n}" for n in range(30)]
     want = shared_with_earlier(docs)
     assert want[1] == {1} and want[2] == {1, 3, 4} and want[3] == {0, 1, 3, 5} and want[4] == {3, 4, 5} and want[5] == {1}
-    got = {g["__id"]: set(g.gone) for g in linededup.deletions(frame(spark, enumerate(docs))).collect()}
+    got = {g["__id"]: set(g["__gone"]) for g in linededup.deletions(frame(spark, enumerate(docs))).collect()}
     assert [got.get(n, set()) for n in range(len(docs))] == want
 
 
