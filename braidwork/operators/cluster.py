@@ -1,14 +1,27 @@
-"""K-means on standardised numeric columns, and the mean Euclidean silhouette."""
+"""K-means on standardised numeric columns, and the mean Euclidean silhouette.
+
+All restarts advance together: a pass over the points assigns them to the centres of every restart and adds them up by restart
+and centre. The silhouette is exact; tiles of points are multiplied with one another, and only sums by cluster leave a pair.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from ..types import numeric_columns
 
+#: Points of a tile, and passes of a fit at most.
+TILE, PASSES = 2048, 300
+#: A fit is done when no centre moves further.
+STILL = 1e-4
+
 
 @dataclass
 class Clusters:
@@ -19,15 +32,108 @@ class Clusters:
     features: list[str]
 
 
-def kmeans(df: DataFrame, k: int = 3, seeds: range = range(42, 52), order: str = "__row_id", silhouette_rows: int = 5000) -> Clusters | None:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers between 0 and 1 drawn from hashes and a seed."""
+    x = h.view(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of all points to all centres."""
+    out = np.zeros((len(x), len(centres)))
+    for d in range(x.shape[1]):
+        out += (x[:, d, None] - centres[None, :, d]) ** 2
+    return out
+
+
+def _seeded(points: DataFrame, k: int, seeds: list[int]) -> list[np.ndarray]:
+    """k-means++ for every seed: each next centre is drawn with a chance in proportion to its squared distance from those there
+    are, one pass a centre: the point with the least exponential number of that rate."""
+    centres: list[list[list[float]]] = [[] for _ in seeds]
+    for step in range(k):
+        known = [np.array(c) for c in centres]
+
+        def draw(batches: Iterator[pa.RecordBatch], step=step, known=known) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[float, list[float]]] = {}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                h, x = b.column("h").to_numpy(), _matrix(b.column("x"))
+                for r, seed in enumerate(seeds):
+                    rate = _squares(x, known[r]).min(axis=1) if step else np.ones(len(x))
+                    with np.errstate(divide="ignore"):
+                        late = -np.log(_uniform(h, 1000 * seed + step)) / rate
+                    i = int(late.argmin())
+                    if r not in best or (late[i], x[i].tolist()) < best[r]:
+                        best[r] = (float(late[i]), x[i].tolist())
+            rows = sorted(best.items())
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([v[0] for _, v in rows], pa.float64()), pa.array([v[1] for _, v in rows], pa.list_(pa.float64()))], names=["r", "late", "x"])
+
+        drawn = points.mapInArrow(draw, "r int, late double, x array<double>").groupBy("r").agg(F.min(F.struct("late", "x")).alias("m"))
+        for row in drawn.collect():  # a row per restart
+            centres[row.r].append(row.m.x)
+    return [np.array(c) for c in centres]
+
+
+def _pass(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per restart the number and the sum of the points nearest to each centre, and the squared distance of all."""
+    width = next(iter(centres.values())).shape[1]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {r: (np.zeros(len(c)), np.zeros_like(c), np.zeros(len(c))) for r, c in centres.items()}
+        for b in batches:
+            x = _matrix(b.column("x")) if b.num_rows else np.empty((0, width))
+            for r, c in centres.items():
+                d = _squares(x, c)
+                own = d.argmin(axis=1) if len(x) else np.empty(0, np.int64)
+                n, total, cost = held[r]
+                n += np.bincount(own, minlength=len(c))
+                cost += np.bincount(own, weights=d[np.arange(len(x)), own], minlength=len(c))
+                for j in range(width):
+                    total[:, j] += np.bincount(own, weights=x[:, j], minlength=len(c))
+        rows = [(r, i, n[i], cost[i], *total[i]) for r, (n, total, cost) in held.items() for i in range(len(n))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+    names = ["r", "i", "n", "cost", *(f"s{j}" for j in range(width))]
+    sums = points.mapInArrow(add, "r bigint, i bigint, n double, cost double, " + ", ".join(f"s{j} double" for j in range(width)))
+    got: dict[int, tuple[np.ndarray, np.ndarray, float]] = {r: (np.zeros(len(c)), np.zeros_like(c), 0.0) for r, c in centres.items()}
+    for row in sorted(sums.groupBy("r", "i").agg(*[F.sum(c).alias(c) for c in names[2:]]).collect()):  # a row per restart and centre
+        n, total, cost = got[row.r]
+        n[row.i], total[row.i] = row.n, [row[f"s{j}"] for j in range(width)]
+        got[row.r] = (n, total, cost + row.cost)
+    return got
+
+
+def _fitted(points: DataFrame, k: int, seeds: list[int]) -> tuple[np.ndarray, float]:
+    """The centres with the least inertia of one fit per seed, and that inertia; of equal ones the first."""
+    centres = dict(enumerate(_seeded(points, k, seeds)))
+    still: set[int] = set()
+    for _ in range(PASSES):
+        moving = {r: c for r, c in centres.items() if r not in still}
+        if not moving:
+            break
+        for r, (n, total, _) in _pass(points, moving).items():
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres[r])
+            if np.sqrt(((new - centres[r]) ** 2).sum(axis=1)).max() <= STILL:
+                still.add(r)
+            centres[r] = new
+    cost = {r: x for r, (_, _, x) in _pass(points, centres).items()}
+    best = min(cost, key=lambda r: (cost[r], r))
+    return centres[best], cost[best]
+
+
+def kmeans(df: DataFrame, k: int = 3, seeds: range = range(42, 52), order: str = "__row_id") -> Clusters | None:
     """The best of one fit per seed; None with fewer than k + 1 complete rows or no numeric column.
 
     Columns are scaled by their population deviation (a constant one by 1). labels: (order, cluster). Centroids are in
-    the original scale. The silhouette is exact up to silhouette_rows rows and of a sample of about so many beyond.
+    the original scale.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     columns = numeric_columns(df.schema, (order,))
     if not columns:
         return None
@@ -36,27 +142,94 @@ def kmeans(df: DataFrame, k: int = 3, seeds: range = range(42, 52), order: str =
     if stats["n"] < k + 1:
         return None
     mean, scale = [stats[f"m{i}"] for i in range(len(columns))], [stats[f"s{i}"] or 1.0 for i in range(len(columns))]
-    scaled = clean.select(order, *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(columns, mean, scale)])
-    ready = VectorAssembler(inputCols=columns, outputCol="__features").transform(scaled).select(order, "__features", *columns).persist()
-    try:
-        best = min((KMeans(k=k, seed=s, featuresCol="__features", predictionCol="cluster").fit(ready) for s in seeds), key=lambda m: m.summary.trainingCost)
-        labels = best.transform(ready).select(order, "cluster", *columns)
-        score = silhouette(labels, columns, order, silhouette_rows, stats["n"])
-        centroids = [[float(x) * s + m for x, m, s in zip(c, mean, scale)] for c in best.clusterCenters()]
-        return Clusters(labels.select(order, "cluster"), centroids, round(best.summary.trainingCost, 6), score, columns)
-    finally:
-        ready.unpersist()
-
-
-def silhouette(labels: DataFrame, columns: list[str], order: str, rows: int, total: int) -> float | None:
-    """Mean of (b - a) / max(a, b), 0 for clusters of one; None with a single cluster."""
-    part = labels if total <= rows else labels.where(F.pmod(F.xxhash64(order), F.lit(total)) < rows)
-    x = part.select(F.col(order).alias("i"), F.col("cluster").alias("ci"), F.array(*columns).alias("x"))
-    y = part.select(F.col("cluster").alias("cj"), F.array(*columns).alias("y"))  # at most about `rows` rows
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    per = x.crossJoin(F.broadcast(y)).groupBy("i", "ci", "cj").agg(F.sum(d).alias("d"), F.count("*").alias("n"))
-    own, other = F.col("ci") == F.col("cj"), F.col("ci") != F.col("cj")
-    each = per.groupBy("i").agg(F.max(F.when(own, F.try_divide(F.col("d"), F.col("n") - 1))).alias("a"), F.min(F.when(other, F.col("d") / F.col("n"))).alias("b"))
-    s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    got = each.where("b IS NOT NULL").agg(F.avg(s).alias("s")).first()["s"]
-    return None if got is None else round(got, 6)
+    scaled = clean.select(order, F.xxhash64(order).alias("h"), F.array(*[(F.col(c) - m) / s for c, m, s in zip(columns, mean, scale)]).alias("x"))
+    points = checkpoint(scaled)
+    centres, inertia = _fitted(points.select("h", "x"), k, list(seeds))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = _squares(_matrix(b.column("x")), centres).argmin(axis=1) if b.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.astype(np.int32)), b.column("x")], names=["i", "cluster", "x"])
+
+    kind = df.schema[order].dataType.simpleString()
+    labels = checkpoint(points.select(F.col(order).alias("i"), "x").mapInArrow(label, f"i {kind}, cluster int, x array<double>"))
+    centroids = [[float(x) * s + m for x, m, s in zip(c, mean, scale)] for c in centres]
+    return Clusters(labels.select(F.col("i").alias(order), "cluster"), centroids, round(inertia, 6), silhouette(labels.select("cluster", "x"), k), columns)
+
+
+def silhouette(points: DataFrame, k: int) -> float | None:
+    """Mean of (b - a) / max(a, b) of points (cluster, x), 0 for clusters of one; None with a single cluster.
+
+    a and b are mean distances to the rest of the own cluster and to the nearest other one. Every pair of points is held
+    against each other, as the definition has it, a tile of points against a tile at a time."""
+    sizes = {r.cluster: r.n for r in points.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row per cluster
+    if len(sizes) < 2:
+        return None
+    count = np.array([sizes.get(c, 0) for c in range(k)], dtype=np.float64)
+    tiles = -(-int(count.sum()) // TILE)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def tile() -> Iterator[pa.RecordBatch]:
+            if held:
+                c, x = (np.concatenate(v) for v in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([c.astype("<i4").tobytes()]), pa.array([x.astype("<f8").tobytes()])], names=["tile", "c", "x"])
+                held.clear()
+
+        for b in batches:
+            t = b.column("tile").to_numpy()
+            for i in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t)) + 1):
+                if len(i):
+                    if t[i[0]] != at:
+                        yield from tile()
+                        at = int(t[i[0]])
+                    part = b.slice(int(i[0]), len(i))
+                    held.append((part.column("cluster").to_numpy(), _matrix(part.column("x"))))
+        yield from tile()
+
+    dealt = points.select(F.pmod(F.xxhash64("x", F.rand(7)), F.lit(tiles)).cast("bigint").alias("tile"), "cluster", "x").repartition("tile").sortWithinPartitions("tile")
+    packed = checkpoint(dealt.mapInArrow(pack, "tile bigint, c binary, x binary"))
+
+    def unpacked(c: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        own = np.frombuffer(c, "<i4")
+        return own, np.frombuffer(x, "<f8").reshape(len(own), -1)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                tile, c, x, c2, y = (b.column(n)[row].as_py() for n in ("tile", "c", "x", "c2", "y"))
+                (_, x), (other, y) = unpacked(c, x), unpacked(c2, y)
+                member = (other[:, None] == np.arange(k)).astype(np.float64)
+                sums = np.concatenate([np.sqrt(_squares(x[i : i + 512], y)) @ member for i in range(0, len(x), 512)])
+                yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int64()), pa.array([c]), pa.array([sums.tobytes()])], names=["tile", "c", "sums"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, c, total = None, b"", None
+
+        def done() -> pa.RecordBatch:
+            own = np.frombuffer(c, "<i4")
+            i = np.arange(len(own))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a = total[i, own] / (count[own] - 1)
+                mean = np.where((count > 0) & (np.arange(k) != own[:, None]), total / count, np.inf)
+                b = mean.min(axis=1)
+                s = np.where(count[own] > 1, np.nan_to_num((b - a) / np.maximum(a, b)), 0.0)
+            return pa.RecordBatch.from_arrays([pa.array([float(s.sum())]), pa.array([len(own)], pa.int64())], names=["s", "n"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tile, own, sums = (batch.column(n)[row].as_py() for n in ("tile", "c", "sums"))
+                sums = np.frombuffer(sums).reshape(-1, k)
+                if tile != at:
+                    if at is not None:
+                        yield done()
+                    at, c, total = tile, own, np.zeros_like(sums)
+                total = total + sums
+        if at is not None:
+            yield done()
+
+    pairs = packed.select("tile", "c", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))).alias("other")).join(packed.select(F.col("tile").alias("other"), F.col("c").alias("c2"), F.col("x").alias("y")), "other")
+    sums = pairs.repartition("tile", "other").mapInArrow(multiply, "tile bigint, c binary, sums binary")
+    got = sums.repartition("tile").sortWithinPartitions("tile").mapInArrow(score, "s double, n bigint").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return round(got.s / got.n, 6)

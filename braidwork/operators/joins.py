@@ -217,11 +217,11 @@ def _top(left: DataFrame, right: DataFrame, pairs: list[Pair], weights: dict[str
 
 
 def _to_rows(rows: DataFrame, columns: list[str], row: str, top: DataFrame, classes: DataFrame, class_id: str, as_: str) -> DataFrame:
-    """top with the rows of each class in as_, instead of the class's id."""
+    """top with the rows of each class in as_, beside the class's id."""
     named = classes.select(F.col("__first").alias(class_id), *[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(columns)]).join(top, class_id)
     own = rows.select(F.col(f"`{row}`").alias(as_), *[F.col(f"`{c}`").alias(f"__w{i}") for i, c in enumerate(columns)])
     same = [F.col(f"__w{i}").eqNullSafe(F.col(f"__v{i}")) for i in range(len(columns))]
-    return own.join(named, same).drop(class_id, *[f"__{x}{i}" for i in range(len(columns)) for x in "vw"])
+    return own.join(named, same).drop(*[f"__{x}{i}" for i in range(len(columns)) for x in "vw"])
 
 
 def best_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.85, weights: dict[str, float] | None = None, method: str = "levenshtein", seen=None) -> DataFrame:
@@ -281,30 +281,68 @@ def semantic_join(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id:
     return _merged(left, right, matched, pairs, left_id, right_id)
 
 
+def _edges(left: DataFrame, right: DataFrame, pairs: list[Pair], weights: dict[str, float], threshold: float) -> DataFrame:
+    """(lc, rc, score): the classes of both sides, named by their __first, that score above threshold; nulls score nothing, and text
+    that is a number on both sides counts as one. Text alone meets by its grams, or as numbers in bands."""
+    terms = _terms(left, right, pairs)
+    bounds = [(1 - (1 - threshold) / weights[a], a, b) for a, b, _ in terms]
+    bound, a, b = max(bounds, key=lambda x: x[0])
+    rows = None
+    if bound > 0.01 and not any(numeric for _, _, numeric in terms):
+        l_, r_ = left.select(F.col("__first").alias("lid"), F.struct("*").alias("__l")), right.select(F.col("__first").alias("rid"), F.struct("*").alias("__r"))
+        text = lambda df, c: df.where(F.col(f"`{c}`").isNotNull()).select(F.col("__first").alias("id"), normal(F.col(f"`{c}`").cast("string")).alias("s"))
+        met = Index(checkpoint(text(left, a)), checkpoint(text(right, b))).candidates(bound)
+        number = lambda df, c, i: df.select(F.col("__first").alias(i), _number(F.col(f"`{c}`")).alias("v")).where("v IS NOT NULL")
+        m, n = number(left, a, "lid"), number(right, b, "rid")
+        near = F.array(*[F.struct(_bands(F.col("v"), True, bound)["s"].alias("s"), (_bands(F.col("v"), True, bound)["b"] + d).alias("b")) for d in (-1, 0, 1)])
+        banded = m.withColumn("k", F.explode(near)).join(n.withColumn("k", _bands(F.col("v"), True, bound)), "k").select("lid", "rid")
+        rows = met.unionByName(banded).distinct().join(l_, "lid").join(r_, "rid")
+    if rows is None:
+        rows = candidates(left, right, pairs, weights, threshold, False)
+    scored = _score(rows, terms, weights, threshold, False, "levenshtein", True)
+    return scored.select(F.col("__l.__first").alias("lc"), F.col("__r.__first").alias("rc"), "score")
+
+
 def probabilistic_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.75) -> DataFrame:
-    """One-to-one (left_id, right_id, score): left rows in order of id each take their best free right row above threshold.
+    """One-to-one (left_id, right_id, score): left rows in order of id take their best free right row above threshold.
 
-    Found by deferred acceptance with rights preferring the lowest left id, which gives the same matching in any order:
-    free lefts propose, a right keeps its lowest proposer, and edges that lose are dropped, until none does.
-    Lefts with equal values have the same list of rights, and each takes one further down than the one before it did. So the
-    k-th of them can't get any of the first k - 1: those edges go before the first round, which else would take k rounds.
+    Found by deferred acceptance with rights preferring the lowest left id, which gives the same matching in any order. Rows of
+    equal values are a class: a left class has one list of wishes, a right class is a unit with as many seats as rows. Only
+    right classes that some left class likes as much as another are taken apart, since the lower row id decides there.
+
+    In a list the seats of its units are numbered. The rows of a left class, in order of id, end at seats that rise, whatever
+    the other classes take. So a row proposes to the unit of the seat k + max(s - j) over the rows j up to it, the k-th,
+    where s is the seat from which on row j has not been refused. A unit keeps its lowest ids, the refused go on behind it.
+    Edges are pairs of classes, rounds pass over the rows that are still in, and a row needs no round per refused equal.
     """
     from pyspark.sql import Window as W
 
     w = {a: 1 / len(pairs) for a, _ in pairs}
-    scored = _score(candidates(left, right, pairs, w, threshold, False), _terms(left, right, pairs), w, threshold, False, "levenshtein", True)
-    values = F.struct(*[F.col(f"__l.`{a}`").alias(f"v{i}") for i, (a, _) in enumerate(pairs)])
-    edges = checkpoint(scored.select(values.alias("v"), F.col(f"__l.`{left_id}`").alias("l"), F.col(f"__r.`{right_id}`").alias("r"), "score"))
-    turn = _turns(edges.select("v", "l").distinct())
-    listed = edges.drop("v").withColumn("at", F.row_number().over(W.partitionBy("l").orderBy(F.desc("score"), "r")))
-    edges = checkpoint(listed.join(turn, "l").where("at >= turn").drop("at", "turn"))
+    own, theirs = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
+    mine, others = checkpoint(_classes(left, own, left_id)), checkpoint(_classes(right, theirs, right_id))
+    edges = checkpoint(_edges(mine, others, pairs, w, threshold))
+    alike = edges.groupBy("lc", "score").agg(F.count("*").alias("n")).where("n > 1")
+    apart = checkpoint(edges.join(alike, ["lc", "score"]).select("rc").distinct())
+    rows = _to_rows(right, theirs, right_id, edges.select("rc").distinct(), others, "rc", "r").select("rc", "r")
+    single = rows.join(apart, "rc", "left_semi").select("rc", F.col("r").alias("u"), F.lit(1).alias("k"), "r")
+    together = rows.join(apart, "rc", "left_anti").select("rc", F.col("rc").alias("u"), F.row_number().over(W.partitionBy("rc").orderBy("r")).alias("k"), "r")
+    seats = checkpoint(single.unionByName(together))
+    units = seats.groupBy("rc", "u").agg(F.count("*").alias("cap"))
+    upto = F.sum("cap").over(W.partitionBy("lc").orderBy(F.desc("score"), "u"))
+    wish = checkpoint(edges.join(units, "rc").withColumn("upto", upto).select("lc", (F.col("upto") - F.col("cap")).alias("x"), F.struct("u", "cap", "score", "upto").alias("unit")))
+    state = _to_rows(left, own, left_id, edges.select("lc").distinct(), mine, "lc", "l").select("lc", "l", F.lit(0).cast("bigint").alias("base"))
     while True:
-        proposal = edges.groupBy("l").agg(F.max(F.struct("score", (-F.col("r")).alias("n"))).alias("t")).select("l", (-F.col("t.n")).alias("r"), F.col("t.score").alias("score"))
-        proposal = checkpoint(proposal)
-        kept = proposal.groupBy("r").agg(F.min("l").alias("k"))
-        if not proposal.join(kept, "r").where("l <> k").limit(1).count():
-            return proposal.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score")
-        edges = checkpoint(edges.join(kept, "r", "left").where("k IS NULL OR l <= k").drop("k"))
+        k = F.row_number().over(W.partitionBy("lc").orderBy("l")).cast("bigint")
+        seat = state.withColumn("k", k).withColumn("x", F.col("k") + F.max(F.col("base") - F.col("k")).over(W.partitionBy("lc").orderBy("l").rowsBetween(W.unboundedPreceding, 0)))
+        none = F.lit(None).cast(wish.schema["unit"].dataType)
+        both = wish.select("lc", "x", F.lit(0).alias("kind"), F.lit(None).cast(state.schema["l"].dataType).alias("l"), "unit").unionByName(seat.select("lc", "x", F.lit(1).alias("kind"), "l", none.alias("unit")))
+        found = both.withColumn("unit", F.last("unit", ignorenulls=True).over(W.partitionBy("lc").orderBy("x", "kind", "l").rowsBetween(W.unboundedPreceding, 0)))
+        asks = found.where((F.col("kind") == 1) & (F.col("x") < F.col("unit.upto"))).select("lc", "l", "unit.*")
+        asks = checkpoint(asks.withColumn("place", F.row_number().over(W.partitionBy("u").orderBy("l"))))
+        if not asks.where("place > cap").limit(1).count():
+            taken = asks.select("l", "score", "u", F.col("place").alias("k"))
+            return taken.join(seats.select("u", "k", "r"), ["u", "k"]).select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score")
+        state = asks.select("lc", "l", F.when(F.col("place") > F.col("cap"), F.col("upto")).otherwise(F.col("upto") - F.col("cap")).alias("base"))
 
 
 def probabilistic_join(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str = "__row_id", right_id: str = "__rid", threshold: float = 0.75) -> DataFrame:
@@ -313,25 +351,6 @@ def probabilistic_join(left: DataFrame, right: DataFrame, pairs: list[Pair], lef
     return _merged(left, right, probabilistic_matches(left, right, pairs, left_id, right_id, threshold), pairs, left_id, right_id)
 
 
-def _turns(rows: DataFrame) -> DataFrame:
-    """(l, turn): the place, from 1, of each l among those of equal v. Rows are dealt by (v, l) in ranges, so that a value
-    many rows share spans tasks; what earlier tasks hold of the value a task begins with comes from a row per task."""
-    from pyspark.sql import Window as W
-
-    dealt = checkpoint(rows.repartitionByRange("v", "l").withColumn("p", F.spark_partition_id()))
-    ends = dealt.groupBy("p").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    heads = dealt.join(F.broadcast(ends), "p").groupBy("p").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.count_if(F.col("v").eqNullSafe(F.col("b"))).alias("last"))
-    carried, before, rows_ = 0, None, []
-    for r in sorted(heads.collect(), key=lambda r: r.p):  # a row per task
-        carried = carried if before is not None and r.a == before else 0
-        rows_.append((r.p, carried))
-        carried, before = r["last"] + (carried if r.a == r.b else 0), r.b
-    o = dealt.sparkSession.createDataFrame(rows_, "p int, o bigint")
-    here = F.row_number().over(W.partitionBy("p", "v").orderBy("l"))
-    first = F.min("v").over(W.partitionBy("p").orderBy("v", "l").rowsBetween(W.unboundedPreceding, 0))
-    return dealt.join(F.broadcast(o), "p").withColumn("first", first).select("l", (here + F.when(F.col("v").eqNullSafe(F.col("first")), F.col("o")).otherwise(0)).alias("turn"))
-
-
 def _nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, t, before, after): of each left (id, t) the last right (id, t) at or before it and the first after, as structs (t, id).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,35 +37,54 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def value_counts(cells: DataFrame) -> DataFrame:
-    """(field_name, v, n): the distinct non-null values of each field and how often they occur, from a row per cell.
-    Written down, since it is read for range bounds, for quantiles and for numbers of distinct values."""
-    return checkpoint(cells.where("v IS NOT NULL").groupBy("field_name", "v").agg(F.count("*").alias("n")))
+    """(field_name, v, n): the distinct non-null values of each field and how often they occur, from a row per cell."""
+    return cells.where("v IS NOT NULL").groupBy("field_name", "v").agg(F.count("*").alias("n"))
 
 
-def quantiles(counts: DataFrame, shares: list[float]) -> DataFrame:
-    """(field_name, q): exact interpolated quantiles of each field's values, from value_counts; fields without any are left out.
+#: A sketch's error is below one in ACCURACY of the rows; a bracket reaches so many times that to either side.
+ACCURACY, REACH = 10_000, 3
 
-    Distinct values are range-partitioned and counted within partitions, so that no task holds a field's values; a small
-    table of totals by partition and field says in which partition a rank lies."""
+
+def brackets(shares: list[float], accuracy: int = ACCURACY) -> Column:
+    """An aggregate of v: the values between which each share's quantile must lie, two for each, from one sketch."""
+    at = [min(max(p + side * REACH / accuracy, 0.0), 1.0) for p in shares for side in (-1, 1)]
+    return F.percentile_approx("v", at, accuracy)
+
+
+def quantiles(cells: DataFrame, shares: list[float], known: dict[str, tuple[int, list[float]]] | None = None) -> DataFrame:
+    """(field_name, q): exact interpolated quantiles of each field's values v, from a row per cell; fields without any are left out.
+
+    A sketch brackets each quantile; one pass counts what lies below a bracket and the distinct values inside it, which are
+    few, and the ranks are found among these. known gives each field's number of values and brackets(shares), if they were
+    taken in another pass. A bracket that doesn't hold its ranks, which no sketch should give, is opened to both ends.
+    """
     from pyspark.sql import Window as W
 
-    dealt = checkpoint(counts.repartitionByRange("field_name", "v").withColumn("p", F.spark_partition_id()))
-    before, offsets = {}, []
-    for r in sorted(dealt.groupBy("p", "field_name").agg(F.sum("n").alias("n")).collect()):
-        offsets.append((r.p, r.field_name, before.get(r.field_name, 0)))
-        before[r.field_name] = before.get(r.field_name, 0) + r.n
-    wanted = [(f, k, share * (n - 1)) for f, n in before.items() for k, share in enumerate(shares)]
-    spark = counts.sparkSession
-    offset = spark.createDataFrame(offsets, "p int, field_name string, o bigint")
-    place = spark.createDataFrame(wanted, "field_name string, k int, at double")
-    upto = F.col("o") + F.sum("n").over(W.partitionBy("p", "field_name").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = dealt.join(F.broadcast(offset), ["p", "field_name"]).select("field_name", "v", upto.alias("upto"), "n")
-    covers = lambda x: (x < F.col("upto")) & (x >= F.col("upto") - F.col("n"))
+    spark, cells = cells.sparkSession, cells.where("v IS NOT NULL")
+    if known is None:
+        known = {r.field_name: (r.n, r.b) for r in cells.groupBy("field_name").agg(F.count("*").alias("n"), brackets(shares).alias("b")).collect()}  # a row per column
+    known = {f: (n, b) for f, (n, b) in known.items() if n}
     low, high = F.floor("at"), F.ceil("at")
-    met = ranked.join(F.broadcast(place), "field_name").where(covers(low) | covers(high))
-    ends = met.groupBy("field_name", "k", "at").agg(F.max(F.when(covers(low), F.col("v"))).alias("a"), F.max(F.when(covers(high), F.col("v"))).alias("b"))
-    value = F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
-    return ends.groupBy("field_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"]).alias("q"))
+    closed, out = [(f, k) for f in known for k in range(len(shares))], []
+    for ends in ("sketch", "open"):
+        wanted = [(f, k, shares[k] * (known[f][0] - 1), *(known[f][1][2 * k : 2 * k + 2] if ends == "sketch" else (None, None))) for f, k in closed]
+        if not wanted:
+            break
+        asked = spark.createDataFrame(wanted, "field_name string, k int, at double, lo double, hi double")
+        below, above = F.coalesce(F.col("v") < F.col("lo"), F.lit(False)), F.coalesce(F.col("v") > F.col("hi"), F.lit(False))
+        # what is below or above a bracket is one row each
+        met = cells.join(F.broadcast(asked), "field_name").withColumn("side", F.when(below, -1).when(above, 1).otherwise(0))
+        counts = checkpoint(met.groupBy("field_name", "k", "at", "side", F.when(F.col("side") == 0, F.col("v")).alias("v")).agg(F.count("*").alias("n")).where("side <= 0"))
+        upto = F.sum("n").over(W.partitionBy("field_name", "k").orderBy("side", "v").rowsBetween(W.unboundedPreceding, 0))
+        ranked = counts.withColumn("upto", upto)
+        covers = lambda x: (F.col("side") == 0) & (x < F.col("upto")) & (x >= F.col("upto") - F.col("n"))
+        value = F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+        found = ranked.groupBy("field_name", "k", "at").agg(F.max(F.when(covers(low), F.col("v"))).alias("a"), F.max(F.when(covers(high), F.col("v"))).alias("b"))
+        got = {(r.field_name, r.k): r.q for r in found.select("field_name", "k", value.alias("q")).collect()}  # a row per column and share
+        out += [(f, k, q) for (f, k), q in got.items() if q is not None]
+        closed = [x for x in closed if got.get(x) is None]
+    rows = [(f, [q for _, _, q in sorted(x for x in out if x[0] == f)]) for f in known]
+    return spark.createDataFrame(rows, "field_name string, q array<double>")
 
 
 def ranks(df: DataFrame, value: str, row: str) -> DataFrame:

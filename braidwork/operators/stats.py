@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from ..types import numeric_columns
 from .profile import unpivoted
-from .rows import quantiles, ranks, value_counts
+from .rows import brackets, quantiles, ranks, value_counts
 
 _SCHEMA = "field_a string, field_b string, n bigint, coefficient double, p_value double"
 
@@ -20,13 +20,15 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A row per numeric column with values: count, mean, std (sample; 0 for one value), min, quartiles, max, null and unique counts."""
     columns = columns or numeric_columns(df.schema)
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("c")).select("c.*")
-    main = cells.groupBy("field_name").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), F.min("v").alias("min"),
-        F.max("v").alias("max"), (F.count("*") - F.count("v")).alias("null_count"),
+    shares = [0.25, 0.5, 0.75]
+    main = checkpoint(
+        cells.groupBy("field_name").agg(
+            F.count("v").alias("count"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), F.min("v").alias("min"),
+            F.max("v").alias("max"), (F.count("*") - F.count("v")).alias("null_count"), brackets(shares).alias("b"),
+        )
     )
-    counts = value_counts(cells)
-    unique = counts.groupBy("field_name").agg(F.count("*").alias("unique_count"))
-    q = quantiles(counts, [0.25, 0.5, 0.75])  # these two have a row per column
+    unique = value_counts(cells).groupBy("field_name").agg(F.count("*").alias("unique_count"))
+    q = quantiles(cells, shares, {r.field_name: (r["count"], r.b) for r in main.collect()})  # all three have a row per column
     return main.where(F.col("count") > 0).join(F.broadcast(unique), "field_name").join(F.broadcast(q), "field_name").select(
         "field_name", "count", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "null_count", "unique_count"
     )
@@ -120,8 +122,9 @@ def outlier_bounds(df: DataFrame, k: float = 1.5, columns: list[str] | None = No
     """(field_name, lower_bound, upper_bound) of numeric columns with four values or more."""
     columns = columns or numeric_columns(df.schema)
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("c")).select("c.*")
-    enough = cells.groupBy("field_name").agg(F.count("v").alias("n")).where("n >= 4")
-    q = quantiles(value_counts(cells), [0.25, 0.75]).join(F.broadcast(enough), "field_name")  # a row per column
+    shares = [0.25, 0.75]
+    got = cells.groupBy("field_name").agg(F.count("v").alias("n"), brackets(shares).alias("b")).where("n >= 4").collect()  # a row per column
+    q = quantiles(cells, shares, {r.field_name: (r.n, r.b) for r in got})
     spread = (F.col("q")[1] - F.col("q")[0]) * k
     return q.select("field_name", (F.col("q")[0] - spread).alias("lower_bound"), (F.col("q")[1] + spread).alias("upper_bound"))
 

@@ -52,7 +52,6 @@ def nearest(left: DataFrame, right: DataFrame, cost: Callable[[Column, Column],
     state = found.where("kind = 1").select("key", "v", "lid", "x", F.col("upto").alias("c"), F.expr(f"cast(array() as array<{kind}>)").alias("best"), F.lit(True).alias("down"), F.lit(True).alias("up"))
     state = checkpoint(state)
     low, high, done = 0, k + 1, None
-    slack = 1e-12
     while True:
         below = F.when(F.col("down"), F.sequence(F.col("c") - 1 - low, F.col("c") - high))
         above = F.when(F.col("up"), F.sequence(F.col("c") + low, F.col("c") + high - 1))
@@ -66,8 +65,8 @@ def nearest(left: DataFrame, right: DataFrame, cost: Callable[[Column, Column],
         new = F.when(F.col("new").isNotNull(), F.array("new")) if k == 1 else F.col("new")
         merged = F.slice(F.array_sort(F.concat("best", F.coalesce(new, F.expr(f"cast(array() as array<{kind}>)")))), 1, k)
         step = state.join(round_, "lid", "left").withColumn("best", merged)
-        worst = F.when(F.size("best") == k, F.element_at("best", -1)["cost"]).otherwise(F.lit(float("inf")))
-        worth = lambda edge: (least(F.col("x"), F.col("v"), F.col(edge)) <= worst + slack) & (least(F.col("x"), F.col("v"), F.col(edge)) < limit)  # noqa: B023,E731
+        worst = F.when(F.size("best") == k, F.element_at("best", -1)["cost"]).otherwise(F.lit(1e300))
+        worth = lambda edge: (least(F.col("x"), F.col("v"), F.col(edge)) <= worst + 1e-9 * F.abs(worst) + 1e-12) & (least(F.col("x"), F.col("v"), F.col(edge)) < limit)  # noqa: B023,E731
         step = step.withColumn("down", F.coalesce(F.col("down") & (F.col("n_down") == high - low) & worth("a"), F.lit(False))).withColumn("up", F.coalesce(F.col("up") & (F.col("n_up") == high - low) & worth("b"), F.lit(False)))
         if seen is not None:
             seen(pairs.count())

@@ -151,3 +151,51 @@ def test_sweep_keeps_keys_apart(spark):
     for key, v, i, w in left:
         want = sorted((((v - b) ** 2 + (w - c) ** 2) ** 0.5, j) for k, b, j, c in right if k == key)[:3]
         assert got.get(i, []) == [j for _, j in want]
+
+
+def in_turn(left, right, score, threshold):
+    """Left rows in order take their best free right row, the first on ties."""
+    used, out = set(), {}
+    for i, a in sorted(left):
+        best = max(((score(a, b), -j) for j, b in right if j not in used), default=None)
+        if best and best[0] > threshold:
+            out[i] = -best[1]
+            used.add(-best[1])
+    return out
+
+
+def one_to_one(spark, left, right, kind, threshold):
+    sides = spark.createDataFrame(left, f"l bigint, a {kind}"), spark.createDataFrame(right, f"r bigint, b {kind}")
+    got = joins.probabilistic_matches(*sides, [("a", "b")], "l", "r", threshold).collect()
+    assert len({x.right_id for x in got}) == len({x.left_id for x in got}) == len(got)
+    return {x.left_id: x.right_id for x in got}
+
+
+def test_one_to_one_of_numbers(spark):
+    r = random.Random(9)
+    for values in ([100.0, 101.0, 99.5, 102.0], [8.0, 10.0, 12.5, 15.625], [r.uniform(90, 110) for _ in range(40)]):  # in the second, ties
+        left, right = [(i, r.choice([*values, None])) for i in range(60)], [(j, r.choice(values)) for j in r.sample(range(100, 200), 45)]
+        score = lambda a, b: 0.0 if a is None else 1 - abs(a - b) / max(abs(a), abs(b), 1e-9)
+        assert one_to_one(spark, left, right, "double", 0.75) == in_turn(left, right, score, 0.75), values
+
+
+def test_one_to_one_of_strings(spark):
+    r = random.Random(10)
+    names = ["anna b", "anna c", "anne b", "hanna b", "bob", "bobby", "100", "101", "99.5", "", "zz"]
+    left, right = [(i, r.choice([*names, None])) for i in range(50)], [(100 + j, r.choice(names)) for j in range(40)]
+
+    def score(a, b):
+        if a is None:
+            return 0.0
+        try:
+            return 1 - abs(float(a) - float(b)) / max(abs(float(a)), abs(float(b)), 1e-9)
+        except ValueError:
+            return string_similarity(a, b)
+
+    assert one_to_one(spark, left, right, "string", 0.7) == in_turn(left, right, score, 0.7)
+
+
+def test_one_to_one_of_many_equals(spark):
+    n = 20_000
+    got = one_to_one(spark, [(i, 5.0) for i in range(n)], [(3 * j, 5.0) for j in range(n)], "double", 0.9)
+    assert got == {i: 3 * i for i in range(n)}

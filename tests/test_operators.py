@@ -287,7 +287,65 @@ def test_quantiles_are_exact_over_partitions(spark):
     columns = {"a": r.normal(size=4001), "b": r.integers(0, 3, 500).astype(float), "c": np.array([7.5]), "d": np.array([])}
     cells = spark.createDataFrame([(f, float(v)) for f, x in columns.items() for v in x] + [("d", None), ("a", None)], "field_name string, v double").repartition(5)
     shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {x.field_name: x.q for x in rows.quantiles(rows.value_counts(cells), shares).collect()}
+    got = {x.field_name: x.q for x in rows.quantiles(cells, shares).collect()}
     assert set(got) == {"a", "b", "c"}
     for f, q in got.items():
         assert np.allclose(q, np.quantile(columns[f], shares), atol=1e-12)
+
+
+def test_silhouette_against_all_pairs(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    monkeypatch.setattr(cluster, "TILE", 16)
+    x, own = r.normal(size=(90, 2)), r.integers(0, 3, 90)
+    own[0] = 3  # alone
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    each = []
+    for i, c in enumerate(own):
+        mates = (own == c) & (np.arange(90) != i)
+        a, b = d[i, mates].mean() if mates.any() else None, min(d[i, own == o].mean() for o in set(own) - {c})
+        each.append(0.0 if a is None else (b - a) / max(a, b))
+    points = spark.createDataFrame([(int(c), [float(v) for v in p]) for c, p in zip(own, x)], "cluster int, x array<double>")
+    assert cluster.silhouette(points, 4) == pytest.approx(np.mean(each), abs=1e-6)
+    assert cluster.silhouette(points.where("cluster = 1"), 4) is None
+
+
+def test_restarts_are_as_good_as_single_fits(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.concatenate([r.normal(c, 1.0, (60, 2)) for c in (0, 4, 9)]))]
+    df = table(spark, rows, "__row_id int, x double, y double")
+    got = cluster.kmeans(df, 3)
+    x = np.array([p[1:] for p in rows])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    least = np.inf
+    for seed in range(20):  # plain fits
+        c = x[np.random.default_rng(seed).choice(len(x), 3, replace=False)]
+        for _ in range(60):
+            near = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+            c = np.array([x[near.argmin(axis=1) == k].mean(axis=0) if (near.argmin(axis=1) == k).any() else c[k] for k in range(3)])
+        least = min(least, ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    assert got.inertia <= least * 1.0001 and got.labels.count() == len(rows)
+
+
+def test_nearest_rows_against_all_pairs(spark):
+    r = np.random.default_rng(12)
+    n, columns = 150, ["a", "b", "c"]
+    values = np.stack([r.integers(0, 6, n) * 1.0, np.round(r.normal(0, 50, n), 1), r.integers(0, 3, n) * 10.0], axis=1)
+    values[r.random((n, 3)) < 0.2] = np.nan
+    values[:3] = np.nan  # rows of nothing
+    df = table(spark, [(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(values)], "__row_id int, a double, b double, c double")
+    out = {x["__row_id"]: x for x in impute.knn(df, columns, 4).collect()}
+    mean = np.nanmean(values, axis=0)
+    for i in range(n):
+        gap = values - values[i]
+        both = (~np.isnan(gap)).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.sqrt(np.nansum(gap**2, axis=1) * 3 / both)
+        for k, c in enumerate(columns):
+            if np.isnan(values[i, k]):
+                donors = sorted((dist[j], j) for j in range(n) if both[j] and not np.isnan(values[j, k]))[:4]
+                want = np.mean([values[j, k] for _, j in donors]) if donors else mean[k]
+            else:
+                want = values[i, k]
+            assert out[i][c] == pytest.approx(want), (i, c)
+    plan = impute.knn(df, columns, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
