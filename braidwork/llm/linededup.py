@@ -7,7 +7,8 @@ line of a longer run that two documents share is in a block that both hold, so n
 aligned with a patience diff on line hashes: lines unique to both sides and common to them anchor the alignment, which
 then grows over equal neighbours. Aligned runs of lines with at least MIN_WORDS words are deleted from the later document,
 and so are its blocks that the partner holds elsewhere: repeated on either side, or in another order.
-The first holder of a block has no earlier partner for it, so every block survives somewhere.
+Documents are judged on the input, not on what is left: a line is deleted only where an earlier document holds it, so each
+line stays in the first document that has it. A block may be left in pieces, if its first holder has these from others.
 """
 
 from __future__ import annotations

@@ -182,6 +182,13 @@ def test_near_copy_keys_grow_with_the_texts():
         assert 1 - (1 - (1 - nearcopies.bit_distance(0.8)) ** bits) ** len(places) >= 0.99
 
 
+def test_every_line_stays_in_its_first_document(spark):
+    o, p, q, r = (" ".join(f"{x}{i}" for i in range(5)) for x in "opqr")
+    docs = [(0, f"{o}\n{p}"), (1, f"{q}\n{r}"), (2, f"{o}\n{p}\n{q}\n{r}"), (3, f"{p}\n{q}")]
+    kept = {x.doc_id: x.text for x in linededup.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert kept == {0: docs[0][1], 1: docs[1][1]}  # the block p, q is left in two pieces
+
+
 def test_columns_named_like_ours(spark):
     docs = spark.createDataFrame([(1, "a line of ten words that others may hold as well\nb", 5, "x", "d"), (2, "a line of ten words that others may hold as well\nc", 6, "y", "e")], "doc_id bigint, text string, gone int, ids string, decoded string")
     cut = linededup.deduplicate(docs)
