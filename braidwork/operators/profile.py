@@ -6,6 +6,10 @@ column would expand every row once per column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +47,36 @@ def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def samples(df: DataFrame, n: int = 20, order: str = "__row_id") -> DataFrame:
     """(field_name, samples): the first n non-null values of every column, as text, in row order.
 
-    A scan per column, each of which keeps n values per partition.
+    One scan for all columns: a task keeps the first n values of each, and these heads are merged by column.
     """
+    from pyspark.sql import Window as W
+
     columns = [c for c in df.columns if c != order]
-    out = None
-    for c in columns:
-        head = df.where(F.col(c).isNotNull()).select(F.col(order).alias("__o"), *as_text(df, [c])).orderBy("__o").limit(n)
-        row = head.agg(F.lit(c).alias("field_name"), F.transform(F.array_sort(F.collect_list(F.struct("__o", F.col(c).alias("v")))), lambda s: s["v"]).alias("samples"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    if not columns:
+        return df.sparkSession.createDataFrame([], "field_name string, samples array<string>")
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[list[tuple[int, str]]] = [[] for _ in columns]
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False)
+            for i, kept in enumerate(first):
+                there = np.flatnonzero(b.column(1 + i).is_valid().to_numpy(zero_copy_only=False))
+                if len(kept) == n:
+                    there = there[at[there] < kept[-1][0]]
+                there = there[np.argsort(at[there], kind="stable")[:n]]
+                if len(there):
+                    kept.extend(zip(at[there].tolist(), b.column(1 + i).take(pa.array(there)).to_pylist()))
+                    kept.sort(key=lambda x: x[0])
+                    del kept[n:]
+        rows = [(i, o, v) for i, kept in enumerate(first) for o, v in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.string()))], names=["c", "o", "v"])
+
+    text = df.where(F.col(order).isNotNull()).select(F.col(order).cast("bigint").alias("__o"), *as_text(df, columns))
+    heads = text.mapInArrow(head, "c int, o bigint, v string")
+    kept = heads.withColumn("place", F.row_number().over(W.partitionBy("c").orderBy("o"))).where(F.col("place") <= n)
+    rows = kept.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias("samples"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "c int, field_name string")
+    return F.broadcast(names).join(rows, "c", "left").select("field_name", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def infer_types(df: DataFrame, order: str = "__row_id") -> dict[str, DataType]:

@@ -87,21 +87,19 @@ def quantiles(cells: DataFrame, shares: list[float], known: dict[str, tuple[int,
     return spark.createDataFrame(rows, "field_name string, q array<double>")
 
 
-def ranks(df: DataFrame, value: str, row: str) -> DataFrame:
-    """(row, rank): average ranks of the non-null values, without a global window over the rows.
+def ranks(counts: DataFrame) -> DataFrame:
+    """(key, v, rank): average ranks of the values of each key, from (key, v, n), each value once with the number of its rows.
 
-    Distinct values are range-partitioned and counted within partitions; a small table of partition totals shifts them.
+    Values of all keys are range-partitioned together and counted within partitions; a small table of totals by partition and
+    key, of which there are no more than partitions and keys together, shifts them. No window spans a key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    dealt = checkpoint(counts.repartitionByRange("__v").withColumn("__p", F.spark_partition_id()))
-    totals = sorted((r["p"], r["n"]) for r in dealt.groupBy(F.col("__p").alias("p")).agg(F.sum("__n").alias("n")).collect())
-    before, rows = 0, []
-    for p, n in totals:
-        rows.append((p, before))
-        before += n
-    offset = df.sparkSession.createDataFrame(rows or [(0, 0)], "__p int, __o bigint")
     from pyspark.sql import Window as W
 
-    upto = F.sum("__n").over(W.partitionBy("__p").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = dealt.join(F.broadcast(offset), "__p").select("__v", (F.col("__o") + upto - (F.col("__n") - 1) / 2).alias("rank"))
-    return df.select(row, F.col(value).alias("__v")).join(ranked, "__v").select(row, "rank")
+    dealt = checkpoint(counts.repartitionByRange("key", "v").withColumn("p", F.spark_partition_id()))
+    before, offsets = {}, []
+    for r in sorted(dealt.groupBy("p", "key").agg(F.sum("n").alias("n")).collect()):
+        offsets.append((r.p, r.key, before.get(r.key, 0)))
+        before[r.key] = before.get(r.key, 0) + r.n
+    offset = counts.sparkSession.createDataFrame(offsets, "p int, key int, o bigint")
+    upto = F.col("o") + F.sum("n").over(W.partitionBy("p", "key").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(offset), ["p", "key"]).select("key", "v", (upto - (F.col("n") - 1) / 2).alias("rank"))

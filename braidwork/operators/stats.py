@@ -88,6 +88,31 @@ def _pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str
     return out
 
 
+def _whole_ranks(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """(row, x0, x1, ...): the ranks of columns without nulls, all of them dealt together."""
+    cells = df.select(F.col(order).alias("row"), F.explode(F.array(*[F.struct(F.lit(i).alias("key"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])).alias("c")).select("row", "c.*")
+    ranked = ranks(cells.groupBy("key", "v").agg(F.count("*").alias("n")))
+    return cells.join(ranked, ["key", "v"]).groupBy("row").agg(*[F.max(F.when(F.col("key") == i, F.col("rank"))).alias(f"x{i}") for i in range(len(columns))])
+
+
+def _paired_ranks(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str, int, float]]:
+    """Rank correlations of pairs whose rows differ: distinct pairs of values are counted, both sides of all pairs ranked together,
+    and the sums taken by pair. Mean ranks are (n + 1) / 2. Pairs with fewer than 3 rows or a constant side are left out."""
+    if not pairs:
+        return []
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), value(a).alias("x"), value(b).alias("y")) for k, (a, b) in enumerate(pairs)])).alias("c")).select("c.*")
+    met = checkpoint(each.where("x IS NOT NULL AND y IS NOT NULL").groupBy("k", "x", "y").agg(F.count("*").alias("n")))
+    sides = met.select((2 * F.col("k")).alias("key"), F.col("x").alias("v"), "n").unionByName(met.select((2 * F.col("k") + 1).alias("key"), F.col("y").alias("v"), "n"))
+    ranked = checkpoint(ranks(sides.groupBy("key", "v").agg(F.sum("n").alias("n"))))
+    side = lambda s, v, name: ranked.where(F.col("key") % 2 == s).select(F.expr("key div 2").cast("int").alias("k"), F.col("v").alias(v), F.col("rank").alias(name))
+    total = F.broadcast(met.groupBy("k").agg(F.sum("n").alias("total")))  # a row per pair
+    both = met.join(side(0, "x", "p"), ["k", "x"]).join(side(1, "y", "q"), ["k", "y"]).join(total, "k")
+    p, q = F.col("p") - (F.col("total") + 1) / 2, F.col("q") - (F.col("total") + 1) / 2
+    sums = both.groupBy("k").agg(F.max("total").alias("total"), *[F.sum(F.col("n") * x).alias(name) for x, name in ((p * q, "pq"), (p * p, "pp"), (q * q, "qq"))]).collect()  # a row per pair
+    return [(*pairs[r.k], r.total, r.pq / math.sqrt(r.pp * r.qq)) for r in sums if r.total >= 3 and r.pp and r.qq]
+
+
 def correlations(df: DataFrame, method: str = "pearson", threshold: float = 0.5, columns: list[str] | None = None, order: str = "__row_id") -> DataFrame:
     """(field_a, field_b, n, coefficient, p_value) of pairs with |coefficient| >= threshold, the strongest first."""
     columns = columns or numeric_columns(df.schema)
@@ -96,18 +121,10 @@ def correlations(df: DataFrame, method: str = "pearson", threshold: float = 0.5,
         known = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns]).first()
         whole = [c for c in columns if not known[c]]
         found = {}
-        if len(whole) > 1:  # columns without nulls are ranked once, whatever they are paired with
-            wide = None
-            for i, c in enumerate(whole):
-                one = ranks(df.select(order, F.col(f"`{c}`").alias(f"c{i}")), f"c{i}", order).withColumnRenamed("rank", f"x{i}")
-                wide = one if wide is None else wide.join(one, order)
+        if len(whole) > 1:  # these are ranked once, whatever they are paired with
             at = {f"x{i}": c for i, c in enumerate(whole)}
-            found = {(at[a], at[b]): (n, r) for a, b, n, r in _pearson(checkpoint(wide), list(combinations(at, 2)))}
-        for a, b in (p for p in pairs if not {*p} <= {*whole}):  # these ranks depend on which rows have both
-            both = checkpoint(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(order, a, b))
-            x, y = ranks(both, a, order), ranks(both, b, order)
-            joined = x.withColumnRenamed("rank", "x").join(y.withColumnRenamed("rank", "y"), order)
-            found |= {(a, b): (n, r) for _, _, n, r in _pearson(joined, [("x", "y")])}
+            found = {(at[a], at[b]): (n, r) for a, b, n, r in _pearson(checkpoint(_whole_ranks(df, whole, order)), list(combinations(at, 2)))}
+        found |= {(a, b): (n, r) for a, b, n, r in _paired_ranks(df, [p for p in pairs if not {*p} <= {*whole}])}
         found = [(a, b, *found[a, b]) for a, b in pairs if (a, b) in found]
     elif method == "pearson":
         found = _pearson(df, pairs)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .functions import similarity as sim
 from .functions import transforms, validate, vectors
 from .operators import align, cluster, impute, joins, profile, semantics, stats
+from .operators.rows import ROW_ID
+from .plans.engine import Engine
 from .session import shared_folder
 from .sources import readers
 from .types import AlignmentConfig
@@ -151,9 +153,9 @@ def corr_pearson(spark, sf_dir):
     return stats.correlations(_t(spark, sf_dir, "lineitem"), "pearson", 0.0, list(_MEASURES)).select("field_a", "field_b", "n", _r("coefficient", 5).alias("coefficient"))
 
 
-@query(_pair_sql(0.5))
+@query(_pair_sql(0.0005))
 def corr_pairs_filtered(spark, sf_dir):
-    return stats.correlations(_t(spark, sf_dir, "lineitem"), "pearson", 0.5, list(_MEASURES)).select("field_a", "field_b", "n", _r("coefficient", 5).alias("coefficient"))
+    return stats.correlations(_t(spark, sf_dir, "lineitem"), "pearson", 0.0005, list(_MEASURES)).select("field_a", "field_b", "n", _r("coefficient", 5).alias("coefficient"))
 
 
 @query(
@@ -501,27 +503,29 @@ def vec_embedding(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", vectors.embedding(F.col("p_name"), 64).alias("embedding"))
 
 
-# the catalog of all tables' columns, as fields
+# the catalog of some tables' columns as the engine interprets them; the last three are made from given ones
 
-_TABLES = {
-    "customer": "c_custkey:integer c_name:string c_nationkey:integer c_acctbal:float c_mktsegment:string",
-    "supplier": "s_suppkey:integer s_name:string s_nationkey:integer s_acctbal:float",
-    "orders": "o_orderkey:integer o_custkey:integer o_orderstatus:string o_totalprice:float o_orderdate:datetime o_orderpriority:string",
-    "part": "p_partkey:integer p_name:string p_brand:string p_type:string p_size:integer p_retailprice:float",
-    "events": "event_id:integer ts:datetime user_id:integer event_type:string value:float props:string",
-    "readings": "temp_c:float weight_kg:float length_meter:float age_days:integer is_valid:boolean created_at:datetime",
-    "measures": "temp_f:float weight_lb:float height_ft:float age_months:integer is_valid:boolean updated_at:datetime",
-    "staff": "employee_id:integer employee_name:string salary:float department:string hire_date:datetime country:string",
+#: name: the table it is made from, that table's key, and its columns with what they are, in SQL that both engines read
+_DATASETS = {
+    "customer": ("customer", "c_custkey", {c: c for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}),
+    "supplier": ("supplier", "s_suppkey", {c: c for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")}),
+    "part": ("part", "p_partkey", {c: c for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")}),
+    "readings": ("supplier", "s_suppkey", {"reading_id": "s_suppkey", "temp_c": "s_acctbal", "weight_kg": "CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END", "age_days": "s_nationkey", "is_valid": "s_acctbal > 0", "city_name": "s_name"}),
+    "measures": ("part", "p_partkey", {"reading_id": "p_partkey", "temp_f": "p_retailprice", "weight_lb": "CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END", "age_months": "p_size", "is_valid": "p_size > 20", "town_name": "p_name"}),
+    "staff": ("orders", "o_orderkey", {"employee_id": "o_orderkey", "salary": "o_totalprice", "department": "o_orderpriority", "hire_date": "o_orderdate", "is_valid": "o_orderstatus = 'F'"}),
 }
-_ROWS = [(d, t, o, *f.split(":"), (3 * o + d) % 7 / 10, (5 * o + 2 * d) % 11 / 10) for d, (t, cols) in enumerate(_TABLES.items()) for o, f in enumerate(cols.split())]
-_COLUMNS = "ds_ord, dataset_id, ord, field_name, data_type, null_ratio, unique_ratio"
-_CATALOG = f"SELECT * FROM (VALUES {', '.join(map(str, _ROWS))}) AS t({_COLUMNS})"
+_CATALOG = " UNION ALL ".join(
+    f"SELECT {d} AS ds_ord, '{name}' AS dataset_id, {o} AS ord, '{c}' AS field_name, (SELECT {_TYPE} FROM (SELECT MAX(typeof({e})) AS t FROM {table})) AS data_type, "
+    f"(COUNT(*) - COUNT({e})) / COUNT(*)::DOUBLE AS null_ratio, COUNT(DISTINCT {e}) / COUNT(*)::DOUBLE AS unique_ratio FROM {table}"
+    for d, (name, (table, _, columns)) in enumerate(_DATASETS.items()) for o, (c, e) in enumerate(columns.items())
+)
 
 
-def _catalog(spark: SparkSession) -> DataFrame:
-    raw = spark.createDataFrame(_ROWS, "ds_ord int, dataset_id string, ord int, field_name string, data_type string, null_ratio double, unique_ratio double")
-    said = raw.withColumn("s", semantics.provider_rules(F.col("field_name")))
-    return said.select(*raw.columns, "s.semantic_label", "s.semantic_type", F.lit(None).cast("array<double>").alias("embedding"))
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark)
+    for name, (table, key, columns) in _DATASETS.items():
+        e.register(_t(spark, sf_dir, table).select(*[F.expr(x).alias(c) for c, x in columns.items()], F.col(key).alias(ROW_ID)), name)
+    return e.fields(list(_DATASETS))
 
 
 def _like(column: str, words: tuple[str, ...]) -> str:
@@ -542,7 +546,7 @@ _CONFIDENCE = {"fallback": "CASE k WHEN 'identifier' THEN 0.7 WHEN 'timestamp' T
 @query(f"SELECT dataset_id, field_name, k AS semantic_type, {_CONFIDENCE['fallback']}::DOUBLE AS confidence FROM (SELECT *, {_FALLBACK} AS k FROM (SELECT *, lower(field_name) AS n FROM ({_CATALOG})))")
 def sem_fallback(spark, sf_dir):
     said = semantics.fallback(F.col("field_name"), F.col("data_type"), F.col("unique_ratio"))
-    return _catalog(spark).select("dataset_id", "field_name", said.alias("s")).select("dataset_id", "field_name", "s.semantic_type", "s.confidence")
+    return _catalog(spark, sf_dir).select("dataset_id", "field_name", said.alias("s")).select("dataset_id", "field_name", "s.semantic_type", "s.confidence")
 
 
 _PROVIDED = f"SELECT *, {_PROVIDER} AS k FROM (SELECT *, lower(field_name) AS n FROM ({_CATALOG}))"
@@ -551,7 +555,7 @@ _PROVIDED = f"SELECT *, {_PROVIDER} AS k FROM (SELECT *, lower(field_name) AS n
 @query(f"SELECT dataset_id, field_name, k AS semantic_type, {_CONFIDENCE['provider']}::DOUBLE AS confidence FROM ({_PROVIDED})")
 def sem_provider(spark, sf_dir):
     said = semantics.provider_rules(F.col("field_name"))
-    return _catalog(spark).select("dataset_id", "field_name", said.alias("s")).select("dataset_id", "field_name", "s.semantic_type", "s.confidence")
+    return _catalog(spark, sf_dir).select("dataset_id", "field_name", said.alias("s")).select("dataset_id", "field_name", "s.semantic_type", "s.confidence")
 
 
 @query(
@@ -560,7 +564,7 @@ def sem_provider(spark, sf_dir):
     + "], lambda v: v IS NOT NULL) AS l FROM t) SELECT dataset_id, CASE WHEN len(l) = 0 THEN 'general' ELSE array_to_string(l[1:3], ',') END AS tags FROM h"
 )
 def domain_tags(spark, sf_dir):
-    return semantics.dataset_tags(_catalog(spark)).select("dataset_id", F.array_join("tags", ",").alias("tags"))
+    return semantics.dataset_tags(_catalog(spark, sf_dir)).select("dataset_id", F.array_join("tags", ",").alias("tags"))
 
 
 _OK = "NOT ((a.data_type = 'datetime' AND b.data_type IN ('boolean','integer','float')) OR (b.data_type = 'datetime' AND a.data_type IN ('boolean','integer','float')) OR (a.data_type = 'boolean' AND b.data_type = 'float') OR (b.data_type = 'boolean' AND a.data_type = 'float'))"
@@ -580,28 +584,28 @@ def _type_stats(p):
 
 @query(f"SELECT {_NAMED}, {_TS} {_CROSS}")
 def align_type_stats(spark, sf_dir):
-    p = align.pairs(_catalog(spark), gate=False)
+    p = align.pairs(_catalog(spark, sf_dir), gate=False)
     t, s = _type_stats(p)
     return p.select(*_names(), _r(t).alias("type_score"), _r(s).alias("stats_score"))
 
 
 @query(f"SELECT {_NAMED} {_CROSS} AND {_OK}")
 def align_gate(spark, sf_dir):
-    return align.pairs(_catalog(spark)).select(*_names())
+    return align.pairs(_catalog(spark, sf_dir)).select(*_names())
 
 
 _HALF = f"SELECT {_NAMED}, a.ord AS aord, b.ord AS bord, (((a.data_type = b.data_type)::INT + (a.k = b.k)::INT) / 2.0 + 1.0 - (ABS(a.null_ratio - b.null_ratio) + ABS(a.unique_ratio - b.unique_ratio)) / 2.0) / 2 AS s {_CROSS} AND {_OK}"
 
 
-def _half(spark):
-    p = align.pairs(_catalog(spark))
+def _half(spark, sf_dir):
+    p = align.pairs(_catalog(spark, sf_dir))
     t, s = _type_stats(p)
     return p.withColumn("similarity", _r((t + s) / 2))
 
 
 @query(f"SELECT source_dataset, source_field, target_dataset, target_field, CASE WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.85 THEN 'synonym' WHEN s >= 0.70 THEN 'related' WHEN s >= 0.50 THEN 'partial' ELSE 'none' END AS alignment_type FROM (SELECT * REPLACE (ROUND(s, 6) AS s) FROM ({_HALF}))")
 def align_classify(spark, sf_dir):
-    return _half(spark).select(*_names(), align.classify(F.col("similarity")).alias("alignment_type"))
+    return _half(spark, sf_dir).select(*_names(), align.classify(F.col("similarity")).alias("alignment_type"))
 
 
 def _hint_sql() -> str:
@@ -613,37 +617,36 @@ def _hint_sql() -> str:
 
 @query(f"SELECT {_NAMED}, {_hint_sql()} {_CROSS} AND {_OK}")
 def align_hint(spark, sf_dir):
-    return align.pairs(_catalog(spark)).select(*_names(), align.hint(F.col("a_field_name"), F.col("b_field_name"), F.col("a_data_type"), F.col("b_data_type")).alias("transformation_hint"))
+    return align.pairs(_catalog(spark, sf_dir)).select(*_names(), align.hint(F.col("a_field_name"), F.col("b_field_name"), F.col("a_data_type"), F.col("b_data_type")).alias("transformation_hint"))
 
 
 _RESOLVED = f"SELECT * FROM (SELECT * FROM (SELECT * REPLACE (ROUND(s, 6) AS s) FROM ({_HALF})) WHERE s >= 0.8 QUALIFY ROW_NUMBER() OVER (PARTITION BY source_dataset, aord, target_dataset ORDER BY s DESC, bord) <= 3) QUALIFY ROW_NUMBER() OVER (PARTITION BY source_dataset, target_dataset, bord ORDER BY s DESC, aord) = 1"
 
 
-def _resolved(spark):
-    return align.resolve(_half(spark), AlignmentConfig(similarity_threshold=0.8))
+def _resolved(spark, sf_dir):
+    return align.resolve(_half(spark, sf_dir), AlignmentConfig(similarity_threshold=0.8))
 
 
 @query(f"SELECT source_dataset, source_field, target_dataset, target_field, ROUND(s, 6)::DOUBLE AS similarity FROM ({_RESOLVED})")
 def align_resolve(spark, sf_dir):
-    return _resolved(spark).select(*_names(), "similarity")
+    return _resolved(spark, sf_dir).select(*_names(), "similarity")
 
 
 @query(f"WITH r AS ({_RESOLVED}) SELECT dataset_id, field_name FROM ({_CATALOG}) c WHERE NOT EXISTS (SELECT 1 FROM r WHERE source_dataset = dataset_id AND source_field = field_name) AND NOT EXISTS (SELECT 1 FROM r WHERE target_dataset = dataset_id AND target_field = field_name)")
 def align_unmatched(spark, sf_dir):
-    return align.unmatched(_catalog(spark), _resolved(spark).select(*_names()))
+    return align.unmatched(_catalog(spark, sf_dir), _resolved(spark, sf_dir).select(*_names()))
 
 
 @query()
 def align_full(spark, sf_dir):
-    said = _catalog(spark).withColumn("embedding", vectors.embedding(F.col("field_name"), 64))
-    return align.align(said).withColumn("similarity", _r("similarity"))
+    return align.align(_catalog(spark, sf_dir)).withColumn("similarity", _r("similarity"))
 
 
 @query(f"WITH r AS ({_RESOLVED}), p AS (SELECT source_field, target_field FROM r), e AS (SELECT a.field_name AS source_field, b.field_name AS target_field FROM ({_CATALOG}) a JOIN ({_CATALOG}) b ON a.ds_ord < b.ds_ord AND a.data_type = b.data_type AND split_part(a.field_name, '_', -1) = split_part(b.field_name, '_', -1)), n AS (SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM p)) AS p, (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM e)) AS e, (SELECT COUNT(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM e)) AS t) SELECT ROUND(t / p::DOUBLE, 6) AS precision, ROUND(t / e::DOUBLE, 6) AS recall, ROUND(2.0 * t / (p + e), 6)::DOUBLE AS f1 FROM n")
 def align_f1(spark, sf_dir):
-    predicted = _resolved(spark).select(F.col("a_field_name").alias("source_field"), F.col("b_field_name").alias("target_field"))
+    predicted = _resolved(spark, sf_dir).select(F.col("a_field_name").alias("source_field"), F.col("b_field_name").alias("target_field"))
     tail = lambda c: F.substring_index(c, "_", -1)
-    expected = align.pairs(_catalog(spark), gate=False).where((F.col("a_data_type") == F.col("b_data_type")) & (tail(F.col("a_field_name")) == tail(F.col("b_field_name"))))
+    expected = align.pairs(_catalog(spark, sf_dir), gate=False).where((F.col("a_data_type") == F.col("b_data_type")) & (tail(F.col("a_field_name")) == tail(F.col("b_field_name"))))
     expected = expected.select(F.col("a_field_name").alias("source_field"), F.col("b_field_name").alias("target_field"))
     return align.f1(predicted, expected, ["source_field", "target_field"]).select(*[_r(c).alias(c) for c in ("precision", "recall", "f1")])
 

@@ -27,9 +27,9 @@ def test_row_ids_and_nan(spark):
 
 def test_ranks(spark):
     values = [3.0, 1.0, 3.0, None, 2.0, 3.0, -1.0] * 5
-    df = table(spark, list(enumerate(values)), "i int, x double")
-    want = pd.Series(values).rank()
-    assert {r.i: r["rank"] for r in rows.ranks(df, "x", "i").collect()} == {i: w for i, w in enumerate(want) if not math.isnan(w)}
+    counts = table(spark, [(k, v * s) for v in values if v is not None for k, s in ((0, 1), (1, -1))], "key int, v double").groupBy("key", "v").agg(F.count("*").alias("n"))
+    want = {(k, v * s): w for k, s in ((0, 1), (1, -1)) for v, w in zip(values, pd.Series([v and v * s for v in values]).rank()) if v is not None}
+    assert {(r.key, r.v): r["rank"] for r in rows.ranks(counts).collect()} == want
 
 
 def test_profile(spark):
@@ -349,3 +349,25 @@ def test_nearest_rows_against_all_pairs(spark):
             assert out[i][c] == pytest.approx(want), (i, c)
     plan = impute.knn(df, columns, 4)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_spearman_of_many_columns_with_nulls(spark, monkeypatch):
+    r = np.random.default_rng(15)
+    names = [f"c{i}" for i in range(20)]
+    x = r.integers(0, 12, (60, 20)).astype(float)
+    x[:, 1] = x[:, 0] + r.integers(0, 3, 60)
+    x[r.random((60, 20)) < 0.15] = np.nan
+    x[:, 5] = 4.0  # constant
+    x[2:, 6] = np.nan  # two rows
+    df = table(spark, [(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "__row_id int, " + ", ".join(f"{n} double" for n in names))
+    jobs, once = [], stats.checkpoint
+    monkeypatch.setattr(stats, "checkpoint", lambda f: jobs.append(1) or once(f))
+    got = {(a.field_a, a.field_b): (a.n, a.coefficient) for a in stats.correlations(df, "spearman", 0.0).collect()}
+    pdf = df.drop("__row_id").toPandas()
+    for a, b in itertools.combinations(names, 2):
+        both = pdf[[a, b]].dropna()
+        if len(both) < 3 or both[a].nunique() < 2 or both[b].nunique() < 2:
+            assert (a, b) not in got
+        else:
+            assert got[a, b] == (len(both), pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-6)), (a, b)
+    assert len(jobs) < 5
