@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as sim
 from .functions import transforms, validate, vectors
-from .operators import align, cluster, impute, joins, profile, semantics, stats
+from .operators import align, cluster, embed, impute, joins, profile, semantics, stats
 from .operators.rows import ROW_ID
 from .plans.engine import Engine
+from .plans.providers import DeterministicProvider
 from .session import shared_folder
 from .sources import readers
 from .types import AlignmentConfig
@@ -498,6 +499,13 @@ def vec_topk(spark, sf_dir):
     return vectors.find_similar(q, e, "embedding", "vec_id", 5, 0.1).withColumn("similarity", _r("similarity", 5))
 
 
+@query()
+def embed_column(spark, sf_dir):
+    """Every part's name, the provider being asked once for each distinct one."""
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return embed.embedded(part, "p_name", DeterministicProvider(64), f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}")
+
+
 @query()
 def vec_embedding(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", vectors.embedding(F.col("p_name"), 64).alias("embedding"))
