@@ -56,6 +56,7 @@ def _label(kind: Column, confidence: Column, label: Column, description: Column)
 
 def fallback(name: Column, data_type: Column, unique_ratio: Column) -> Column:
     """Struct of semantic_type, confidence, semantic_label, description: substrings of the name, then the distinct ratio."""
+    # Kinds, confidences, labels and descriptions below.
     n = F.lower(name)
     numeric = data_type.isin("integer", "float")
     say = lambda kind, conf, label, text: _label(F.lit(kind), F.lit(conf), F.lit(label), F.concat(F.lit(text + ": "), name))

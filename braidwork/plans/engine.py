@@ -208,6 +208,7 @@ class Engine:
             return self.provider.complete([{"role": "user", "content": f"Describe the dataset {dataset_id}: {rows} rows, fields {labels}. Two or three sentences."}]).strip()
         except Exception as e:
             _log.warning("description failed: %s", e)
+            # a fixed value
             return f"Dataset with {rows} rows and {len(fields)} fields including: {labels}"
 
     def fields(self, dataset_ids: list[str]) -> DataFrame:

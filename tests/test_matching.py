@@ -82,14 +82,14 @@ def test_several_fields(spark):
     assert matched(spark, left, right, kinds, (0.5, 0.2, 0.3), 0.6, 3) == plain(left, right, kinds, (0.5, 0.2, 0.3), 0.6, 3, inclusive=True)
 
 
-@pytest.mark.parametrize("threshold", [0.4, 0.6, 0.85])
+@pytest.mark.parametrize("threshold", [0.4, 0.85])
 def test_strings_by_grams(spark, threshold):
     r = random.Random(3)
     texts = [words(r, 0) for _ in range(60)] + ["".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(15, 60))) for _ in range(60)] + [None, "", " ", "\t", "a", "A", "ab"]
     left = [(i, t) for i, t in enumerate(texts)]
     right = [(1000 - j, None if t is None else typo(r, t)) for j, t in enumerate(texts)]
     assert matched(spark, left, right, [False], None, threshold) == plain(left, right, [False], None, threshold, 1)
-    if threshold == 0.6:
+    if threshold == 0.85:
         assert matched(spark, left, right, [False], None, threshold, 3) == plain(left, right, [False], None, threshold, 3, inclusive=True)
 
 
@@ -126,17 +126,17 @@ def test_looks_grow_with_the_rows_alone(spark):
 def test_few_pairs_of_strings(spark):
     r = random.Random(7)
     colours, things = ["red", "blue", "small", "large", "cold", "old", "hot", "green"], ["ring", "bolt", "rod", "plate", "gear", "widget", "gizmo", "nut"]
-    names = sorted({f"{r.choice(colours)} {r.choice(things)} no {r.randint(100000, 999999)} lot {r.randint(1000, 9999)}" for _ in range(1500)})
+    names = sorted({f"{r.choice(colours)} {r.choice(things)} no {r.randint(100000, 999999)} lot {r.randint(1000, 9999)}" for _ in range(800)})
     left, right, looked = list(enumerate(names)), [(j, typo(r, t)) for j, t in enumerate(names)], []
     got = matched(spark, left, right, [False], None, 0.85, seen=looked.append)
     assert sum(looked) < 0.05 * len(names) ** 2
-    sample = left[::60]
+    sample = left[::40]
     assert plain(sample, right, [False], None, 0.85, 1) == {i: got[i] for i, _ in sample if i in got}
 
 
 def test_no_cross_join(spark):
     sides = frame(spark, [(1, "a red ring", 2.0)], "l", [False, True]), frame(spark, [(1, "a red rings", 2.1)], "r", [False, True])
-    for pairs in ([("l0", "r0")], [("l1", "r1")], [("l0", "r0"), ("l1", "r1")]):
+    for pairs in ([("l0", "r0")], [("l0", "r0"), ("l1", "r1")]):
         plan = joins.best_matches(*sides, pairs, "lid", "rid", 0.8)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
 
