@@ -19,7 +19,7 @@ WINDOW = 10
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The window table is broadcast up to this many windows (about 0.2 KB each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
-#: A word no text can hold; it matches once in each document and carries its length.
+#: A word no text can hold; where windows are broadcast, it matches once in each document and carries its length.
 _END = "\x00"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,22 +65,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item
     bounded = w.count() <= broadcast_windows
     d = _words_of(docs, id_col, text_col)
     p = _prefixes(d, w, bounded)
-    end = F.struct(F.lit("").alias("w"), F.lit(0).alias("l"), F.array().cast("array<string>").alias("i"), F.lit(_END).alias("t"), F.lit(0).alias("o"))
-    p = p.unionByName(docs.sparkSession.range(1).select(end.alias("e")).selectExpr("e.w AS __window", "e.l AS __len", "e.i AS __items", "e.t AS __token", "e.o AS __offset"))
-    p = checkpoint(p)
     at = F.col("__pos") - F.col("__offset")
     fits = (at >= 0) & (at + F.col("__len") <= F.col("__n"))
     same = F.array_join(F.slice("__d", at + 1, F.col("__len")), " ") == F.col("__window")
-    ok = (F.col("__token") == _END) | (fits & same)
     out = ["__id", "__h", "__n", at.cast("int").alias("__start"), "__len", "__items"]
-    each = F.posexplode_outer(F.concat("__d", F.array(F.lit(_END)))).alias("__pos", "__token")
+    size_of = F.size("__d").alias("__n")
     if bounded:
-        return d.select("__id", "__h", "__d", F.size("__d").alias("__n"), each).join(F.broadcast(p), "__token").where(ok).select(*out)
-    near = d.select("__id", "__h", F.size("__d").alias("__n"), each).join(p, "__token").where((F.col("__token") == _END) | fits)
-    ends, rest = near.where(F.col("__token") == _END), near.where(F.col("__token") != _END)
+        end = F.struct(F.lit("").alias("w"), F.lit(0).alias("l"), F.array().cast("array<string>").alias("i"), F.lit(_END).alias("t"), F.lit(0).alias("o"))
+        p = p.unionByName(docs.sparkSession.range(1).select(end.alias("e")).selectExpr("e.w AS __window", "e.l AS __len", "e.i AS __items", "e.t AS __token", "e.o AS __offset"))
+        each = F.posexplode_outer(F.concat("__d", F.array(F.lit(_END)))).alias("__pos", "__token")
+        return d.select("__id", "__h", "__d", size_of, each).join(F.broadcast(checkpoint(p)), "__token").where((F.col("__token") == _END) | (fits & same)).select(*out)
+    # here ends stay out of the join: on its one key they would all meet in one task
+    ends = d.select("__id", "__h", size_of, F.lit(0).alias("__start"), F.lit(0).alias("__len"), F.array().cast("array<string>").alias("__items"))
+    near = d.select("__id", "__h", size_of, F.posexplode("__d").alias("__pos", "__token")).join(checkpoint(p), "__token").where(fits)
     texts = d.dropDuplicates(["__id", "__h"]).select(F.col("__id").alias("__i"), F.col("__h").alias("__g"), "__d")
-    rest = rest.join(texts, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g"))).where(same)
-    return ends.select(*out).unionByName(rest.select(*out))
+    rest = near.join(texts, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g"))).where(same)
+    return ends.unionByName(rest.select(*out))
 
 
 def _judged(
