@@ -9,6 +9,7 @@ import sys
 
 from .plans.config import EngineConfig, load
 from .plans.engine import Engine
+from .plans.metrics import log_to
 from .plans.providers import DeterministicProvider, HttpProvider, Provider
 from .session import session
 from .types import ConfigurationError, EngineError
@@ -17,6 +18,7 @@ from .types import ConfigurationError, EngineError
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="braidwork")
     p.add_argument("--config")
+    p.add_argument("--log", choices=("json", "text"), help="write the log, with a record of each stage, to stderr")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *files: str) -> argparse.ArgumentParser:
@@ -101,6 +103,8 @@ def shown(result: dict) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.log:
+        log_to(as_json=args.log == "json")
     try:
         config = load(args.config) if args.config else EngineConfig()
         config.fusion.experimental_strategies |= getattr(args, "strategy", "") in ("probabilistic", "temporal")

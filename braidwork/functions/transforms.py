@@ -21,6 +21,8 @@ TRANSFORMS: dict[str, Callable[[Column], Column]] = {
 
 _FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy")
 
+_LOG = "field string, operation string, template string, sample_before string, sample_after string, records_affected bigint"
+
 
 def register_transform(name: str, fn: Callable[[Column], Column] | str, field: str = "value") -> None:
     """Add a transform; a formula string is arithmetic over `field`."""
@@ -105,11 +107,23 @@ def apply_hint(df: DataFrame, column: str, hint: str) -> DataFrame:
     return df
 
 
-def log(before: DataFrame, after: DataFrame, column: str, hint: str, order: str) -> DataFrame:
-    """One row: field, operation, template, first value before and after, values affected (non-null for units, all rows for casts)."""
-    kind, _, what = hint.partition(":")
-    first = lambda df: df.where(F.col(column).isNotNull()).select(F.min_by(F.col(column).cast("string"), order).alias("v"))
-    n = before.select(F.count(column if kind == "unit_conversion" else F.lit(1)).alias("n"))
-    return n.crossJoin(first(before).withColumnRenamed("v", "sample_before")).crossJoin(first(after).withColumnRenamed("v", "sample_after")).select(
-        F.lit(column).alias("field"), F.lit(kind).alias("operation"), F.lit(what).alias("template"), "sample_before", "sample_after", F.col("n").alias("records_affected")
-    )
+def applied(df: DataFrame, hints: list[tuple[str, str]], order: str) -> tuple[DataFrame, DataFrame]:
+    """df with (column, hint) pairs applied in turn, and a row for each that changed something, all from one pass over df.
+
+    A row has field, operation, template, the first value before and after (in the order of column `order`), and the values
+    affected: non-null ones for units, all rows for casts.
+    """
+    names, traced, aggregates, rows = df.columns, df, [], []
+    for i, (column, hint) in enumerate(hints):
+        held = traced.withColumn(f"__was{i}", F.col(column)) if column in names else traced
+        after = apply_hint(held, column, hint)
+        if after is held:
+            continue
+        traced = after.withColumn(f"__is{i}", F.col(column))
+        kind, _, what = hint.partition(":")
+        first = lambda c: F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(order)))
+        aggregates += [first(f"__was{i}").alias(f"b{i}"), first(f"__is{i}").alias(f"a{i}"), F.count(f"__was{i}" if kind == "unit_conversion" else F.lit(1)).alias(f"n{i}")]
+        rows.append(F.struct(F.lit(column).alias("field"), F.lit(kind).alias("operation"), F.lit(what).alias("template"), F.col(f"b{i}").alias("sample_before"), F.col(f"a{i}").alias("sample_after"), F.col(f"n{i}").alias("records_affected")))
+    if not rows:
+        return df, df.sparkSession.createDataFrame([], _LOG)
+    return traced.select(*[F.col(f"`{c}`") for c in names]), traced.agg(*aggregates).select(F.inline(F.array(*rows)))

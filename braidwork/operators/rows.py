@@ -22,6 +22,11 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
     The numbered rows are written once, so that the two passes agree whatever is recomputed.
     """
+    return numbered(df)[0]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """with_row_id(df), and the number of rows, which numbering them gives."""
     part = checkpoint(df.withColumn("__mono", F.monotonically_increasing_id()))
     place = F.shiftright("__mono", 33)
     counts = {r["p"]: r["n"] for r in part.groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row per partition
@@ -30,10 +35,10 @@ def with_row_id(df: DataFrame) -> DataFrame:
         rows.append((p, total))
         total += counts[p]
     if not rows:
-        return df.withColumn(ROW_ID, F.lit(0).cast("bigint"))
+        return df.withColumn(ROW_ID, F.lit(0).cast("bigint")), 0
     offset = df.sparkSession.createDataFrame(rows, "__p bigint, __o bigint")
-    numbered = part.join(F.broadcast(offset), place == F.col("__p"))
-    return numbered.withColumn(ROW_ID, F.col("__o") + F.col("__mono").bitwiseAND((1 << 33) - 1)).drop("__mono", "__p", "__o")
+    placed = part.join(F.broadcast(offset), place == F.col("__p"))
+    return placed.withColumn(ROW_ID, F.col("__o") + F.col("__mono").bitwiseAND((1 << 33) - 1)).drop("__mono", "__p", "__o"), total
 
 
 def value_counts(cells: DataFrame) -> DataFrame:

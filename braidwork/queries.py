@@ -251,7 +251,7 @@ def cast_datetime(spark, sf_dir):
 def transform_log(spark, sf_dir):
     part = _t(spark, sf_dir, "part")
     hint = "unit_conversion:celsius_to_fahrenheit"
-    return transforms.log(part, transforms.apply_hint(part, "p_size", hint), "p_size", hint, "p_partkey").select("field", "operation", "template", "records_affected", "sample_before")
+    return transforms.applied(part, [("p_size", hint)], "p_partkey")[1].select("field", "operation", "template", "records_affected", "sample_before")
 
 
 # joins

@@ -54,10 +54,10 @@ class Request:
             raise ValidationError("The body must be a JSON object")
         return got
 
-    def rows(self, most: int | None) -> int:
+    def rows(self, most: int) -> int:
         text = self.query.get("rows", "10")
-        if not text.isdigit() or int(text) < 1 or (most and int(text) > most):
-            raise ValidationError(f"rows must be a number from 1 to {most or 'any'}")
+        if not text.isdigit() or not 1 <= int(text) <= most:
+            raise ValidationError(f"rows must be a number from 1 to {most}")
         return int(text)
 
 
@@ -119,7 +119,8 @@ class Api:
                 raise EngineError(f"Unsupported file type: {name}; known are {', '.join(UPLOADS)}")
             source = self._store(r, suffix)
         d = self.engine.ingest(source, r.query.get("dataset_id") or told.get("dataset_id"))
-        d.rows = d.frame.count()
+        if d.rows is None:  # the file came with row numbers of its own
+            d.rows = d.frame.count()
         return {"dataset_id": d.dataset_id, "source_type": d.source_type, "row_count": d.rows, "fields": [{"name": f.name, "type": f.dataType.simpleString()} for f in d.frame.drop(ROW_ID).schema], "sample": self.engine.sample(d.dataset_id)}
 
     def _store(self, r: Request, suffix: str) -> str:
@@ -202,7 +203,7 @@ class Api:
         return _told(self._fused(r))
 
     def fused_sample(self, r: Request) -> dict:
-        data = [x.asDict(recursive=True) for x in self._fused(r).frame.limit(r.rows(None)).collect()]
+        data = [x.asDict(recursive=True) for x in self._fused(r).frame.limit(r.rows(1000)).collect()]
         return {"fused_id": r.values["id"], "rows": len(data), "data": data}
 
     def download(self, r: Request) -> dict:

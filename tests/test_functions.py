@@ -101,7 +101,7 @@ def test_transforms(spark):
     assert transforms.cast(df, "s", "boolean") is df
     assert transforms.apply_hint(df, "absent", "type_cast:string->float") is df
     hint = "unit_conversion:celsius_to_fahrenheit"
-    log = transforms.log(df, transforms.apply_hint(df, "t", hint), "t", hint, "id").first()
+    log = transforms.applied(df, [("t", hint)], "id")[1].first()
     assert (log.records_affected, log.sample_before, log.sample_after) == (2, "0.0", "32.0")
     transforms.register_transform("twice_and_one", "value * 2 + 1")
     assert df.select(transforms.unit("twice_and_one", F.col("t"))).collect()[1][0] == 201.0
