@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..operators.rows import normalize_nan
 from ..types import IngestionError, IngestorConfig, SourceType
 from . import records, sniff
+from .remote import read_rest, read_sql, rest_rows  # noqa: F401
 
 #: Texts that stand for a missing value in CSV.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -103,35 +104,8 @@ def read_excel(spark: SparkSession, path: str, sheet_name: str | int = 0) -> Dat
     return spark.createDataFrame(frame)
 
 
-def read_sql(spark: SparkSession, url: str, query: str, timeout: int = 300, **options: str) -> DataFrame:
-    if not query:
-        raise IngestionError("SQL sources need a query")
-    return spark.read.format("jdbc").options(url=url, query=query, queryTimeout=str(timeout), **options).load()
-
-
-def rest_rows(payload: object) -> list[dict]:
-    """A list is the rows; of a dict the first non-empty list value is, else the dict is one row."""
-    if isinstance(payload, list):
-        return payload
-    if isinstance(payload, dict):
-        return next((v for v in payload.values() if isinstance(v, list) and v), [payload])
-    raise IngestionError(f"Unexpected REST payload: {type(payload).__name__}")
-
-
-def read_rest(spark: SparkSession, url: str, timeout: int = 60, headers: dict[str, str] | None = None) -> DataFrame:
-    import urllib.request
-
-    from ..functions.validate import check_url
-
-    with urllib.request.urlopen(urllib.request.Request(check_url(url), headers=headers or {}), timeout=timeout) as r:
-        rows = rest_rows(json.load(r))
-    text = spark.createDataFrame([(json.dumps(x),) for x in rows], "value string")
-    found = text.select(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).first()["s"]
-    return text.select(F.from_json("value", found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")).alias("r")).select("r.*")
-
-
 def read(spark: SparkSession, source: str, kind: SourceType | str | None = None, config: IngestorConfig | None = None, **options) -> DataFrame:
-    """The source as a DataFrame with NaN nulled. SQL and REST need config.experimental_sources. Any failure is an IngestionError."""
+    """The source as a DataFrame with NaN nulled. Options are those of the kind's reader. SQL and REST need config.experimental_sources. Any failure is an IngestionError."""
     config = config or IngestorConfig()
     try:
         kind = SourceType(kind) if kind else sniff.source_type(source)
@@ -146,9 +120,9 @@ def read(spark: SparkSession, source: str, kind: SourceType | str | None = None,
         elif kind is SourceType.EXCEL:
             df = read_excel(spark, source, options.get("sheet_name", 0))
         elif kind is SourceType.SQL:
-            df = read_sql(spark, source, options.get("query", ""), config.sql_timeout)
+            df = read_sql(spark, source, **({"query": "", "timeout": config.sql_timeout} | options))
         else:
-            df = read_rest(spark, source, config.rest_timeout, options.get("headers"))
+            df = read_rest(spark, source, **({"timeout": config.rest_timeout} | options))
         return normalize_nan(df)
     except Exception as e:
         raise IngestionError(f"Failed to ingest {source}: {e}") from e
