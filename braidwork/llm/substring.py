@@ -4,7 +4,8 @@ Every window of WINDOW words has a minimiser, the least hash of its runs of MINI
 document that share it form a super-k-mer, whose words travel once, packed in one string, to the minimiser's bucket;
 equal windows have equal minimisers and so meet there, where they are sorted, counted and compared as text. A chunk of
 documents sends each distinct super-k-mer once (its earliest place) and packs and compresses all of a bucket's strings
-together. Minimisers that hold a large share of all super-k-mers are found first, and their windows dealt out one by
+together; a task sends one that recurs in its chunks three times at most, as far as a bounded memory holds them, so a
+passage that every document has travels a few times a task, not once a chunk. Minimisers that hold a large share of all super-k-mers are found first, and their windows dealt out one by
 one by the hash of the whole window, so that a passage in very many documents loads no single bucket.
 """
 
@@ -25,6 +26,8 @@ WINDOW, MINI = 20, 3
 CHUNK, BUCKETS = 5 << 20, 12
 #: A minimiser with over one in HEAVY super-k-mers is dealt by window; at most HEAVY such exist.
 HEAVY = 2000
+#: Of super-k-mers that recur in a task's chunks: hashes that are remembered, bytes of text that are.
+SLOTS, ROOM = 1 << 21, 64 << 20
 _NULL_ID = -(1 << 63)
 
 
@@ -81,8 +84,8 @@ def super_kmers(data: np.ndarray, at: np.ndarray, heavy: np.ndarray) -> tuple[np
     return packed, doc[word], word - word_at[:-1][doc[word]], count, to[word], to[word + count + WINDOW - 1] - to[word], key[first], n_words
 
 
-def _distinct(packed: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Super-k-mers to send, and for each super-k-mer the one that stands for it (the earliest with its text)."""
+def _distinct(packed: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers to send, for each super-k-mer the one that stands for it (the earliest with its text), and its hash."""
     h = mixed(Rolling(packed)(begin, begin + size))
     by = np.lexsort((order, h))
     group = np.concatenate([[True], h[by][1:] != h[by][:-1]]) if len(by) else np.empty(0, bool)
@@ -93,11 +96,53 @@ def _distinct(packed: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np
     check = other[same]
     same[same] = _same_bytes(packed, begin[check], begin[rep[check]], size[check])
     rep[other[~same]] = other[~same]
-    return np.flatnonzero(rep == np.arange(len(h))), rep
+    return np.flatnonzero(rep == np.arange(len(h))), rep, h
 
 
-def _pack(arrays: list[np.ndarray], raw: np.ndarray) -> bytes:
-    return len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a, dtype="<i8").tobytes() for a in arrays) + raw.tobytes()
+class _Common:
+    """Super-k-mers that recur in a task's chunks, each with the earliest place met: kept hash -> [text, place, windows, key, sent].
+
+    The second chunk that has one still sends it. From then on the later of two places is known to repeat the earlier, and
+    the earliest, if it hasn't been sent, is when the task ends. One that finds no room is sent by each chunk.
+    """
+
+    def __init__(self) -> None:
+        self.met, self.held = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=bool)
+        self.kept: dict[int, list] = {}
+        self.room = ROOM
+
+    def fold(self, hashes: np.ndarray, of) -> tuple[np.ndarray, list[tuple]]:
+        """Which of a chunk's super-k-mers to send, and the (id, text hash, first window, windows) now known to repeat earlier
+        ones; of(q) tells the q-th one's text, place, windows and key."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        send, later = np.ones(len(hashes), dtype=bool), []
+        for q in np.flatnonzero(self.met[slot] == hashes).tolist():
+            text, place, windows, key = of(q)
+            own = self.kept.get(int(hashes[q]))
+            if own is None:
+                cost = len(text) + 400
+                if cost <= self.room:
+                    self.room -= cost
+                    self.kept[int(hashes[q])] = [text, place, windows, key, True]
+                    self.held[slot[q]] = True
+            elif own[0] == text:
+                send[q] = False
+                if place > own[1]:
+                    later.append((*place, windows))
+                elif place < own[1]:
+                    if not own[4]:
+                        later.append((*own[1], windows))
+                    own[1], own[4] = place, False
+        free = ~self.held[slot]
+        self.met[slot[free]] = hashes[free]
+        return send, later
+
+    def unsent(self) -> list[list]:
+        return [x for x in self.kept.values() if not x[4]]
+
+
+def _pack(arrays: list[np.ndarray], raw: np.ndarray | bytes) -> bytes:
+    return len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a, dtype="<i8").tobytes() for a in arrays) + bytes(raw)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -106,7 +151,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], heavy: np.ndarray):
-    """Per chunk: what super_kmers() gives, ids, text hashes, the super-k-mers to send and their stand-ins."""
+    """Per chunk: what super_kmers() gives, ids, text hashes, the super-k-mers to send, the stand-ins and the hashes of all."""
     for part in slices(batches, "t", CHUNK):
         ids, h = part.column("i").to_numpy(zero_copy_only=False), part.column("h").to_numpy(zero_copy_only=False)
         packed, doc, first, count, begin, size, key, _ = super_kmers(*utf8(part.column("t")), heavy)
@@ -114,13 +159,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], heavy: np.ndarray):
         by = np.lexsort((h, ids))
         new = np.concatenate([[False], (ids[by][1:] != ids[by][:-1]) | (h[by][1:] != h[by][:-1])])
         rank[by] = np.cumsum(new)  # repeated rows are one document
-        send, rep = _distinct(packed, (rank[doc] << 32) | first, begin, size)
-        yield packed, doc, first, count, begin, size, key, ids, h, rank, send, rep
+        yield packed, doc, first, count, begin, size, key, ids, h, rank, *_distinct(packed, (rank[doc] << 32) | first, begin, size)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Minimisers frequent in a chunk, with their counts; key 0 carries the number of all super-k-mers."""
-    for *_, key, _, _, _, send, _ in _chunks(batches, np.empty(0, np.uint64)):
+    for *_, key, _, _, _, send, _, _ in _chunks(batches, np.empty(0, np.uint64)):
         value, n = np.unique(key[send], return_counts=True)
         often = n > len(send) / (2 * HEAVY)
         often &= n > 4
@@ -135,22 +179,48 @@ def _deal(heavy: np.ndarray, buckets: int):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=6)
-        for packed, doc, first, count, begin, size, key, ids, h, rank, send, rep in _chunks(batches, heavy):
-            rows: list[tuple[int, int, bytes]] = []
+
+        def rows(kind: int, route: np.ndarray, columns: list[np.ndarray], raw=None) -> Iterator[tuple[int, int, bytes]]:
+            """A blob for each bucket; raw(own) is the bytes of the super-k-mers numbered own."""
+            bucket = (route % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+                yield int(bucket[own[0]]), kind, press.compress(_pack([c[own] for c in columns], raw(own) if raw else b""))
+
+        def batch(found: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            if found:
+                b, k, blob = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
+
+        def known(places: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+            if places:
+                i, th, s, n = np.array(places, dtype=np.int64).T
+                yield from rows(1, mixed(th.view(np.uint64), seed=2), [i, th, s, n, np.zeros_like(n)])
+
+        common = _Common()
+        for packed, doc, first, count, begin, size, key, ids, h, rank, send, rep, hashes in _chunks(batches, heavy):
+
+            def of(q: int) -> tuple[bytes, tuple[int, int, int], int, int]:
+                j = send[q]
+                return packed[begin[j] : begin[j] + size[j]].tobytes(), (int(ids[doc[j]]), int(h[doc[j]]), int(first[j])), int(count[j]), int(key[j])
+
             again = np.flatnonzero(rep != np.arange(len(rep)))
             again = again[(rank[doc[again]] != rank[doc[rep[again]]]) | (first[again] != first[rep[again]])]
-            for kind, chosen, route in ((0, send, mixed(key[send])), (1, again, mixed(h[doc[again]].view(np.uint64), seed=2))):
-                bucket = (route % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                chosen, bucket = chosen[by], bucket[by]
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-                for a, b in zip(cuts, np.append(cuts[1:], len(bucket)) if len(bucket) else []):
-                    own = chosen[a:b]
-                    raw = packed[ragged(begin[own], size[own])] if kind == 0 else packed[:0]
-                    rows.append((int(bucket[a]), kind, press.compress(_pack([ids[doc[own]], h[doc[own]], first[own], count[own], size[own]], raw))))
-            if rows:
-                b, k, blob = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
+            go, later = common.fold(hashes[send], of)
+            send = send[go]
+            table = lambda own: [ids[doc[own]], h[doc[own]], first[own], count[own], size[own]]
+            yield from batch([
+                *rows(0, mixed(key[send]), table(send), lambda own: packed[ragged(begin[send[own]], size[send[own]])]),
+                *rows(1, mixed(h[doc[again]].view(np.uint64), seed=2), table(again)),
+                *known(later),
+            ])
+        left = common.unsent()
+        if left:
+            text = [x[0] for x in left]
+            i, th, s = np.array([x[1] for x in left], dtype=np.int64).T
+            columns = [i, th, s, np.array([x[2] for x in left], dtype=np.int64), np.array([len(t) for t in text], dtype=np.int64)]
+            route = mixed(np.array([x[3] for x in left], dtype=np.uint64))
+            yield from batch(list(rows(0, route, columns, lambda own: np.frombuffer(b"".join(text[q] for q in own), dtype=np.uint8))))
 
     return run
 

@@ -276,6 +276,34 @@ def test_substring(spark, monkeypatch, chunk, heavy):
     assert substring.deduplicate(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("room, slots, order", [(substring.ROOM, substring.SLOTS, "up"), (substring.ROOM, substring.SLOTS, "down"), (substring.ROOM, 64, "down"), (3000, substring.SLOTS, "mixed"), (0, 64, "mixed")])
+def test_substring_common_passage_travels_a_few_times(spark, monkeypatch, room, slots, order):
+    rng = random.Random(5)
+    shared = [" ".join(f"s{k}x{i}" for i in range(60)) for k in range(3)]
+    rows = [(d, " ".join([f"a{d}", *[rng.choice(shared) for _ in range(rng.randrange(4))], *[f"b{d}w{i}" for i in range(rng.randrange(30))]])) for d in range(150)]
+    rows += [rows[7], (7, rows[8][1]), (None, shared[0]), (None, None), (500, "")]
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=order == "down")
+    if order == "mixed":
+        rng.shuffle(rows)
+    monkeypatch.setattr(substring, "CHUNK", 900)  # a chunk holds a few documents
+    monkeypatch.setattr(substring, "ROOM", room)
+    monkeypatch.setattr(substring, "SLOTS", slots)
+    df = frame(spark, rows).coalesce(1)
+    hashes = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    want = brute_substring([(r.doc_id, r.text, r.h) for r in hashes])
+    assert collected(substring.deduplicate(df), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered((d, *want[(d, t)]) for d, t in rows)
+    if room > 3000 and slots > 64:
+        import zstandard
+
+        keyed = substring._keyed(df, "doc_id", "text").select("i", "h", "t")
+        sent = []
+        for r in keyed.mapInArrow(substring._deal(np.empty(0, np.uint64), 8), "bucket int, kind int, blob binary").where("kind = 0").collect():
+            table, text = substring._unpack(zstandard.ZstdDecompressor().decompress(bytes(r.blob)))
+            ends = np.cumsum(table[4])
+            sent += [text[e - n : e] for e, n in zip(ends, table[4])]
+        assert max(sent.count(x) for x in set(sent)) <= 3
+
+
 def test_substring_under_colliding_hashes():
     a, b = b"".join(b"w%d " % i for i in range(21)), b"".join(b"v%d " % i for i in range(21))
     table = np.array([[1, 2, 3], [0, 0, 0], [0, 0, 0], [2, 2, 2], [len(a), len(b), len(a)]])
