@@ -229,48 +229,54 @@ def _score(ranks, classes: np.ndarray, model: np.ndarray, share: np.ndarray, end
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in [table.schema.field("id")]] + [pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["id", "held_out", "n_tokens", "n_known", "base", "score"])
-        data, start, end, number, doc, n_words = _words(_one(table, "t"))
+        data, start, end, number, _, n_words = _words(_one(table, "t"))
+        number = number.astype(np.int32)
         by, cuts = _shards(data, start, end, shards)
         count = np.zeros(len(start), dtype=np.int64)
         for s, blob in zip(answers.column("at").to_pylist(), answers.column("blob").to_pylist()):
             count[by[cuts[s] : cuts[s + 1]]] = np.frombuffer(_unpress(blob), "<i8")
         texts = table.num_rows
-        base = np.bincount(doc, np.log10(count + 0.5)[number], texts) + np.log10(end_count + 0.5)
-        known = np.bincount(doc, (count > 0)[number], texts).astype(np.int64) + int(end_count > 0)
         encoder[:] = encoder or [_encoding(ranks.value)]
         ids, id_at = _subwords(data, start, end, encoder[0])
-        seq, at = _sequences(number, doc, texts, ids, id_at, end_id)
-        own_class, begins = np.zeros(len(seq)), np.zeros(len(seq))
+        del data, start, end, by
+        pieces, known_word, weight = np.diff(id_at), count > 0, np.log10(count + 0.5)
+        base, known, score = np.zeros(texts), np.zeros(texts, np.int64), np.zeros(texts)
         p = attention.unflat(model, CLASSES)
-        cls = classes[seq]
-        group = np.cumsum(np.diff(at)) // (_LAID_OUT * attention.STRIDE)
-        for g in np.unique(group):  # texts by turns, a long one's windows in parts
-            rows = np.flatnonzero(group == g)
-            lo, hi = at[rows[0]], at[rows[-1] + 1]
-            tok, target, scored = attention.windows(cls[lo:hi], at[rows[0] : rows[-1] + 2] - lo, int(classes[end_id]))
+        word_at = np.concatenate([[0], np.cumsum(n_words)])
+        long = np.concatenate([[0], np.cumsum(pieces[number], dtype=np.int64)])[word_at[1:]] + np.arange(1, texts + 1)
+        group = long // (_LAID_OUT * attention.STRIDE)
+        cut = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [texts]])
+        for a, b in zip(cut, cut[1:]):  # texts by turns, so that what is worked on stays small
+            own, words = number[word_at[a] : word_at[b]], n_words[a:b]
+            doc = np.repeat(np.arange(b - a), words)
+            base[a:b] = np.bincount(doc, weight[own], b - a) + np.log10(end_count + 0.5)
+            known[a:b] = np.bincount(doc, known_word[own], b - a).astype(np.int64) + int(end_count > 0)
+            seq, at = _sequences(own, doc, b - a, ids, id_at, end_id)
+            cls = classes[seq]
+            own_class, begins, lo = np.zeros(len(seq)), np.zeros(len(seq)), 0
+            tok, target, scored = attention.windows(cls, at, int(classes[end_id]))
             for i in range(0, len(tok), _BATCH):
-                own, start_ = attention.log_likelihood(p, tok[i : i + _BATCH], target[i : i + _BATCH], scored[i : i + _BATCH])
-                own_class[lo : lo + len(own)] = own
-                begins[lo : lo + len(own)] = start_
-                lo += len(own)
-        # words and ends, in order: a spelling from its first subword to before the next one's
-        size = np.ones(len(number) + texts, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(n_words + 1)])[1:] - 1
-        is_word = np.ones(len(size), dtype=bool)
-        is_word[ends] = False
-        size[is_word] = np.diff(id_at)[number]
-        first = np.cumsum(size) - size
-        lead = own_class[first] - begins[first]  # the first subword's class, given that a word begins
-        spelled = np.add.reduceat(own_class + share[seq], first) - own_class[first]  # the rest, given that class
-        spelled[is_word] += begins[(first + size)[is_word]]
-        c = np.full(len(size), float(end_count))
-        c[is_word] = count[number]
-        n, v = of_class[0][cls[first]], of_class[1][cls[first]]
-        with np.errstate(divide="ignore"):  # an unseen word has its spelling alone, and so has every word of a class without any
-            counted = np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(n, 1))
-            left = np.log(np.where(n > 0, DISCOUNT * v / np.maximum(n, 1), 1))
-        each = (lead + np.logaddexp(counted, left + spelled)) / np.log(10)
-        score = np.bincount(np.repeat(np.arange(texts), n_words + 1), each, texts)
+                each, start_ = attention.log_likelihood(p, tok[i : i + _BATCH], target[i : i + _BATCH], scored[i : i + _BATCH])
+                own_class[lo : lo + len(each)] = each
+                begins[lo : lo + len(each)] = start_
+                lo += len(each)
+            # words and ends, in order: a spelling from its first subword to before the next one's
+            size = np.ones(len(own) + b - a, dtype=np.int64)
+            is_word = np.ones(len(size), dtype=bool)
+            is_word[np.cumsum(words + 1) - 1] = False
+            size[is_word] = pieces[own]
+            first = np.cumsum(size) - size
+            lead = own_class[first] - begins[first]  # the first subword's class, given that a word begins
+            spelled = np.add.reduceat(own_class + share[seq], first) - own_class[first]  # the rest, given that class
+            spelled[is_word] += begins[(first + size)[is_word]]
+            c = np.full(len(size), float(end_count))
+            c[is_word] = count[own]
+            n, v = of_class[0][cls[first]], of_class[1][cls[first]]
+            with np.errstate(divide="ignore"):  # an unseen word has its spelling alone, and so has every word of a class without any
+                counted = np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(n, 1))
+                left = np.log(np.where(n > 0, DISCOUNT * v / np.maximum(n, 1), 1))
+            each = (lead + np.logaddexp(counted, left + spelled)) / np.log(10)
+            score[a:b] = np.bincount(np.repeat(np.arange(b - a), words + 1), each, b - a)
         held = ~_one(table, "train").to_numpy(zero_copy_only=False)
         return pa.table([_one(table, "id"), pa.array(held), pa.array(n_words + 1), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base", "score"])
 

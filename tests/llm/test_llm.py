@@ -666,6 +666,31 @@ def test_held_out_texts_score_above_the_base(spark, monkeypatch):
     assert each[6] < min(each[8], each[10], each[7])
 
 
+def test_a_block_is_scored_in_pieces(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    classes = np.arange(257) % lm.CLASSES
+    model, share = attention.flat(attention.fresh(np.ones(lm.CLASSES))), np.zeros(257)
+    texts = ["word other more " * (1 + k % 7) if k % 5 else None for k in range(300)]
+    table = pa.table({"id": list(range(300)), "block": pa.array([0] * 300, pa.int32()), "train": [k % 4 > 0 for k in range(300)], "t": texts, "o": list(range(300))})
+    ranks = SimpleNamespace(value={bytes([b]): b for b in range(256)})
+    asked = lm._ask(ranks, classes, model, 256, 1)(table).slice(0, 1).select(["block", "at", "blob"])
+    answers = lm._add_up(asked).select(["block", "at", "blob"])
+    wide, sequences = [], lm._sequences
+    monkeypatch.setattr(lm, "_sequences", lambda *x: (out := sequences(*x), wide.append(len(out[0])))[0])
+    results = []
+    for windows in (1 << 20, 4):
+        wide.clear()
+        monkeypatch.setattr(lm, "_LAID_OUT", windows)
+        results.append(lm._score(ranks, classes, model, share, 256, 225, (np.full(lm.CLASSES, 9.0), np.ones(lm.CLASSES)), 1)(table, answers))
+    assert len(wide) > 50 and max(wide) <= 4 * attention.STRIDE + 120  # a text more at most
+    for name in ("id", "held_out", "n_tokens", "n_known"):
+        assert results[0].column(name) == results[1].column(name)
+    for name in ("base", "score"):
+        assert np.allclose(results[0].column(name), results[1].column(name), rtol=1e-5)
+
+
 def test_a_long_unseen_word_costs_what_its_spelling_does(spark, monkeypatch):
     for name, value in (("START_STEPS", 20), ("BLOCK_STEPS", 3)):
         monkeypatch.setattr(lm, name, value)
