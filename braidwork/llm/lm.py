@@ -6,7 +6,7 @@ the context of a window, the class of a word's first subword; the word's probabi
 discounted share of the training words whose first subword is of the class. What the discount takes goes to new words of
 the class, by the spelling the attention model gives them. A spelling ends where the model expects a word to begin, and
 so the words' probabilities add up to one. The model starts from a bounded sample and is then trained further in
-every block, on windows of every training text by turns; the blocks' weights are averaged. Blocks are bounded in bytes,
+every block, on all windows of every training text; the blocks' weights are averaged. Blocks are bounded in bytes,
 so that their number grows with the texts. Subword counts of all training texts give the shares within classes. Held-out
 texts give counts to nothing. Words are told apart by their bytes.
 """
@@ -32,8 +32,8 @@ CLASSES = 512
 DISCOUNT = 0.75
 #: Text bytes of the sample the starting model is fitted on, and the most subwords that one of its texts gives; its steps.
 START_BYTES, START_IDS, START_STEPS = 2 << 20, 1 << 18, 800
-#: A block's least number of steps (one too small to fill them goes over its windows again), and how many turns every training text's windows are dealt to, of which a run uses one.
-BLOCK_STEPS, TURNS = 30, 8
+#: A block's least number of steps (one too small to fill them goes over its windows again), and how many turns every training text's windows are dealt to, of which a run uses one: with 1, all windows.
+BLOCK_STEPS, TURNS = 30, 1
 #: Text bytes of a block, on average at most.
 BLOCK_BYTES = 16 << 20
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)

@@ -623,6 +623,21 @@ def test_blocks_train_on_their_whole_share(spark, monkeypatch):
     assert asked[0].where("kind = 1").count() > 2 * lm.partitions(spark)
 
 
+def test_every_place_of_every_training_text_is_trained_on(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    texts = ["word other more " * n for n in (1, 9, 40, 200)] + ["", None]
+    table = pa.table({"block": pa.array([0] * 6, pa.int32()), "train": [True] * 3 + [True, False, True], "t": texts, "o": list(range(6))})
+    places, windows = [], attention.windows
+    monkeypatch.setattr(attention, "windows", lambda *x: (out := windows(*x), places.append(int(out[2].sum())))[0])
+    monkeypatch.setattr(attention, "fit", lambda p, tok, *_, **__: (places.append(len(tok)), p)[1])
+    model = attention.flat(attention.fresh(np.ones(lm.CLASSES)))
+    lm._ask(SimpleNamespace(value={bytes([b]): b for b in range(256)}), np.arange(257) % lm.CLASSES, model, 256, 2)(table)
+    ids = [16 * n + 1 for n in (1, 9, 40, 200, 0)]  # a space before each word, and an end
+    assert places == [sum(ids), sum(1 + max(0, -(-(n - attention.LENGTH) // attention.STRIDE)) for n in ids)]
+
+
 def test_windows_by_turns():
     sizes = [0, 1, 31, 32, 33, 60, 500, 5000]
     ids, at = np.arange(sum(sizes)), np.cumsum([0, *sizes])
