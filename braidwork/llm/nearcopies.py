@@ -10,8 +10,10 @@ forest, which has the components of all close pairs at every distance; the pairs
 their texts' shingles. Components of the verified pairs are the groups.
 
 A bucket of over BUCKET_ROWS fingerprints is dealt out again SPLITS times, by SPLIT_BITS bits each; each of its rows is also
-held against its first row. Texts of so large a group have partners in plenty. A bucket that is still as large is gone
-through in the order of the fingerprints, each row against the first and the BUCKET_ROWS before it.
+held against its first row. A bucket that is still as large is gone through in the order of the fingerprints, each row
+against the first and the BUCKET_ROWS before it. All this only brings together quickly what belongs together. The texts of
+such buckets, and those of groups of over SMALL, are left open: where the verified pairs don't make one group of them, they
+are joined exactly (see across), by their rarest shingles, so that no pair of them with the asked similarity is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components, spanning
@@ -35,9 +37,13 @@ BITS = 64 * WIDTH
 BUCKET_ROWS, SPLITS, SPLIT_BITS = 2048, 3, 10
 #: Texts of a bucket that chance alone puts there at most; texts of a group in a bucket of which all close pairs are kept.
 CROWD, SMALL = 256, 16
+#: Texts of a shingle's part.
+PART_ROWS = 1024
 #: References whose distances are compared before all bits are, and pairs compared or held at once.
 REFERENCES = mixed(_powers(np.uint64(0x9E3779B97F4A7C15), 8 * WIDTH - 1)).reshape(8, WIDTH)
 _PAIRS = 1 << 18
+#: Rows of shingles handed to Spark at once.
+_SENT = 1 << 15
 _SUMMED = 32
 
 
@@ -173,12 +179,14 @@ def forest(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         component = to[component]
 
 
-def close_pairs(key: np.ndarray, fp: np.ndarray, most: int, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of the pairs with equal keys within `most` bits, of groups of over SMALL of a minimum spanning forest of them;
-    rows are sorted by key. With reach, a row is held against its key's first one and the next `reach` only."""
+def close_pairs(key: np.ndarray, fp: np.ndarray, most: int, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of the pairs with equal keys within `most` bits, of groups of over SMALL of a minimum spanning forest of them,
+    and per row the least row of its group if that is over SMALL, else -1; rows are sorted by key. With reach, a row is held
+    against its key's first one and the next `reach` only."""
     near = _distance(fp[:, None, :], REFERENCES[None, :, :])
     stops, starts = np.searchsorted(key, key, side="right"), np.searchsorted(key, key, side="left")
     u, v, w, held = [], [], [], 0
+    large = np.full(len(key), -1)
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal u, v, w, held
@@ -193,7 +201,7 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, most: int, reach: int | None =
                 shrink()
 
     def shrink() -> None:
-        nonlocal u, v, w, held
+        nonlocal u, v, w, held, large
         a, b, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (u, v, w))
         keep = np.zeros(len(a), dtype=bool)
         keep[forest(len(key), a, b, c)] = True
@@ -201,7 +209,9 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, most: int, reach: int | None =
         if keep.any():
             node, least = spanning(a[keep], b[keep])
             root[node] = least
-        keep |= np.bincount(root, minlength=len(key))[root[a]] <= SMALL
+        size = np.bincount(root, minlength=len(key))
+        keep |= size[root[a]] <= SMALL
+        large = np.where(size[root] > SMALL, root, -1)
         u, v, w, held = [a[keep]], [b[keep]], [c[keep]], int(keep.sum())
 
     step, open_ = 1, np.flatnonzero(np.arange(len(key)) + 1 < stops)
@@ -212,7 +222,7 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, most: int, reach: int | None =
         step += 1
         open_ = open_[open_ + step < stops[open_]]
     shrink()
-    return u[0], v[0]
+    return u[0], v[0], large
 
 
 def buckets(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[bool, pa.RecordBatch]]:
@@ -263,8 +273,8 @@ def _words_of(column: pa.Array) -> np.ndarray:
 
 
 def _meet(most: int, split: bool):
-    """Rows (key, node, fp) sorted by key to rows of kind 0, a close pair (a, b), or 1, a large bucket's row (a) under a finer
-    key, once for each way to deal it again."""
+    """Rows (key, node, fp) sorted by key to rows of kind 0, a close pair (a, b), 1, a large bucket's row (a) under a finer
+    key, once for each way to deal it again, or 2, a row (a) of a bucket or group, named by key, whose pairs were not all kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None
@@ -277,9 +287,13 @@ def _meet(most: int, split: bool):
                     size = np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left")
                     again = size > BUCKET_ROWS
                 own = np.flatnonzero(~again)
-                i, j = close_pairs(key[own], fp[own], most, None if split else BUCKET_ROWS)
+                i, j, group = close_pairs(key[own], fp[own], most, None if split else BUCKET_ROWS)
                 i, j = own[i], own[j]
                 yield _rows(0, None, (node.take(pa.array(i)), node.take(pa.array(j))), None)
+                part = np.flatnonzero(group >= 0)
+                if split and len(part):  # large buckets are open as a whole
+                    at = own[part]
+                    yield _rows(2, mixed(key[at].view(np.uint64) ^ mixed(group[part].astype(np.uint64), seed=7)), (node.take(pa.array(at)), pa.nulls(len(at), node.type)), None)
                 hot_rows = np.flatnonzero(again)
                 lead = np.searchsorted(key, key[hot_rows], side="left")
             else:
@@ -287,6 +301,7 @@ def _meet(most: int, split: bool):
                     first = (key[0], fp[0], node.slice(0, 1))
                 hot_rows, lead = np.arange(len(key)), None
             if len(hot_rows):
+                yield _rows(2, mixed(key[hot_rows].view(np.uint64), seed=8), (node.take(pa.array(hot_rows)), pa.nulls(len(hot_rows), node.type)), None)
                 finer = mixed(keys(fp[hot_rows], _AGAIN) ^ mixed(key[hot_rows].view(np.uint64))[:, None], seed=5)
                 each = pa.array(np.repeat(hot_rows, SPLITS))
                 yield _rows(1, finer.ravel(), (node.take(each), pa.nulls(len(each), node.type)), rows.column(2).take(each))
@@ -298,8 +313,9 @@ def _meet(most: int, split: bool):
     return run
 
 
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v) distinct pairs of nodes (node, fp) that share a key and are close; of large groups forests of them, not all."""
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(u, v) distinct pairs of nodes (node, fp) that share a key and are close; of large groups forests of them, not all.
+    And (label, node) of the buckets and groups whose pairs are not all among them."""
     kind, most = nodes.schema["node"].dataType.simpleString(), radius(similarity)
     places = tables(similarity, key_bits(nodes.count()))
     n = partitions(nodes.sparkSession)
@@ -317,7 +333,46 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = checkpoint(sort(nodes.select("node", "fp").mapInArrow(deal, f"key bigint, node {kind}, fp binary")).mapInArrow(_meet(most, True), out))
     large = met.where("kind = 1").select("key", F.col("a").alias("node"), "fp")
     pairs = met.where("kind = 0").select("a", "b").unionByName(sort(large).mapInArrow(_meet(most, False), out).select("a", "b"))
-    return pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return pairs, met.where("kind = 2").select(F.col("key").alias("label"), F.col("a").alias("node"))
+
+
+def still_open(labelled: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of labels (label, node) that span several groups; roots (node, least) has those of over one node."""
+    named = labelled.join(roots, "node", "left").select("label", "node", F.coalesce("least", "node").alias("root"))
+    several = named.groupBy("label").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return named.join(several, "label", "left_semi").select("node", "root").distinct()
+
+
+def across(texts: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """(u, v) distinct pairs of texts (node, root, t) of different roots, among them all of at least this similarity.
+
+    Two such texts share one of the size - ceil(similarity * size) + 1 shingles of each that come first in any one order;
+    here the rarest do. A shingle of many texts is dealt to parts, each of which meets all others."""
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t"):
+            each = [shingles(t, width) for t in part.column("t").to_pylist()]
+            row, g = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each).view(np.int64)
+            for i in range(0, len(g), _SENT):
+                at = pa.array(row[i : i + _SENT])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(at), part.column("root").take(at), pa.array(g[i : i + _SENT])], names=["node", "root", "g"])
+
+    rows = texts.select("node", "root", "t").mapInArrow(run, f"node {kind}, root {kind}, g bigint")
+    held = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    own = Window.partitionBy("node")
+    ranked = rows.join(held, "g").withColumn("place", F.row_number().over(own.orderBy("n", "g"))).withColumn("size", F.count("*").over(own))
+    leading = ranked.where((F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1) & (F.col("lo") != F.col("hi")))
+    leading = checkpoint(leading.select("g", "node", "root", "place", "size", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
+    left = leading.withColumn("part", F.pmod(F.hash("node"), "parts"))
+    right = leading.select("g", *(F.col(c).alias(f"other_{c}") for c in ("node", "root", "place", "size")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    sizes = F.col("size") + F.col("other_size")
+    both = left.join(right, ["g", "part"]).where((F.col("node") > F.col("other_node")) & (F.col("root") != F.col("other_root")))
+    # what can still be shared from the first shared shingle on
+    rest = 1 + F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    both = both.where((rest >= similarity / (1 + similarity) * sizes - 1e-6) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-6))
+    return both.select(F.col("node").alias("u"), F.col("other_node").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -357,10 +412,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("i"), F.col(text_col).alias("t"))
     member = checkpoint(rows.mapInArrow(run, f"i {name}, same binary, fp binary"))
     nodes = checkpoint(member.groupBy("same").agg(F.min("i").alias("node"), F.first("fp").alias("fp")))
-    pairs = checkpoint(candidates(nodes, similarity))
+    pairs, labelled = candidates(nodes, similarity)
+    pairs = checkpoint(pairs)
     in_pair = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     texts = rows.withColumnRenamed("i", "node").join(in_pair, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
-    roots = components(verified(pairs, texts, similarity, width)).withColumnRenamed("root", "least")
+    links = checkpoint(verified(pairs, texts, similarity, width))
+    roots = components(links).withColumnRenamed("root", "least")
+    rest = checkpoint(still_open(labelled, roots))
+    if not rest.isEmpty():
+        texts = checkpoint(rows.withColumnRenamed("i", "node").join(rest, "node").groupBy("node", "root").agg(F.min("t").alias("t")))
+        more = checkpoint(verified(across(texts, similarity, width), texts.select("node", "t"), similarity, width))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more)).withColumnRenamed("root", "least")
     named = nodes.join(roots, "node", "left").select("same", F.coalesce("least", "node").alias("least"))
     return member.join(named, "same").select(F.col("i.i").alias(id_col), F.col("least.i").alias("component_id"), F.col("i.h").alias("__h"), (F.col("i") == F.col("least")).alias("__least")).distinct()
 

@@ -173,6 +173,48 @@ def test_near_copies_in_one_large_bucket(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in range(len(texts))) <= 8
 
 
+@pytest.mark.parametrize("rows, small", [(8, 16), (2048, 4)])
+def test_no_link_is_lost_in_large_buckets_and_groups(spark, monkeypatch, rows, small):
+    """All texts share a key and are close by their fingerprints; no two of them but the pairs are near copies."""
+    from braidwork.llm import nearcopies
+
+    for name, value in (("BUCKET_ROWS", rows), ("SMALL", small), ("PART_ROWS", 3)):
+        monkeypatch.setattr(nearcopies, name, value, raising=False)
+    r = random.Random(1)
+    texts = []
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    for _ in range(150):
+        own = list(base)
+        for p in r.sample(range(200), 5):
+            own[p] = f"w{r.randrange(5000)}"
+        texts.append(" ".join(own))
+        own[r.randrange(200)] = f"w{r.randrange(5000)}"
+        texts.append(" ".join(own))
+    tables = nearcopies.tables
+    monkeypatch.setattr(nearcopies, "tables", lambda *x: tables(*x)[:1])  # one table, whose key all share
+    monkeypatch.setattr(nearcopies, "keys", lambda fp, places: np.full((len(fp), len(places)), 77, np.uint64))
+    got = {x.doc_id: x.component_id for x in nearcopies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    want = grouped(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 100
+
+
+def test_pairs_across_groups_are_exact(spark, monkeypatch):
+    from braidwork.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "PART_ROWS", 5)
+    r = random.Random(8)
+    base = [f"w{r.randrange(300)}" for _ in range(60)]
+    texts = [" ".join(edited(r, " ".join(base), r.choice([0.01, 0.03, 0.06])).split()[: r.randint(45, 60)]) for _ in range(80)] + ["one two", "one two three", "x"]
+    root = [r.randrange(12) for _ in texts]
+    df = spark.createDataFrame([(i, root[i], t) for i, t in enumerate(texts)], "node bigint, root bigint, t string")
+    got = nearcopies.across(df)
+    sets = [set(nearcopies.shingles(t).tolist()) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if root[a] != root[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    pairs = collected(got, "u", "v")
+    assert len(pairs) == len(set(pairs)) and want <= set(pairs) and len(want) > 10
+    assert set(collected(nearcopies.verified(got, df.select("node", "t")), "u", "v")) == want
+
+
 def test_near_copy_keys_grow_with_the_texts():
     from braidwork.llm import nearcopies
 
