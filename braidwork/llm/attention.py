@@ -15,8 +15,8 @@ LENGTH, STRIDE = 32, 24
 GROUPS, START = 16, 8
 DIM, HIDDEN = 24, 48
 _EPS = 1e-5
-#: Windows of a training step.
-BATCH = 128
+#: Windows of a training step, and those that go through attention at once: what is worked on should stay in a core's cache.
+BATCH, AT_ONCE = 128, 32
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
@@ -67,21 +67,12 @@ def _norm_back(g: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
 _MASK = np.where(np.tril(np.ones((LENGTH, LENGTH), bool)), 0, -1e9).astype(np.float32)
 
 
-def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], -1)
-
-
-def _largest(a: np.ndarray, b: float = 1.0) -> float:
-    """A bound of the products of normalised states with a."""
-    return float(DIM**0.5 * np.linalg.norm(a, 2, axis=(-2, -1)).max() * b)
-
-
 def _exponential(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """exp(x - top) in place, its totals over the last axis, and top.
 
     top is the largest value, or zero where the bound of x leaves room, so that none has to be looked for."""
     top = np.zeros(x.shape[:-1], x.dtype)
-    if bound >= 40:
+    if bound >= 80:
         top = x.max(-1)
         x -= top[..., None]
     np.exp(x, out=x)
@@ -89,41 +80,37 @@ def _exponential(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, n
     return x, total, top
 
 
-def _attended(p: dict[str, np.ndarray], tok: np.ndarray) -> tuple:
-    """Embedded windows tok (batch, LENGTH), their keys and so on, and unnormalised attention with its totals."""
-    x = p["tok"][tok]
-    x += p["pos"]
+def _joined(p: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
+    """What gives queries (scaled), keys and values in one product, and a bound of attention's logits."""
+    scale = p["q"].dtype.type(DIM**-0.5)
+    return np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1), DIM**0.5 * float(np.linalg.norm(p["q"] @ p["k"].T))
+
+
+def _attended(p: dict[str, np.ndarray], qkv: np.ndarray, bound: float, tok: np.ndarray) -> tuple:
+    """Of windows tok (batch, LENGTH): embedded, normalised, with scales, queries and so on; unnormalised attention, its totals."""
+    x = p["tok"].take(tok.ravel(), axis=0)
+    x.reshape(-1, LENGTH * DIM)[:] += p["pos"].ravel()
     h, hr = _norm(x)
-    q, k, v = _times(h, p["q"]), _times(h, p["k"]), _times(h, p["v"])
-    q *= np.float32(DIM**-0.5)
-    a = q @ k.transpose(0, 2, 1)  # large arrays are worked on in place: fresh memory costs more than the arithmetic
+    w = (h @ qkv).reshape(-1, LENGTH, 3 * DIM)
+    a = w[..., :DIM] @ w[..., DIM : 2 * DIM].transpose(0, 2, 1)  # large arrays are worked on in place: fresh memory costs more than the arithmetic
     a += _MASK
-    a, total, _ = _exponential(a, _largest(p["q"], _largest(p["k"])) * DIM**-0.5)
-    return x, h, hr, q, k, v, a, total
+    a, total, _ = _exponential(a, bound)
+    return x, h, hr, w, a, total
 
 
 def _rest(p: dict[str, np.ndarray], x: np.ndarray, c: np.ndarray) -> tuple:
     """From what attention gathers to normalised last states, at any positions."""
-    y = _times(c, p["o"])
+    y = c @ p["o"]
     y += x
     g, gr = _norm(y)
-    u = _times(g, p["up"])
+    u = g @ p["up"]
     np.maximum(u, 0, out=u)
-    z = _times(u, p["down"])
+    z = u @ p["down"]
     z += y
     f, fr = _norm(z)
     return f, fr, g, gr, u
 
 
-def hidden(p: dict[str, np.ndarray], tok: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Normalised last states of the windows tok (batch, LENGTH), and what the backward pass needs."""
-    x, h, hr, q, k, v, a, total = _attended(p, tok)
-    a *= (1 / total)[..., None]
-    c = a @ v
-    f, fr, g, gr, u = _rest(p, x, c)
-    return f, (tok, h, hr, q, k, v, a, c, g, gr, u, fr)
-
-
 def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in order of their target's group, and where each group begins."""
     group = (target % GROUPS).astype(np.uint8)
@@ -132,104 +119,117 @@ def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bounds(p: dict[str, np.ndarray]) -> tuple[float, float]:
-    """Bounds of the logits of groups, and of places in them."""
-    return _largest(p["group"]) + float(np.abs(p["gbias"]).max()), _largest(p["out"]) + float(np.abs(p["bias"]).max())
+    """Bounds of the logits of groups, and of places in them, of normalised states."""
+    return tuple(float(DIM**0.5 * np.sqrt((p[n] ** 2).sum(-2).max()) + np.abs(p[b]).max()) for n, b in (("group", "gbias"), ("out", "bias")))
+
+
+def _choices(p: dict[str, np.ndarray], f: np.ndarray, target: np.ndarray, begin: np.ndarray) -> tuple:
+    """Of states f in the order of their targets' groups: the targets' log probabilities; exponentials and totals by groups, and by places."""
+    group_bound, place_bound = _bounds(p)
+    row = np.arange(len(f))
+    of_group = f @ p["group"]
+    of_group += p["gbias"]
+    value = of_group[row, target % GROUPS]
+    of_group, group_total, top = _exponential(of_group, group_bound)
+    value -= np.log(group_total) + top
+    of_place = np.empty((len(f), p["out"].shape[2]), f.dtype)
+    for j in range(GROUPS):
+        own = slice(begin[j], begin[j + 1])
+        np.matmul(f[own], p["out"][j], out=of_place[own])
+        of_place[own] += p["bias"][j]
+    value += of_place[row, target // GROUPS]
+    of_place, place_total, top = _exponential(of_place, place_bound)
+    value -= np.log(place_total) + top
+    return value, of_group, group_total, of_place, place_total
 
 
 def log_likelihood(p: dict[str, np.ndarray], tok: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural logs, where scored (in the order of tok[scored]): of the targets' class probabilities, and of the
     probability that the target begins a word."""
-    x, _, _, _, _, v, a, total = _attended(p, tok)
-    at = np.flatnonzero(scored)  # what follows attention is needed there only
-    target = target.ravel()[at]
+    qkv, bound = _joined(p)
+    f = []
+    for i in range(0, len(tok), AT_ONCE):
+        x, _, _, w, a, total = _attended(p, qkv, bound, tok[i : i + AT_ONCE])
+        at = np.flatnonzero(scored[i : i + AT_ONCE])  # what follows attention is needed there only
+        c = (a @ w[..., 2 * DIM :]).reshape(-1, DIM).take(at, axis=0)
+        c *= (1 / total).reshape(-1, 1)[at]
+        f.append(_rest(p, x.take(at, axis=0), c)[0])
+    target = target[scored]
     order, begin = _by_group(target)
-    at, target = at[order], target[order]
-    c = (a @ v).reshape(-1, DIM)[at]
-    c *= (1 / total).reshape(-1, 1)[at]
-    f = _rest(p, x.reshape(-1, DIM)[at], c)[0]
-    group_bound, place_bound = _bounds(p)
-    logits = f @ p["group"]
-    logits += p["gbias"]
-    value = logits[np.arange(len(f)), target % GROUPS]
-    e, total, top = _exponential(logits, group_bound)
-    value -= np.log(total) + top
-    starts = np.log(e[:, :START] @ np.ones(START, e.dtype)) - np.log(total)
-    place = target // GROUPS
-    for g in range(GROUPS):
-        i, j = begin[g], begin[g + 1]
-        if i < j:
-            logits = f[i:j] @ p["out"][g]
-            logits += p["bias"][g]
-            own = logits[np.arange(j - i), place[i:j]]
-            _, total, top = _exponential(logits, place_bound)
-            value[i:j] += own - np.log(total) - top
+    value, of_group, total, _, _ = _choices(p, np.concatenate([np.empty((0, DIM), p["tok"].dtype), *f]).take(order, axis=0), target[order], begin)
+    starts = np.log(of_group[:, :START] @ np.ones(START, of_group.dtype)) - np.log(total)
     out, begins = np.empty_like(value), np.empty_like(starts)
     out[order], begins[order] = value, starts
     return out, begins
 
 
 def gradient(p: dict[str, np.ndarray], tok: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over live targets and its gradient."""
-    f, (tok, h, hr, q, k, v, a, c, g, gr, u, fr) = hidden(p, tok)
-    own, t = f[live], target[live]
+    """Mean loss over live targets and its gradient. Windows go through attention AT_ONCE, and come back so."""
+    qkv, bound = _joined(p)
+    kept, f = [], np.empty((tok.size, DIM), p["tok"].dtype)
+    cuts = [slice(i * LENGTH, min(i + AT_ONCE, len(tok)) * LENGTH) for i in range(0, len(tok), AT_ONCE)]
+    for own in cuts:
+        x, h, hr, w, a, total = _attended(p, qkv, bound, tok[own.start // LENGTH : own.stop // LENGTH])
+        a *= (1 / total)[..., None]
+        c = (a @ w[..., 2 * DIM :]).reshape(-1, DIM)
+        f[own], fr, g, gr, u = _rest(p, x, c)
+        kept.append((h, hr, w, a, c, g, gr, u, fr))
+    at = np.flatnonzero(live)
+    order, begin = _by_group(target.ravel()[at])
+    at = at[order]
+    t, near = target.ravel()[at], f.take(at, axis=0)
     n, row = max(len(t), 1), np.arange(len(t))
-    group_bound, place_bound = _bounds(p)
-    logits = own @ p["group"]
-    logits += p["gbias"]
-    loss = -float(logits[row, t % GROUPS].sum())
-    e, total, top = _exponential(logits, group_bound)
-    loss += float((np.log(total) + top).sum())
+    value, e, total, places, place_total = _choices(p, near, t, begin)
     e *= (1 / total)[:, None]
     e[row, t % GROUPS] -= 1
-    d = {"group": own.T @ e / n, "gbias": e.sum(0) / n, "out": np.zeros_like(p["out"]), "bias": np.zeros_like(p["bias"])}
-    back = e @ p["group"].T
-    order, at = _by_group(t)
+    places *= (1 / place_total)[:, None]
+    places[row, t // GROUPS] -= 1
+    d = {"group": near.T @ e / n, "gbias": e.sum(0) / n, "out": np.empty_like(p["out"]), "bias": np.empty_like(p["bias"])}
+    back, by_place = e @ p["group"].T, np.empty_like(near)
     for j in range(GROUPS):
-        i = order[at[j] : at[j + 1]]
-        if len(i):
-            near = own[i]
-            logits = near @ p["out"][j]
-            logits += p["bias"][j]
-            place = t[i] // GROUPS
-            loss -= float(logits[row[: len(i)], place].sum())
-            e, total, top = _exponential(logits, place_bound)
-            loss += float((np.log(total) + top).sum())
-            e *= (1 / total)[:, None]
-            e[row[: len(i)], place] -= 1
-            d["out"][j], d["bias"][j] = near.T @ e / n, e.sum(0) / n
-            back[i] += e @ p["out"][j].T
-    df = np.zeros_like(f)
-    df[live] = back / n
-    flat2 = lambda x: x.reshape(-1, x.shape[-1])
-    dz = _norm_back(df, f, fr)
-    d["down"] = flat2(u).T @ flat2(dz)
-    du = _times(dz, p["down"].T)
-    du *= u > 0
-    d["up"] = flat2(g).T @ flat2(du)
-    dy = _norm_back(_times(du, p["up"].T), g, gr)
-    dy += dz
-    d["o"] = flat2(c).T @ flat2(dy)
-    dc = _times(dy, p["o"].T)
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    da -= np.einsum("bij,bij->bi", da, a)[..., None]
-    da *= a
-    dk = da.transpose(0, 2, 1) @ q  # q is scaled already
-    dq = da @ k
-    dq *= np.float32(DIM**-0.5)
-    d["q"], d["k"], d["v"] = flat2(h).T @ flat2(dq), flat2(h).T @ flat2(dk), flat2(h).T @ flat2(dv)
-    dh = _times(dq, p["q"].T)
-    dh += _times(dk, p["k"].T)
-    dh += _times(dv, p["v"].T)
-    dx = _norm_back(dh, h, hr)
-    dx += dy
+        own = slice(begin[j], begin[j + 1])
+        np.matmul(near[own].T, places[own], out=d["out"][j])
+        d["bias"][j] = places[own].sum(0)
+        np.matmul(places[own], p["out"][j].T, out=by_place[own])
+    d["out"] /= n
+    d["bias"] /= n
+    back += by_place
+    back /= n
+    df, dx = np.zeros_like(f), np.empty_like(f)
+    df[at] = back
+    d |= {k: np.zeros_like(p[k]) for k in ("o", "up", "down")}
+    dqkv = np.zeros_like(qkv)
+    for own, (h, hr, w, a, c, g, gr, u, fr) in zip(cuts, kept):
+        dz = _norm_back(df[own], f[own], fr)
+        d["down"] += u.T @ dz
+        du = dz @ p["down"].T
+        du *= u > 0
+        d["up"] += g.T @ du
+        dy = _norm_back(du @ p["up"].T, g, gr)
+        dy += dz
+        d["o"] += c.T @ dy
+        dc = dy @ p["o"].T
+        weight = np.einsum("ij,ij->i", dc, c).reshape(-1, LENGTH, 1)  # what its own weights add to a place's gradient
+        dc = dc.reshape(-1, LENGTH, DIM)
+        da = dc @ w[..., 2 * DIM :].transpose(0, 2, 1)
+        da -= weight
+        da *= a
+        np.matmul(a.transpose(0, 2, 1), dc, out=w[..., 2 * DIM :])  # what has been used gives room to its gradient
+        dq = da @ w[..., DIM : 2 * DIM]
+        np.matmul(da.transpose(0, 2, 1), w[..., :DIM], out=w[..., DIM : 2 * DIM])  # queries are scaled already
+        w[..., :DIM] = dq
+        dw = w.reshape(-1, 3 * DIM)
+        dqkv += h.T @ dw
+        dx[own] = _norm_back(dw @ qkv.T, h, hr)
+        dx[own] += dy
+    d["q"], d["k"], d["v"] = dqkv[:, :DIM] * qkv.dtype.type(DIM**-0.5), dqkv[:, DIM : 2 * DIM], dqkv[:, 2 * DIM :]
     d["tok"] = np.zeros_like(p["tok"])
     order = np.argsort(tok.ravel().astype(np.uint16), kind="stable")
     own = tok.ravel()[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    d["tok"][own[first]] = np.add.reduceat(flat2(dx)[order], first, axis=0)
-    d["pos"] = dx.sum(0)
-    return loss / n, d
+    d["tok"][own[first]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+    d["pos"] = dx.reshape(-1, LENGTH, DIM).sum(0)
+    return -float(value.sum()) / n, d
 
 
 def windows(ids: np.ndarray, at: np.ndarray, start: int, turns: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,17 +262,19 @@ def fit(p: dict[str, np.ndarray], tok: np.ndarray, target: np.ndarray, live: np.
         return p
     batch = min(batch, len(tok))
     r = np.random.default_rng(seed)
-    p = {n: v.copy() for n, v in p.items()}
-    m, s = {n: np.zeros_like(v) for n, v in p.items()}, {n: np.zeros_like(v) for n, v in p.items()}
+    x, at = np.concatenate([v.ravel() for v in p.values()]), np.cumsum([0, *(v.size for v in p.values())])
+    p = {n: x[a:b].reshape(v.shape) for (n, v), a, b in zip(p.items(), at, at[1:])}  # views of x
+    m, s = np.zeros_like(x), np.zeros_like(x)
     order = np.empty(0, dtype=np.int64)
     for t in range(1, steps + 1):
         if not len(order):
             order = r.permutation(len(tok))
         i, order = order[:batch], order[batch:]
         _, d = gradient(p, tok[i], target[i], live[i])
+        g = np.concatenate([d[n].ravel() for n in p])
         lr = rate * (1 - 0.9 * t / steps)
-        for n in p:
-            m[n] = 0.9 * m[n] + 0.1 * d[n]
-            s[n] = 0.98 * s[n] + 0.02 * d[n] ** 2
-            p[n] = p[n] - np.float32(lr) * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.98**t)) + np.float32(1e-8))
+        m += 0.1 * (g - m)
+        g *= g
+        s += 0.02 * (g - s)
+        x -= (lr / (1 - 0.9**t)) * m / (np.sqrt(s / (1 - 0.98**t)) + x.dtype.type(1e-8))
     return p

@@ -612,6 +612,22 @@ def test_attention_gradient_and_scores():
     assert np.allclose(starts, np.exp(attention.log_likelihood(p, tok, target, scored)[1]), atol=1e-4)
 
 
+def test_attention_goes_through_windows_a_few_at_a_time(monkeypatch):
+    r = np.random.default_rng(2)
+    p = {n: v.astype(np.float64) for n, v in attention.fresh(np.ones(40)).items()}
+    tok, target, scored = attention.windows(r.integers(0, 40, 900), np.array([0, 500, 517, 900]), 0)
+    assert len(tok) > 30
+    wide, attended, out = [], attention._attended, []
+    monkeypatch.setattr(attention, "_attended", lambda *x: (wide.append(len(x[-1])), attended(*x))[1])
+    for most in (len(tok), 7):  # of 7 at once the last ones are fewer
+        monkeypatch.setattr(attention, "AT_ONCE", most)
+        out.append((*attention.gradient(p, tok, target, scored), *attention.log_likelihood(p, tok, target, scored)))
+        assert max(wide) == most
+        wide.clear()
+    assert np.isclose(out[0][0], out[1][0]) and all(np.allclose(out[0][1][n], out[1][1][n], atol=1e-12) for n in p)
+    assert np.allclose(out[0][2:], out[1][2:]) and np.isclose(-out[0][2].mean(), out[0][0])
+
+
 def test_attention_learns():
     ids = np.tile([1, 2, 3, 4, 5], 300)
     tok, target, scored = attention.windows(ids, np.array([0, len(ids)]), 0)
