@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -303,6 +305,107 @@ def _edges(left: DataFrame, right: DataFrame, pairs: list[Pair], weights: dict[s
     return scored.select(F.col("__l.__first").alias("lc"), F.col("__r.__first").alias("rc"), "score")
 
 
+#: Left rows of ranges that are joined, about.
+TOGETHER = 200_000
+
+
+def _one_number(left: DataFrame, right: DataFrame, a: str, b: str, left_id: str, right_id: str, threshold: float) -> DataFrame | None:
+    """probabilistic_matches of one pair of numbers, threshold not negative; None if a value is not finite.
+
+    The less similar right values lie further off on either side, so nobody needs a list of wishes. Left rows are dealt by
+    value in ranges, each with the right rows that its values can like. A right row has a bound: the lowest id that has asked for
+    it, from which higher ids need not ask. In a round each range lets its left rows ask in order of id, each for the best
+    right row whose bound allows it; of several that ask for one, from whatever range, the lowest id makes the new bound.
+    That is deferred acceptance: who asks has been refused for good by all it likes better, so the order does not matter. It ends
+    when no two ask for the same. After the first round only those who asked are left, as many as there are right rows or little
+    more; ranges are joined to larger ones, at other places in every round, so that no border keeps rows apart for long.
+    """
+    value = lambda df, c, i, kind: df.select(_number(F.col(f"`{c}`")).alias("v"), F.lit(kind).alias("kind"), F.col(f"`{i}`").cast("bigint").alias("id"))
+    both = value(left, a, left_id, 0).unionByName(value(right, b, right_id, 1)).where("v IS NOT NULL")
+    both = checkpoint(both.repartitionByRange("v", "id", "kind").withColumn("q", F.spark_partition_id()))
+    ends = both.groupBy("q").agg(F.min(F.when(F.col("kind") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("kind") == 0, F.col("v"))).alias("b"), F.count_if(F.isnan("v") | (F.abs("v") == math.inf)).alias("odd"))
+    ends = ends.collect()  # a row per task
+    if any(e.odd for e in ends):
+        return None
+    off = lambda v, up: v / threshold if threshold and (v > 0) == up else v * threshold if threshold else (math.inf if up else -math.inf)
+    wider = lambda v, up: off(v, up) + (1 if up else -1) * (1e-9 * abs(v) + 2e-9) / (threshold or 1)
+    mine, theirs = both.where("kind = 0").select(F.col("id").alias("l"), "v", "q"), both.where("kind = 1").select(F.col("id").alias("r"), "v")
+
+    def reached(p: Column) -> DataFrame:
+        """(p, r, v): the right rows that the ranges' values can like, ranges joined as p says."""
+        spans = left.sparkSession.createDataFrame([(e.q, wider(e.a, False), wider(e.b, True)) for e in ends if e.a is not None], "q int, a double, b double")
+        spans = spans.groupBy(p.alias("p")).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        return theirs.join(F.broadcast(spans), (F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))).select("p", "r", "v")
+
+    def ask(both: pa.Table) -> pa.Table:
+        rows, free = both.filter(both["l"].is_valid()), both.filter(both["r"].is_valid())
+        ids, own, ranges = rows["l"].to_numpy(), rows["v"].to_numpy(), rows["q"].to_numpy()
+        r, v, bound = free["r"].to_numpy(), free["v"].to_numpy(), free["bound"].to_numpy()
+        order = np.lexsort((r, v))
+        r, v, bound = r[order].tolist(), v[order], bound[order].tolist()
+        values, first = np.unique(v, return_index=True)
+        at, end = first.tolist(), [*first[1:].tolist(), len(v)]  # a value's first right row that may still be had, and where its rows end
+        place = np.searchsorted(values, own)
+        n, values = len(values), values.tolist()
+        up, down = list(range(n + 1)), list(range(n + 1))  # the next value at or above, at or below with such a row; down is off by one
+
+        def had(g: int, i: int) -> bool:
+            k = at[g]
+            while k < end[g] and bound[k] < i:
+                k += 1
+            at[g] = k
+            return k < end[g]
+
+        def step(links: list[int], g: int, by: int, i: int, last: int) -> int:
+            """The next value from g on that has a row for i, or last; values without any are passed by from now on."""
+            path = []
+            while True:
+                while links[g] != g:
+                    path.append(g)
+                    g = links[g]
+                if g == last or had(g - (by < 0), i):
+                    break
+                links[g] = g + by
+            for x in path:
+                links[x] = g
+            return g
+
+        out = []
+        for x in np.argsort(ids):
+            i, m, g = int(ids[x]), float(own[x]), int(place[x])
+            best = None
+            for links, by, last, g in ((up, 1, n, g), (down, -1, 0, g)):
+                while (g := step(links, g, by, i, last)) != last:
+                    h = g - (by < 0)
+                    score = 1 - abs(m - values[h]) / max(abs(m), abs(values[h]), 1e-9)
+                    if score < max(threshold, best[0] if best else 0) - 1e-12:
+                        break
+                    if score > threshold and (not best or (-score, r[at[h]]) < (-best[0], best[1])):
+                        best = (score, r[at[h]], at[h])
+                    g += by  # another value may be as similar, as doubles are rounded
+            if best:
+                bound[best[2]] = i
+                out.append((i, m, int(ranges[x]), best[1], best[0]))
+        kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["l", "v", "q", "r", "score"])
+
+    none, bounds, p, shift = F.lit((1 << 63) - 1), None, F.col("q"), 0
+    while True:
+        known = reached(p).withColumn("bound", none) if bounds is None else reached(p).join(bounds, "r", "left").select("p", "r", "v", F.coalesce("bound", none).alias("bound"))
+        each = mine.select(p.alias("p"), "l", "v", "q").unionByName(known, allowMissingColumns=True)
+        asks = checkpoint(each.groupBy("p").applyInArrow(ask, "l bigint, v double, q int, r bigint, score double"))
+        new = asks.groupBy("r").agg(F.min("l").alias("bound"), F.count("*").alias("n"))
+        got = new.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        if (got.most or 1) == 1:
+            return asks.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score")
+        new = new.select("r", "bound")
+        bounds = checkpoint(new if bounds is None else bounds.unionByName(new).groupBy("r").agg(F.min("bound").alias("bound")))
+        mine = asks.select("l", "v", "q")  # who did not ask has been refused by all
+        together = 1 << max(1, (TOGETHER * len(ends) // got.rows).bit_length() - 1)
+        shift = 0 if shift else together // 2
+        p = F.floor((F.col("q") + shift) / together).cast("int")
+
+
 def probabilistic_matches(left: DataFrame, right: DataFrame, pairs: list[Pair], left_id: str, right_id: str, threshold: float = 0.75) -> DataFrame:
     """One-to-one (left_id, right_id, score): left rows in order of id take their best free right row above threshold.
 
@@ -317,6 +420,11 @@ def probabilistic_matches(left: DataFrame, right: DataFrame, pairs: list[Pair],
     """
     from pyspark.sql import Window as W
 
+    whole = isinstance(left.schema[left_id].dataType, T.IntegralType) and isinstance(right.schema[right_id].dataType, T.IntegralType)
+    if len(pairs) == 1 and whole and threshold >= 0 and all(numeric for _, _, numeric in _terms(left, right, pairs)):
+        out = _one_number(left, right, *pairs[0], left_id, right_id, threshold)
+        if out is not None:
+            return out.select(F.col("left_id").cast(left.schema[left_id].dataType), F.col("right_id").cast(right.schema[right_id].dataType), "score")
     w = {a: 1 / len(pairs) for a, _ in pairs}
     own, theirs = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
     mine, others = checkpoint(_classes(left, own, left_id)), checkpoint(_classes(right, theirs, right_id))

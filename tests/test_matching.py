@@ -199,3 +199,27 @@ def test_one_to_one_of_many_equals(spark):
     n = 20_000
     got = one_to_one(spark, [(i, 5.0) for i in range(n)], [(3 * j, 5.0) for j in range(n)], "double", 0.9)
     assert got == {i: 3 * i for i in range(n)}
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.4, 0.97])
+def test_one_to_one_of_numbers_in_ranges(spark, threshold, monkeypatch):
+    r = random.Random(11)
+    value = lambda: r.choice([0.0, 1e-10, -1e-10, 5.0, round(r.uniform(-20, 90), 1), round(r.uniform(80, 120), 1), None])
+    left, right = [(i, value()) for i in r.sample(range(2000), 400)], [(3000 - j, value()) for j in range(150)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # four ranges, however few rows
+    monkeypatch.setattr(joins, "TOGETHER", 1, raising=False)
+    try:
+        score = lambda a, b: 0.0 if a is None or b is None else 1 - abs(a - b) / max(abs(a), abs(b), 1e-9)
+        assert one_to_one(spark, left, right, "double", threshold) == in_turn(left, right, score, threshold)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rounds_of_numbers_do_not_grow_with_the_wishes(spark, monkeypatch):
+    r = random.Random(12)
+    left, right = [(i, r.uniform(99, 101)) for i in range(240)], [(1000 + j, r.uniform(99, 101)) for j in range(40)]
+    rounds, once = [], joins.checkpoint
+    monkeypatch.setattr(joins, "checkpoint", lambda df: rounds.append(1) or once(df))
+    score = lambda a, b: 1 - abs(a - b) / max(abs(a), abs(b))
+    assert one_to_one(spark, left, right, "double", 0.9) == in_turn(left, right, score, 0.9)
+    assert len(rounds) < 10
