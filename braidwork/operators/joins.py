@@ -28,6 +28,34 @@ def _same(left: DataFrame, right: DataFrame, a: str, b: str) -> tuple[Column, Co
     return x.cast("string"), y.cast("string")
 
 
+#: Pairs of a key that one task makes at a time, pairs of a piece of a busier key, and right rows of such a piece.
+PAIRS, PIECE, DEEP = 1 << 19, 1 << 22, 1 << 16
+
+
+def _full(l_: DataFrame, r_: DataFrame, x: Column, y: Column) -> DataFrame:
+    """Full outer join of __l and __r on keys, null keys matching each other.
+
+    Spark's full outer join holds all pairs of a key before it hands on the first. So keys that make many are joined apart:
+    both sides have them, so an inner join does, and their rows are cut into pieces, each of the left with each of the
+    right. Rows are dealt to pieces by their values, the same whenever a task runs again; rows of equal values share a piece.
+    """
+    keys = l_.select(x.alias("k"), F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(r_.select(y.alias("k"), F.lit(0).alias("n"), F.lit(1).alias("m")))
+    busy = keys.groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n").cast("double") * F.col("m") > PAIRS)
+    found = busy.collect()  # a row per key with many pairs
+    if not found:
+        return l_.join(r_, x.eqNullSafe(y), "full")
+    pieces = [(r.k, g, -(-r.n * min(r.m, DEEP) // PIECE), -(-r.m // DEEP)) for g, r in enumerate(found)]
+    schema = T.StructType([T.StructField("__k", busy.schema["k"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("__g", "__nl", "__nr"))])
+    table = F.broadcast(l_.sparkSession.createDataFrame(pieces, schema))
+    left, right = l_.join(table, x.eqNullSafe(F.col("__k")), "left"), r_.join(table, y.eqNullSafe(F.col("__k")), "left")
+    deal = lambda row, n: F.pmod(F.xxhash64(F.col(row).cast("string")), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = left.where("__g IS NOT NULL").select("__l", "__g", deal("__l", "__nl").alias("__i"), each("__nr").alias("__j"))
+    others = right.where("__g IS NOT NULL").select("__r", "__g", each("__nl").alias("__i"), deal("__r", "__nr").alias("__j"))
+    apart = rows.join(others, ["__g", "__i", "__j"]).select("__l", "__r")
+    return left.where("__g IS NULL").select("__l").join(right.where("__g IS NULL").select("__r"), x.eqNullSafe(y), "full").unionByName(apart)
+
+
 def exact_merge(left: DataFrame, right: DataFrame, key: str, column_map: dict[str, str] | None = None) -> DataFrame:
     """Full outer join on one key, null keys matching each other; same-named values are coalesced, left first.
 
@@ -44,7 +72,7 @@ def exact_merge(left: DataFrame, right: DataFrame, key: str, column_map: dict[st
     right = right.toDF(*names)
     l_, r_ = left.select(F.struct("*").alias("__l")), right.select(F.struct("*").alias("__r"))
     x, y = _same(left, right, key, key)
-    both = l_.join(r_, x.eqNullSafe(y), "full")
+    both = _full(l_, r_, x, y)
     out = [F.coalesce(*_same(left, right, c, c)).alias(c) if c in right.columns else F.col(f"__l.`{c}`").alias(c) for c in left.columns]
     return both.select(*out, *[F.col(f"__r.`{c}`").alias(c) for c in right.columns if c not in left.columns])
 

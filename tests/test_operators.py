@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,20 @@ def test_exact_merge(spark):
     assert "SortMergeJoin" in out._jdf.queryExecution().toString() or "HashJoin" in out._jdf.queryExecution().toString()
 
 
+def test_merge_of_busy_keys(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(joins, "PIECE", 500, raising=False)
+    monkeypatch.setattr(joins, "DEEP", 30, raising=False)
+    monkeypatch.setattr(joins, "PAIRS", 50, raising=False)
+    key = lambda: [None, 1, 1, 2, *range(3, 12)][r.integers(0, 13)]
+    left, right = [(key(), i) for i in range(300)] + [(77, 0)], [(key(), 1000 + i // 2) for i in range(200)] + [(88, 9)]
+    want = Counter((k, i, j) for k, i in left for q, j in right if k == q) + Counter({(77, 0, None): 1, (88, None, 9): 1})
+    out = joins.exact_merge(table(spark, left, "k int, a int"), table(spark, right, "q bigint, b int"), "k", {"q": "k"})
+    assert Counter(tuple(x) for x in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join FullOuter" in plan and "Join Inner" in plan
+
+
 def brute_scores(left, right):
     def one(a, b):
         if a is None or b is None:
