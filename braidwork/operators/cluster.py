@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,13 @@ class Clusters:
     labels: DataFrame
     centroids: list[list[float]]
     inertia: float
-    silhouette: float | None
     features: list[str]
+    points: DataFrame  # (cluster, x), scaled
+
+    @cached_property
+    def silhouette(self) -> float | None:
+        """Computed when it is asked for: labels and centroids do without."""
+        return silhouette(self.points, len(self.centroids))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -154,7 +160,7 @@ def kmeans(df: DataFrame, k: int = 3, seeds: range = range(42, 52), order: str =
     kind = df.schema[order].dataType.simpleString()
     labels = checkpoint(points.select(F.col(order).alias("i"), "x").mapInArrow(label, f"i {kind}, cluster int, x array<double>"))
     centroids = [[float(x) * s + m for x, m, s in zip(c, mean, scale)] for c in centres]
-    return Clusters(labels.select(F.col("i").alias(order), "cluster"), centroids, round(inertia, 6), silhouette(labels.select("cluster", "x"), k), columns)
+    return Clusters(labels.select(F.col("i").alias(order), "cluster"), centroids, round(inertia, 6), columns, labels.select("cluster", "x"))
 
 
 def silhouette(points: DataFrame, k: int) -> float | None:

@@ -324,6 +324,14 @@ def test_silhouette_against_all_pairs(spark, monkeypatch):
     assert cluster.silhouette(points.where("cluster = 1"), 4) is None
 
 
+def test_labels_do_without_the_silhouette(spark, monkeypatch):
+    asked, once = [], cluster.silhouette
+    monkeypatch.setattr(cluster, "silhouette", lambda *a: asked.append(1) or once(*a))
+    got = cluster.kmeans(table(spark, [(i, float(i % 2), 1.0 * i) for i in range(12)], "__row_id int, x double, y double"), 2)
+    assert got.labels.count() == 12 and not asked
+    assert got.silhouette == got.silhouette and len(asked) == 1
+
+
 def test_restarts_are_as_good_as_single_fits(spark):
     r = np.random.default_rng(3)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.concatenate([r.normal(c, 1.0, (60, 2)) for c in (0, 4, 9)]))]
