@@ -324,6 +324,28 @@ def test_silhouette_against_all_pairs(spark, monkeypatch):
     assert cluster.silhouette(points.where("cluster = 1"), 4) is None
 
 
+@pytest.mark.parametrize("flat", [False, True])
+def test_silhouette_computes_few_distances(spark, flat, monkeypatch):
+    monkeypatch.setattr(cluster, "TILE", 200)
+    r = np.random.default_rng(9)
+    x = r.uniform(0, 3, (12_000, 2))
+    if flat:
+        x[:, 1] = np.floor(x[:, 1] * 8)
+    x[:3000] = x[3000:6000]  # equal ones
+    x[11_000:, 0] += 40  # far off
+    own = r.integers(0, 2, len(x)) + (x[:, 0] > 1.5)
+    own[0] = 3  # alone
+    count, each = np.bincount(own, minlength=4), []
+    for i in range(0, len(x), 500):
+        total = np.sqrt(((x[i : i + 500, None] - x[None]) ** 2).sum(axis=2)) @ np.eye(4)[own]
+        for c, row in zip(own[i : i + 500], total):
+            a, b = row[c] / max(count[c] - 1, 1), min(row[o] / count[o] for o in range(4) if o != c)
+            each.append((b - a) / max(a, b) if count[c] > 1 else 0.0)
+    points, looked = spark.createDataFrame([(int(c), [float(v) for v in p]) for c, p in zip(own, x)], "cluster int, x array<double>"), []
+    assert abs(cluster.silhouette(points, 4, looked.append) - np.mean(each)) < 5.1e-7
+    assert looked[0] < len(x) ** 2 / 2
+
+
 def test_labels_do_without_the_silhouette(spark, monkeypatch):
     asked, once = [], cluster.silhouette
     monkeypatch.setattr(cluster, "silhouette", lambda *a: asked.append(1) or once(*a))
