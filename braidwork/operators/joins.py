@@ -52,7 +52,9 @@ def _full(l_: DataFrame, r_: DataFrame, x: Column, y: Column) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = left.where("__g IS NOT NULL").select("__l", "__g", deal("__l", "__nl").alias("__i"), each("__nr").alias("__j"))
     others = right.where("__g IS NOT NULL").select("__r", "__g", each("__nl").alias("__i"), deal("__r", "__nr").alias("__j"))
-    apart = rows.join(others, ["__g", "__i", "__j"]).select("__l", "__r")
+    piece = ["__g", "__i", "__j"]
+    tasks = -(-sum(r.n * r.m for r in found) // (2 * PIECE))  # by what comes out: what goes in is small and would be put together
+    apart = rows.repartition(min(tasks, 10_000), *piece).join(others.repartition(min(tasks, 10_000), *piece), piece).select("__l", "__r")
     return left.where("__g IS NULL").select("__l").join(right.where("__g IS NULL").select("__r"), x.eqNullSafe(y), "full").unionByName(apart)
 
 
